@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import langid
 from .common import read
 from .simhash import near_duplicates
+from .substring import remove_repeats
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +34,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = remove_repeats(read(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {}

@@ -55,5 +55,6 @@ def near_duplicates(
     known = member.join(nodes, "fp")
     least = known.groupBy("root").agg(F.min("first").alias("least"))
     known = known.join(least, "root").select("fp", "least")
-    whole = nodes.join(known, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # cut, so that the last join deals out both sides anew and can split a fingerprint of very many rows
+    whole = cut(nodes.join(known, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return marked.join(whole, "fp", "left").select(id_col, "fp", "component_id")
