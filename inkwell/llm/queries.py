@@ -16,6 +16,7 @@ from .common import read
 from .decontaminate import contamination
 from .mixing import mix
 from .oracles import DECONTAMINATION, MIXING
+from .sharding import shard
 from .simhash import near_duplicates
 from .substring import remove_repeats
 
@@ -46,6 +47,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), seed="mix-1").drop("row")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read(spark, sf_dir, "documents"), shards=16).drop("row")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_mixing": op6_mixing,
+    "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
 }
 
