@@ -50,3 +50,15 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n_hit, 0) as n_hit, coa
        sha256(coalesce(it.items, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
 from d left join c using (doc_id) left join it using (doc_id)
 """
+
+TOPK = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint as score
+  from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+"""

@@ -15,10 +15,11 @@ from . import langid
 from .common import read
 from .decontaminate import contamination
 from .mixing import mix
-from .oracles import DECONTAMINATION, MIXING
+from .oracles import DECONTAMINATION, MIXING, TOPK
 from .sharding import shard
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .topk import top_k
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), seed="mix-1").drop("row")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5, scale=256.0)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"), shards=16).drop("row")
 
@@ -66,11 +72,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_mixing": op6_mixing,
+    "op7_topk": op7_topk,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
 }
 
 ORACLE: dict[str, str] = {
     "op6_mixing": MIXING,
+    "op7_topk": TOPK,
     "op9_decontamination": DECONTAMINATION,
 }
