@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, quality, toxicity
 from .common import read
 from .decontaminate import contamination
 from .mixing import mix
@@ -39,6 +39,21 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def _scored(spark: SparkSession, sf_dir: str, model, target: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _held_out(3, 1))
+    labels = read(spark, sf_dir, "labels").where(~_held_out(3, 1))
+    fitted = model.fit(docs.where(~F.col("held_out")), labels, target)
+    return model.score(docs, fitted, keep=["doc_id", "held_out"])
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, "quality")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, "toxic")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = remove_repeats(read(spark, sf_dir, "documents"), window=50)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -70,11 +85,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op3_quality": op3_quality,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_mixing": op6_mixing,
     "op7_topk": op7_topk,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
