@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity
+from . import langid, quality, secrets, toxicity
 from .common import read
 from .decontaminate import contamination
 from .mixing import mix
@@ -59,6 +59,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "at", "kind", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), seed="mix-1").drop("row")
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
     "op7_topk": op7_topk,
     "op8_sharding": op8_sharding,
