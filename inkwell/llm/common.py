@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,3 +61,17 @@ class Tables:
 def need(df: DataFrame, *columns: str) -> None:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"columns missing: {missing}; there are {df.columns}")
+
+
+#: Rows of keys and short lists that are broadcast; more go through a shuffle.
+FEW_ROWS = 300_000
+
+
+def with_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, which is broadcast only if it has at most ``FEW_ROWS`` rows.
+
+    So long rows (texts) stay where they are as long as the other side is small.
+    ``few`` should be cut or cheap, as its rows are counted first.
+    """
+    small = few.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    return rows.join(F.broadcast(few) if small else few, keys, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import cut, need, with_few
 
 #: A-Z, which are lower-cased, and what no word holds.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,8 +115,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, most_share: float = 0.5, id
     words left are joined by one space, as they were written.
     """
     found = contamination(docs, items, id_col=id_col, text_col=text_col, **names).where("n_hit > 0").dropDuplicates([id_col, "row"])
-    found = found.select(F.col(id_col).alias("_id"), F.col("row").alias("_row"), "hits", (F.col("n_hit") / F.col("n_words")).alias("share"))
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["_id"]) & (F.xxhash64(docs[text_col]) == found["_row"]), "left")
+    found = cut(found.select(F.col(id_col), F.col("row"), "hits", (F.col("n_hit") / F.col("n_words")).alias("share")))
+    joined = with_few(docs.withColumn("row", F.xxhash64(text_col)), found, [id_col, "row"], "left")
     written = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)
     left = F.filter(written, lambda w, i: ~F.exists("hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["n"])))
     text = F.when(F.col("hits").isNull(), F.col(text_col)).otherwise(F.array_join(left, " "))

@@ -1,4 +1,4 @@
-"""Generalised pigeonhole search in Hamming space over 64-bit fingerprints.
+"""Generalised pigeonhole search in Hamming space over fingerprints of one or more longs.
 
 With the bits in m groups and a threshold t_i (-1 or more) for each, whose sum
 is tau - m + 1, two fingerprints within tau bits differ in at most t_i bits of
@@ -24,12 +24,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-BITS = 64
 #: Cost of a row dealt out and of a candidate compared, in the same unit.
 ROW_COST, PAIR_COST = 1.0, 0.01
 #: Members of a bucket that one task compares; larger buckets become a grid.
@@ -41,44 +40,47 @@ class Plan:
     groups: tuple[tuple[int, ...], ...]
     thresholds: tuple[int, ...]
 
-    def probes(self) -> list[tuple[int, int, int, int]]:
-        """(group, mask, flipped bits, highest flipped bit), as signed longs."""
+    def probes(self, words: int) -> list[tuple[int, ...]]:
+        """(group, then for each word: mask, flipped bits, highest flipped bit), as signed longs."""
         rows = []
         for g, (bits, most) in enumerate(zip(self.groups, self.thresholds, strict=True)):
-            mask = sum(1 << b for b in bits)
             for r in range(most + 1):
                 for flip in combinations(sorted(bits), r):
-                    top = 1 << flip[-1] if flip else 0
-                    rows.append((g, _signed(mask), _signed(sum(1 << b for b in flip)), _signed(top)))
+                    row = [g]
+                    for w in range(words):
+                        row += [_word(bits, w), _word(flip, w), _word(flip[-1:], w)]
+                    rows.append(tuple(row))
         return rows
 
 
-def _signed(x: int) -> int:
+def _word(bits: tuple[int, ...], word: int) -> int:
+    x = sum(1 << (b - 64 * word) for b in bits if b // 64 == word)
     return x - (1 << 64) if x >> 63 else x
 
 
 # --- statistics --------------------------------------------------------------
 
 
-def bit_statistics(fps: DataFrame, column: str = "fp") -> tuple[int, np.ndarray]:
+def bit_statistics(fps: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
     """How many fingerprints there are and how often bits i and j are both set.
 
     Covers every row; a task returns one row a bit, whatever it has read.
     """
+    width = 64 * len(columns)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, rows = np.zeros((BITS, BITS)), 0
+        both, rows = np.zeros((width, width)), 0
         for batch in batches:
-            x = _bits(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float32)
+            x = np.concatenate([_bits(c.to_numpy(zero_copy_only=False)) for c in batch.columns], axis=1).astype(np.float32)
             both += x.T @ x
             rows += len(x)
-        cells = {f"c{j}": both[:, j].astype(np.int64) for j in range(BITS)}
-        yield pa.RecordBatch.from_pydict({"bit": np.arange(BITS), "n": np.full(BITS, rows), **cells})
+        cells = {f"c{j}": both[:, j].astype(np.int64) for j in range(width)}
+        yield pa.RecordBatch.from_pydict({"bit": np.arange(width), "n": np.full(width, rows), **cells})
 
-    schema = "bit long, n long, " + ", ".join(f"c{j} long" for j in range(BITS))
-    counted = fps.select(column).mapInArrow(count, schema)
-    rows = counted.groupBy("bit").agg(F.sum("n"), *[F.sum(f"c{j}") for j in range(BITS)]).collect()
-    both = np.zeros((BITS, BITS))
+    schema = "bit long, n long, " + ", ".join(f"c{j} long" for j in range(width))
+    counted = fps.select(*columns).mapInArrow(count, schema)
+    rows = counted.groupBy("bit").agg(F.sum("n"), *[F.sum(f"c{j}") for j in range(width)]).collect()
+    both = np.zeros((width, width))
     for row in rows:
         both[row[0]] = row[2:]
     return (int(rows[0][1]) if rows else 0), both
@@ -91,14 +93,14 @@ def _bits(values: np.ndarray) -> np.ndarray:
 def joint_laws(n: int, both: np.ndarray) -> np.ndarray:
     """law[i, j, x, y]: how likely bit i is x and bit j is y (with one half added to each count)."""
     one = np.diag(both)
-    law = np.empty((BITS, BITS, 2, 2))
+    law = np.empty((*both.shape, 2, 2))
     law[..., 1, 1] = both
     law[..., 1, 0] = one[:, None] - both
     law[..., 0, 1] = one[None, :] - both
     law[..., 0, 0] = n - one[:, None] - one[None, :] + both
     law = np.maximum(law, 0) + 0.5
     law /= law.sum(axis=(2, 3), keepdims=True)
-    for i in range(BITS):
+    for i in range(len(both)):
         p = law[i, i, 1].sum()
         law[i, i] = [[1 - p, 0], [0, p]]
     return law
@@ -113,15 +115,17 @@ def information(law: np.ndarray) -> np.ndarray:
 
 def group_bits(info: np.ndarray, m: int) -> tuple[tuple[int, ...], ...]:
     """m groups of equal size: each takes the most dependent free pair, then what depends most on it."""
-    free, groups = set(range(BITS)), []
+    width, groups = len(info), []
+    free = np.ones(width, bool)
     for g in range(m):
-        size = BITS // m + (g < BITS % m)
-        group = list(max(combinations(sorted(free), 2), key=lambda p: info[p], default=()))[:size]
-        free -= set(group)
+        size = width // m + (g < width % m)
+        pairs = np.where(free[:, None] & free[None, :] & ~np.eye(width, dtype=bool), info, -1.0)
+        group = [int(x) for x in np.unravel_index(int(pairs.argmax()), pairs.shape)][:size]
+        free[group] = False
         while len(group) < size:
-            b = max(sorted(free), key=lambda x: info[x, group].sum())
+            b = int(np.where(free, info[:, group].sum(axis=1), -1.0).argmax())
             group.append(b)
-            free.discard(b)
+            free[b] = False
         groups.append(tuple(sorted(group)))
     return tuple(groups)
 
@@ -133,14 +137,12 @@ def distance_law(law: np.ndarray, info: np.ndarray, group: tuple[int, ...], most
     is one polynomial in the number of differing bits for each pair of values.
     """
     children: dict[int, list[int]] = {b: [] for b in group}
-    inside, outside = [group[0]], set(group[1:])
-    order = [group[0]]
+    order, outside = [group[0]], list(group[1:])
     while outside:
-        a, b = max(((x, y) for x in inside for y in sorted(outside)), key=lambda e: info[e])
-        children[a].append(b)
-        inside.append(b)
-        outside.discard(b)
-        order.append(b)
+        part = info[np.ix_(order, outside)]
+        i, j = (int(x) for x in np.unravel_index(int(part.argmax()), part.shape))
+        children[order[i]].append(outside[j])
+        order.append(outside.pop(j))
     size = most + 1
     message: dict[int, np.ndarray] = {}
     for node in reversed(order):
@@ -178,7 +180,7 @@ def make_plan(n: int, both: np.ndarray, tau: int) -> Plan:
     law = joint_laws(n, both)
     info = information(law)
     plans = []
-    for m in range(1, tau + 2):
+    for m in range(max(1, len(both) // 40), tau + 2):  # of more bits than 40, a group is as good as all
         groups = group_bits(info, m)
         costs = []
         for group in groups:
@@ -205,81 +207,103 @@ def _choose(n: int, k: int) -> float:
 # --- probe and verify --------------------------------------------------------
 
 
-def near_links(fps: DataFrame, tau: int, plan: Plan | None = None, cell: int = CELL) -> DataFrame:
+def near_links(
+    fps: DataFrame, tau: int, columns: list[str] | None = None, plan: Plan | None = None, cell: int = CELL, nearest: bool = False, accept: int | None = None
+) -> DataFrame:
     """Links (a, b) that connect whatever chains of distance ``tau`` or less connect.
 
-    ``fps`` has distinct longs in ``fp``. Two fingerprints within tau are in one
+    ``fps`` has distinct longs in ``node`` and fingerprints in ``columns``
+    (``node`` itself if none are named). Two fingerprints within tau are in one
     component of the result, but need not be a row of it: each bucket returns a
-    spanning forest.
+    spanning forest. With ``nearest`` that is the forest of the shortest links,
+    which also connects whatever chains of any smaller distance do. Candidates
+    that a bucket brings together are links up to distance ``accept``, if that
+    is more than tau; there is no promise to find those beyond tau.
     """
+    columns = columns or ["node"]
     if plan is None:
-        n, both = bit_statistics(fps)
+        n, both = bit_statistics(fps, columns)
         plan = make_plan(n, both, tau)
-    probes = F.array(*[F.struct(*map(F.lit, p)) for p in plan.probes()])
+    most = max(tau, accept or 0)
+    probes = F.array(*[F.struct(*map(F.lit, p)) for p in plan.probes(len(columns))])
+    keys = [f"key{w}" for w in range(len(columns))]
+    mask, flip, top = ([F.col(f"p.col{2 + 3 * w + k}") for w in range(len(columns))] for k in range(3))
+    rows = fps.where("node is not null").select("node", *columns, F.explode(probes).alias("p"))
+    for w, c in enumerate(columns):
+        rows = rows.where(F.col(c).bitwiseAND(top[w]) == 0)
+    whole = F.lit(True)
+    for f in flip:
+        whole = whole & (f == 0)
     # "sides": 3 is looked up and looks up, 1 only looks up
-    rows = (
-        fps.where("fp is not null")
-        .select("fp", F.explode(probes).alias("p"))
-        .where(F.col("fp").bitwiseAND(F.col("p.col4")) == 0)
-        .select(
-            F.col("p.col1").alias("part"),
-            F.col("fp").bitwiseAND(F.col("p.col2")).bitwiseXOR(F.col("p.col3")).alias("key"),
-            F.when(F.col("p.col3") == 0, 3).otherwise(1).alias("sides"),
-            "fp",
-        )
+    rows = rows.select(
+        F.col("p.col1").alias("part"),
+        *[F.col(c).bitwiseAND(mask[w]).bitwiseXOR(flip[w]).alias(keys[w]) for w, c in enumerate(columns)],
+        F.when(whole, 3).otherwise(1).alias("sides"),
+        F.struct("node", *columns).alias("f") if columns != ["node"] else F.struct("node").alias("f"),
     )
     large = cut(
-        rows.groupBy("part", "key").count().where(F.col("count") > cell)
-        .select("part", "key", F.ceil(F.col("count") / cell).cast("int").alias("grid"))
+        rows.groupBy("part", *keys).count().where(F.col("count") > cell)
+        .select("part", *keys, F.ceil(F.col("count") / cell).cast("int").alias("grid"))
     )
     if large.limit(1).count():
-        mine = F.pmod(F.xxhash64("fp"), F.col("grid")).cast("int")
+        mine = F.pmod(F.xxhash64("f.node"), F.col("grid")).cast("int")
         every = F.sequence(F.lit(0), F.col("grid") - 1)
-        cells = F.when(F.col("grid").isNull(), F.array(F.struct(F.lit(0).alias("q"), F.lit(0).alias("i"), F.col("sides").alias("s")))).otherwise(
-            F.concat(
-                F.transform(every, lambda c: F.struct(mine.alias("q"), c.alias("i"), F.lit(1).alias("s"))),
-                F.when(F.col("sides") == 3, F.transform(every, lambda c: F.struct(c.alias("q"), mine.alias("i"), F.lit(2).alias("s"))))
-                .otherwise(F.array().cast("array<struct<q:int,i:int,s:int>>")),
-            )
+
+        def at(q: Column, i: Column, side: Column) -> Column:
+            return F.struct(q.alias("q"), i.alias("i"), side.alias("s"))
+
+        none = F.array().cast("array<struct<q:int,i:int,s:int>>")
+        dealt = F.concat(
+            F.transform(every, lambda c: at(mine, c, F.lit(1))),
+            F.when(F.col("sides") == 3, F.transform(every, lambda c: at(c, mine, F.lit(2)))).otherwise(none),
         )
+        cells = F.when(F.col("grid").isNull(), F.array(at(F.lit(0), F.lit(0), F.col("sides")))).otherwise(dealt)
         rows = (
-            rows.join(large, ["part", "key"], "left")
-            .select("part", "key", "fp", F.explode(cells).alias("c"))
-            .select("part", "key", "fp", F.col("c.q").alias("q"), F.col("c.i").alias("i"), F.col("c.s").alias("sides"))
+            rows.join(large, ["part", *keys], "left")
+            .select("part", *keys, "f", F.explode(cells).alias("c"))
+            .select("part", *keys, "f", F.col("c.q").alias("q"), F.col("c.i").alias("i"), F.col("c.s").alias("sides"))
         )
     else:
         rows = rows.withColumns({"q": F.lit(0), "i": F.lit(0)})
     buckets = (
-        rows.groupBy("part", "key", "q", "i")
+        rows.groupBy("part", *keys, "q", "i")
         .agg(
-            F.collect_list(F.when(F.col("sides").bitwiseAND(1) > 0, F.col("fp"))).alias("left"),
-            F.collect_list(F.when(F.col("sides").bitwiseAND(2) > 0, F.col("fp"))).alias("right"),
+            F.collect_list(F.when(F.col("sides").bitwiseAND(1) > 0, F.col("f"))).alias("left"),
+            F.collect_list(F.when(F.col("sides").bitwiseAND(2) > 0, F.col("f"))).alias("right"),
         )
-        .where("size(left) > 0 and size(right) > 0 and (size(left) > 1 or size(right) > 1 or left[0] <> right[0])")
+        .where("size(left) > 0 and size(right) > 0 and (size(left) > 1 or size(right) > 1 or left[0].node <> right[0].node)")
         .select("left", "right")
     )
+    link = nearest_forest if nearest else forest
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for left, right in zip(_lists(batch.column(0)), _lists(batch.column(1)), strict=True):
-                found += forest(left, right, tau)
+            for (left, x), (right, y) in zip(_lists(batch.column(0)), _lists(batch.column(1)), strict=True):
+                distance = np.zeros((len(left), len(right)), np.uint8)
+                for u, v in zip(x, y, strict=True):
+                    # unsigned: of a negative number, bitwise_count would count the absolute value
+                    distance += np.bitwise_count(u.view(np.uint64)[:, None] ^ v.view(np.uint64)[None, :])
+                distance[left[:, None] == right[None, :]] = 255
+                found += link(left, right, distance, most)
             ends = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
     return buckets.mapInArrow(verify, "a long, b long")
 
 
-def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
-    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return (values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(nodes, fingerprint words) of each list; a struct of the node alone is its own fingerprint."""
+    fields = [f.to_numpy(zero_copy_only=False) for f in column.values.flatten()]
+    at = column.offsets.to_numpy()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        parts = [f[a:b] for f in fields]
+        yield parts[0], parts[1:] or parts
 
 
-def forest(left: np.ndarray, right: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two lists of distinct longs, at most a link a member."""
-    # unsigned: of a negative number, bitwise_count would count the absolute value
-    near = np.bitwise_count(left.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :]) <= tau
-    near &= left[:, None] != right[None, :]
+def forest(left: np.ndarray, right: np.ndarray, distance: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Stars that span the links of up to ``most`` between two lists of nodes, at most a link a member."""
+    near = distance <= most
     rows = np.flatnonzero(near.any(axis=1))
     if not len(rows):
         return []
@@ -299,3 +323,24 @@ def forest(left: np.ndarray, right: np.ndarray, tau: int) -> list[tuple[int, int
             new_row[front] = False
             edges += [(root, x) for x in left[front].tolist() if x != root]
     return edges
+
+
+def nearest_forest(left: np.ndarray, right: np.ndarray, distance: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """The shortest links that span those of up to ``most``: taken in order of length, if they join two parts."""
+    row, col = np.nonzero(distance <= most)
+    if not len(row):
+        return []
+    parts: dict[int, int] = {}
+
+    def part(x: int) -> int:
+        while (up := parts.get(x, x)) != x:
+            parts[x] = x = parts.get(up, up)
+        return x
+
+    edges = []
+    for k in np.argsort(distance[row, col], kind="stable").tolist():
+        a, b = int(left[row[k]]), int(right[col[k]])
+        if (x := part(a)) != (y := part(b)):
+            parts[x] = y
+            edges.append((a, b))
+    return edges

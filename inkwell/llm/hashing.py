@@ -3,31 +3,31 @@
 from __future__ import annotations
 
 import numpy as np
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 _ONES = np.uint64(0x0101010101010101)
 _BLOCK = 255  # so many ones fit in a lane of eight bits
 
 
-def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
-    """XXH64 of every run of ``width`` words (repeats included), as uint64.
+def shingles(text: str | None, width: int) -> list[bytes]:
+    """Every run of ``width`` words (repeats included), joined by one space.
 
     A-Z are lower-cased and words are runs of anything but space and
     U+0009-U+000D, which is what ``bytes.lower`` and ``bytes.split`` do. Fewer
     words than ``width`` make one shingle of all of them; none make none.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
     if len(words) <= width:
-        return np.array([xxh64_intdigest(b" ".join(words), seed)], np.uint64)
+        return [b" ".join(words)] if words else []
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-width] + 1))
-    return np.array(
-        [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)],
-        np.uint64,
-    )
+    return [joined[a:b] for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
+
+
+def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle, as uint64."""
+    return np.array([xxh64_intdigest(s, seed) for s in shingles(text, width)], np.uint64)
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -46,8 +46,24 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def simhash(text: str | None, width: int, seed: int) -> int:
     """Signed 64-bit fingerprint: a bit is 1 if set in over half of the shingle hashes."""
-    hashes = shingle_hashes(text, width, seed)
+    return _majority(shingle_hashes(text, width, seed))
+
+
+def _majority(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     bits = bit_counts(hashes) * 2 > len(hashes)
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+
+
+def wide_simhash(text: str | None, width: int, seed: int) -> tuple[int, int]:
+    """128 bits of the *set* of shingles, as two signed longs, by XXH3's 128-bit hash."""
+    found = set(shingles(text, width))
+    hashes = np.frombuffer(b"".join(xxh3_128_digest(s, seed) for s in found), np.uint64).reshape(-1, 2)
+    return _majority(np.ascontiguousarray(hashes[:, 0])), _majority(np.ascontiguousarray(hashes[:, 1]))
+
+
+def jaccard(a: str | None, b: str | None, width: int) -> float:
+    """Shared shingles over all distinct shingles of two texts; 1 for two texts without words."""
+    x, y = set(shingles(a, width)), set(shingles(b, width))
+    return len(x & y) / len(x | y) if x or y else 1.0

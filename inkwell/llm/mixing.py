@@ -87,3 +87,25 @@ def mix(docs: DataFrame, seed: str = "mix-1", id_col: str = "doc_id", text_col:
 
     taken = rounds * F.col("size") + overlap(at, at + rest) + overlap(at - total, at + rest - total)
     return placed.select(id_col, "size", "source_size", "target", taken.cast("long").alias("taken"), "row")
+
+
+def resample(docs: DataFrame, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` as the mix takes them: a row as often as its words are taken, rounded, which is 0 to 3 times.
+
+    Only the first and the last document of a source's blocks are taken in
+    part, so rounding to whole documents keeps the targets. Rows without words
+    weigh nothing and stay once.
+    """
+    found = mix(docs, seed, id_col, text_col, source_col)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    # equal rows are taken differently, but any of them may be: their counts add up
+    counts = found.select(F.col(id_col).alias("_id"), F.col("row").alias("_row"), times.alias("n")).groupBy("_id", "_row").agg(
+        F.sum("n").alias("n"), F.count("*").alias("rows")
+    )
+    rows = docs.withColumn("_at", F.xxhash64(text_col))
+    joined = rows.join(counts.where("n > 0"), rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_row")))
+    # of k equal rows each gets n div k, and n mod k more are shared by their number among them
+    if counts.where("rows > 1").limit(1).count():
+        one = Window.partitionBy(id_col, "_at", source_col).orderBy(F.lit(0))
+        joined = joined.withColumn("n", (F.floor(F.col("n") / F.col("rows")) + (F.row_number().over(one) <= F.col("n") % F.col("rows")).cast("int")).cast("int"))
+    return joined.withColumn("_", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n").cast("int"))))).select(*docs.columns)

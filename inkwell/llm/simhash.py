@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, need
+from .common import Tables, cut, need, with_few
 from .components import components
 from .gph import near_links
-from .hashing import simhash
+from .hashing import jaccard, simhash, wide_simhash
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,7 +47,7 @@ def near_duplicates(
     marked = cut(fingerprints(docs, width, seed, id_col, text_col))
     nodes = marked.groupBy("fp").agg(F.min(id_col).alias("first"))
     nodes = cut(nodes)
-    roots = components(near_links(nodes.select("fp"), most_bits))
+    roots = components(near_links(nodes.select(F.col("fp").alias("node")), most_bits))
     # a component's smallest id, for the fingerprints that have a link
     member = roots.select(F.col("node").alias("fp"), "root").unionByName(
         roots.select(F.col("root").alias("fp"), "root").distinct()
@@ -58,3 +58,79 @@ def near_duplicates(
     # cut, so that the last join deals out both sides anew and can split a fingerprint of very many rows
     whole = cut(nodes.join(known, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return marked.join(whole, "fp", "left").select(id_col, "fp", "component_id")
+
+
+#: Of 128 bits: up to so many differ, all pairs are found; up to so many, pairs that meet are compared word by word.
+WIDE_BITS, WIDE_ACCEPT = 15, 30
+
+
+def near_copies(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Columns ``id_col``, ``row`` (hash of the text), ``component_id`` for each row of ``docs``.
+
+    Rows are linked if the Jaccard similarity of their sets of ``width``-word
+    shingles is ``similarity`` or more. At 0.8, two sets differ in about 19 of
+    128 SimHash bits, so candidates come from 128-bit fingerprints: the search
+    finds all pairs up to ``WIDE_BITS`` and, as each group of bits has its own
+    threshold, most pairs a good way beyond; the nearest links of every bucket
+    are then verified on the texts. Rows of equal fingerprints are one node.
+    Rows without words (null, empty, white space) are linked to each other.
+    ``component_id`` is the smallest id reachable; null ids and repeated rows
+    are as in :func:`near_duplicates`.
+    """
+    need(docs, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_simhash(t.as_py(), width, seed) for t in batch.column(2)]
+            words = [pa.array([f[w] for f in found], pa.int64()) for w in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *words], ["doc", "row", "fp0", "fp1"])
+
+    tables = Tables(docs.sparkSession)
+    marked = tables.write(texts.mapInArrow(mark, f"doc {kind}, row long, fp0 long, fp1 long").withColumn("node", F.xxhash64("fp0", "fp1")))
+    nodes = cut(marked.groupBy("node").agg(F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"), F.min(F.struct("doc", "row")).alias("keep")))
+    links = cut(near_links(nodes.select("node", "fp0", "fp1"), WIDE_BITS, ["fp0", "fp1"], nearest=True, accept=WIDE_ACCEPT)
+                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # one text for each end of a link, fetched once
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    ends = ends.join(nodes, "node").select("node", F.col("keep.doc").alias("doc"), F.col("keep.row").alias("row"))
+    shown = tables.write(with_few(texts.where("doc is not null"), ends, ["doc", "row"]).dropDuplicates(["node"]).select("node", "text"))
+    pairs = links.join(shown.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    pairs = pairs.join(shown.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [jaccard(x.as_py(), y.as_py(), width) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    roots = components(pairs.mapInArrow(verify, "a long, b long"))
+    member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    known = member.join(nodes.select("node", "keep"), "node")
+    least = known.groupBy("root").agg(F.min("keep.doc").alias("least"))
+    known = known.join(least, "root").select("node", "least")
+    whole = cut(nodes.join(known, "node", "left").select("node", F.coalesce("least", "keep.doc").alias("component_id")))
+    return marked.join(whole, "node", "left").select(F.col("doc").alias(id_col), "row", "component_id")
+
+
+def drop_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group that :func:`near_copies` finds: that of the smallest id, whole and unchanged.
+
+    Rows with a null id stay. Of rows that share the kept id within a group one
+    stays.
+    """
+    found = cut(near_copies(docs, width, similarity, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull()))
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col, "row").distinct()
+    kept = with_few(docs.withColumn("row", F.xxhash64(text_col)), cut(gone), [id_col, "row"], "left_anti").drop("row")
+    twice = found.groupBy(id_col).count().where("count > 1").select(id_col)
+    if not twice.limit(1).count():
+        return kept
+    # ids that several rows have: of those in one group a row stays
+    twice = cut(twice)
+    repeated = with_few(kept.withColumn("row", F.xxhash64(text_col)), twice, [id_col], "left_semi")
+    repeated = repeated.join(found.select(id_col, "row", "component_id").distinct(), [id_col, "row"])
+    return with_few(kept, twice, [id_col], "left_anti").unionByName(
+        repeated.dropDuplicates([id_col, "component_id"]).select(*docs.columns)
+    )
