@@ -27,7 +27,7 @@ def load_pieces(path: str) -> list[str]:
         for i in range(model.get_piece_size())
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
     )
-    return [p for p in kept if p == p.lower()]
+    return [p for p in kept if p == p.lower() and MARK not in p[1:]]
 
 
 def words_of(text: str) -> list[str]:
@@ -35,12 +35,36 @@ def words_of(text: str) -> list[str]:
 
 
 class Lattice:
-    """All pieces in words. Piece ``len(pieces)`` is the unknown character."""
+    """All pieces in words. Piece ``len(pieces)`` is the unknown character.
+
+    The pieces are a trie in a table, state by character class, that all places
+    of many words walk down together.
+    """
 
     def __init__(self, pieces: list[str]) -> None:
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.unknown = len(pieces)
         self.heads = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self.most = max(map(len, pieces), default=0)
+        inner = {h[:-1] for h in self.heads}  # heads that go on, and the start
+        states = {h: i for i, h in enumerate(sorted(inner, key=len))}
+        count = len(states)
+        for h in self.heads:
+            states.setdefault(h, len(states))
+        # first characters have many kinds, later ones few: those two tables
+        self.first = np.zeros(0x110000, np.int32)
+        kinds = sorted({h[-1] for h in self.heads if len(h) > 1})
+        self.kind = np.zeros(0x110000, np.int16)
+        self.kind[[ord(c) for c in kinds]] = np.arange(1, len(kinds) + 1)
+        self.later = np.zeros((count, len(kinds) + 1), np.int32)
+        self.piece = np.full(len(states), -1, np.int32)
+        for h in self.heads:
+            if len(h) == 1:
+                self.first[ord(h)] = states[h]
+            else:
+                self.later[states[h[:-1]], self.kind[ord(h[-1])]] = states[h]
+            self.piece[states[h]] = self.ids.get(h, -1)
+        self.inner = count
 
     def matches(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, piece) within the marked word."""
@@ -59,12 +83,29 @@ class Lattice:
 
     def stacked(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """(word, start, end, piece) of all words, ordered by end."""
-        flat: list[tuple[int, int, int, int]] = []
-        for k, word in enumerate(words):
-            flat += [(k, *m) for m in self.matches(word)]
-        table = np.array(flat, np.int32).reshape(-1, 4)
-        table = table[np.argsort(table[:, 2].astype(np.int16), kind="stable")]
-        return tuple(table.T)
+        chars = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(w) + 1 for w in words])
+        begin = np.cumsum(sizes) - sizes
+        word, kind = np.repeat(np.arange(len(words)), sizes), np.append(self.kind[chars], 0)
+        offset = np.arange(len(chars)) - begin[word]
+        place, state = np.arange(len(chars)), self.first[chars]
+        alone = (state == 0) | (self.piece[state] < 0)
+        found = [(place[alone], 1, np.full(int(alone.sum()), self.unknown, np.int32))]
+        for depth in range(1, self.most + 1):
+            piece = self.piece[state]
+            ends = (piece >= 0) & (state > 0)
+            found.append((place[ends], depth, piece[ends]))
+            on = (state > 0) & (state < self.inner)
+            place, state = place[on], state[on]
+            # the next word's mark follows no head, so a walk ends with its word
+            state = self.later[state, kind[place + depth]]
+            on = state > 0
+            place, state = place[on], state[on]
+        at = np.concatenate([p for p, _, _ in found])
+        start = offset[at]
+        end = start + np.concatenate([np.full(len(p), d) for p, d, _ in found])
+        order = np.argsort(end.astype(np.int16), kind="stable")
+        return tuple(x[order] for x in (word[at], start, end, np.concatenate([x for _, _, x in found])))
 
     def log_likelihoods(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """One row a word, one column a language; ``probs`` is pieces x languages."""
