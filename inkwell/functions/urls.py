@@ -107,7 +107,8 @@ def prefix(text: Column) -> Column:
 
 def object_key(url: Column, under: Column | None = None) -> Column:
     """``[prefix/]host/path`` of safe characters; the root is ``root``."""
-    decoded = F.coalesce(F.try_url_decode(F.regexp_replace(path(url), r"\+", "%2B")), path(url))
+    bare = F.regexp_replace(path(url), "/$", "")
+    decoded = F.coalesce(F.try_url_decode(F.regexp_replace(bare, r"\+", "%2B")), bare)
     safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(decoded, "^/+", ""), "[^A-Za-z0-9/_.-]", "_"), "/{2,}", "/")
     key = F.concat(hostname(url), F.lit("/"), F.when(safe == "", "root").otherwise(safe))
     return key if under is None else F.concat(prefix(under), key)
