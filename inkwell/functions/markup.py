@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import Rx, trim, units
+from .regex import Rx, let, trim, units
 
 #: Named entities, in the order they are decoded; ``&amp;`` comes early, so ``&amp;lt;`` is decoded twice.
 ENTITIES = (
@@ -182,9 +182,14 @@ def capitals(line: Column) -> Column:
 
 def text_structure(text: Column) -> Column:
     """Headings, lists, indented code, lines and their mean length, and whether all of it is code."""
-    parts = F.split(text, "\n")
-    after = F.transform(parts, lambda x, i: trim(F.coalesce(F.get(parts, i + 1), F.lit(""))))
-    pairs = F.transform(parts, lambda x, i: F.struct(x.alias("line"), F.get(after, i).alias("after"), F.coalesce(F.get(parts, i - 1), F.lit("")).alias("before")))
+    return let(F.split(text, "\n"), lambda parts: _structure(text, parts))
+
+
+def _structure(text: Column, parts: Column) -> Column:
+    def pair(x: Column, i: Column) -> Column:
+        return F.struct(x.alias("line"), trim(F.coalesce(F.get(parts, i + 1), F.lit(""))).alias("after"), F.coalesce(F.get(parts, i - 1), F.lit("")).alias("before"))
+
+    pairs = F.transform(parts, pair)
     full = F.filter(parts, lambda x: trim(x) != "")
     total = F.aggregate(full, F.lit(0).cast("long"), lambda a, x: a + units(x))
     return F.struct(

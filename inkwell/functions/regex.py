@@ -121,3 +121,12 @@ def word_count(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once.
+
+    Inside a lambda an outer expression would be computed again for every
+    element; a lambda's own variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import BLANKS, Rx, trim, units
+from .regex import BLANKS, Rx, let, trim, units
 from .tokens import est_tokens
 
 HEADING, LIST = Rx(r"^#{1,6}\s+"), Rx(r"^[-*+]\s+|^[0-9]+[.)]\s+")
@@ -132,7 +132,7 @@ def summary_text(list_: Column) -> Column:
 
 def picked(list_: Column, kept: Column) -> Column:
     """Sentences of the numbers ``kept``, in order of the text."""
-    return F.transform(F.array_sort(kept), lambda i: F.get(list_, i))
+    return let(list_, lambda x: F.transform(F.array_sort(kept), lambda i: F.get(x, i)))
 
 
 # --- questions ---------------------------------------------------------------
@@ -184,15 +184,15 @@ def term_matches(sentence: Column, terms: Sequence[str]) -> Column:
 
 def relevant(list_: Column, terms: Sequence[str], preserve: Sequence[str] = PRESERVE) -> Column:
     """Structs (order, less, i, tokens, s) by relevance to the terms, which neighbours add to."""
-    counts = F.transform(list_, lambda s: term_matches(s, terms))
 
-    def unit(s: Column, i: Column) -> Column:
+    def unit(s: Column, i: Column, counts: Column) -> Column:
         own = F.get(counts, i)
         near = F.coalesce(F.get(counts, i - 1), F.lit(0)) + F.coalesce(F.get(counts, i + 1), F.lit(0))
         score = salience(s, preserve) + own * 3 + F.when((own > 0) & HEADING.test(trim(s)), 2).otherwise(0) + F.least(F.lit(2), near)
         return F.struct((-score).alias("order"), (-own).alias("less"), i.alias("i"), est_tokens(s).alias("tokens"), s.alias("s"))
 
-    return F.array_sort(F.transform(list_, unit))
+    both = F.struct(list_.alias("list"), F.transform(list_, lambda s: term_matches(s, terms)).alias("counts"))
+    return let(both, lambda x: F.array_sort(F.transform(x["list"], lambda s, i: unit(s, i, x["counts"]))))
 
 
 # --- quotations --------------------------------------------------------------
@@ -232,10 +232,12 @@ def key_points(list_: Column, preserve: Sequence[str] = PRESERVE, most: int = 10
 
 def citation(text: Column, blocks: Column) -> Column:
     """The id of the first block (block_id, .., text) that holds the text as it is or in normal form; '' if none."""
-    bare = trim(text)
-    form = normal(bare)
-    hit = F.filter(blocks, lambda b: F.contains(b["text"], bare) | ((form != "") & F.contains(normal(b["text"]), form)))
-    return F.when(bare == "", "").otherwise(F.coalesce(F.get(hit, F.lit(0))["block_id"], F.lit("")))
+
+    def find(q: Column) -> Column:
+        hit = F.filter(blocks, lambda b: F.contains(b["text"], q["bare"]) | ((q["form"] != "") & F.contains(normal(b["text"]), q["form"])))
+        return F.when(q["bare"] == "", "").otherwise(F.coalesce(F.get(hit, F.lit(0))["block_id"], F.lit("")))
+
+    return let(F.struct(trim(text).alias("bare"), normal(trim(text)).alias("form")), find)
 
 
 def omission(text: Column) -> Column:

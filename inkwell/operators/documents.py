@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kinds as K
 from ..functions import markup as M
-from ..functions.regex import Rx, trim_text
+from ..functions.regex import Rx, let, trim_text
 
 #: How much of a JSON document is shown.
 KEYS, SAMPLES, STRING, DEPTH, SHOWN, LARGE = 20, 3, 200, 5, 5000, 100_000
@@ -28,30 +28,35 @@ ENTRIES, XML_DEPTH, XML_CHILDREN, XML_TEXT, ENTRY_TEXT = 20, 4, 10, 50, 500
 def text_markdown(text: Column) -> Column:
     """A plain text as Markdown: underlined and capital lines are headings, bullets and numbers items; code is fenced."""
     lines = F.split(text, "\n")
-    bare = F.transform(lines, M.trim)
-    after = F.transform(bare, lambda x, i: F.coalesce(F.get(bare, i + 1), F.lit("")))
-    over = F.transform(bare, lambda x, i: (x != "") & F.get(after, i).rlike(r"^(=+|---+)\z"))
+    made = let(F.struct(lines.alias("lines"), F.transform(lines, M.trim).alias("bare")), _rewritten)
+    return F.when(M.looks_like_code(text), F.concat(F.lit("```\n"), text, F.lit("\n```"))).otherwise(made)
+
+
+def _rewritten(x: Column) -> Column:
+    rule = r"^(=+|---+)\z"
+
+    def at(i: Column) -> Column:
+        return F.coalesce(F.get(x["bare"], i), F.lit(""))
 
     def rewrite(line: Column, i: Column) -> Column:
-        b, a = F.get(bare, i), F.get(after, i)
-        before = F.coalesce(F.get(over, i - 1), F.lit(False))
+        b, after = at(i), at(i + 1)
+        used = (i > 0) & (at(i - 1) != "") & ~at(i - 1).rlike(rule) & b.rlike(rule)
         bullet, number = rf"^(\s*)[{M.BULLETS}]\s+(.*)\z", r"^(\s*)(\d+)[.)]\s+(.*)\z"
 
         def indent(rx: str) -> Column:
             return F.when(F.regexp_extract(line, rx, 1) != "", "  ").otherwise("")
 
         return (
-            F.when(before & (b != "") & b.rlike(r"^(=+|---+)\z"), F.lit(None).cast("string"))
-            .when((b != "") & a.rlike(r"^=+\z"), F.concat(F.lit("# "), b))
-            .when((b != "") & a.rlike(r"^---+\z"), F.concat(F.lit("## "), b))
+            F.when(used, F.lit(None).cast("string"))
+            .when((b != "") & after.rlike(r"^=+\z"), F.concat(F.lit("# "), b))
+            .when((b != "") & after.rlike(r"^---+\z"), F.concat(F.lit("## "), b))
             .when(M.capitals(line) & ~b.rlike(r"^[-*]"), F.concat(F.lit("## "), M.title_case(b)))
             .when(line.rlike(bullet), F.concat(indent(bullet), F.lit("- "), F.regexp_extract(line, bullet, 2)))
             .when(line.rlike(number), F.concat(indent(number), F.regexp_extract(line, number, 2), F.lit(". "), F.regexp_extract(line, number, 3)))
             .otherwise(line)
         )
 
-    made = F.array_join(F.filter(F.transform(lines, rewrite), lambda x: x.isNotNull()), "\n")
-    return F.when(M.looks_like_code(text), F.concat(F.lit("```\n"), text, F.lit("\n```"))).otherwise(made)
+    return F.array_join(F.filter(F.transform(x["lines"], rewrite), lambda line: line.isNotNull()), "\n")
 
 
 # --- Markdown ---------------------------------------------------------------------

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import kinds as K
 from ..functions import markup as M
 from ..functions import urls as U
 from ..functions.injection import detections
 from ..functions.tokens import reading_minutes
 from ..operators import documents as D
 from ..operators import gates, html
-from ..operators.markdown import blocks_column, headings_column, outline_column
+from ..operators.markdown import blocks, headings_column, outline
 
 #: Bytes of a body at most, characters of a raw excerpt.
 MAX_BYTES, RAW_EXCERPT = 10_485_760, 1000
@@ -84,18 +87,20 @@ def normalize(pages: DataFrame, remove: Sequence[str] = (), tables: bool = True,
     ``retrieved_at`` is data, so a rerun gives the same ids. No shuffle.
     """
     rows = extracted(pages, remove, tables, code)
-    markdown = F.col("doc.markdown")
-    ok = F.coalesce(markdown != "", F.lit(False))
-    names = F.initcap(F.col("ctype.type"))
-    error = F.when(~ok, F.coalesce("doc.error", F.concat(names, F.lit(" extraction failed"))))
-    rows = rows.withColumn("markdown", F.when(ok, markdown))
-    rows = rows.withColumn("unsafe", detections(F.col("markdown"))).withColumn("outline", outline_column("markdown")).withColumn("key_blocks", blocks_column("markdown"))
+    ok = F.coalesce(F.col("doc.markdown") != "", F.lit(False))
+    failed = F.coalesce("doc.error", F.concat(F.initcap("ctype.type"), F.lit(" extraction failed")))
+    rows = _with_structure(rows.select(
+        "original_url", "final_url", "retrieved_at", "status", F.col("ctype.mime_type").alias("mime"), M.encoding(F.col("ctype.charset"))["note"].alias("note"), "doc",
+        ok.alias("ok"), F.when(~ok, failed).alias("failed"), F.sha2("body", 256).alias("raw_hash"), F.substring("text", 1, RAW_EXCERPT).alias("excerpt"),
+        F.when(ok, F.col("doc.markdown")).alias("markdown"),
+    ))
+    rows = rows.withColumn("unsafe", detections(F.col("markdown")))
 
     def warning(kind: str, message: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), message.alias("message"))
 
     notes = F.array_compact(F.array(
-        F.when(M.encoding(F.col("ctype.charset"))["note"].isNotNull(), warning("extraction_fallback", M.encoding(F.col("ctype.charset"))["note"])),
+        F.when(F.col("note").isNotNull(), warning("extraction_fallback", F.col("note"))),
         F.when(F.col("doc.paywalled"), warning("paywalled", F.lit("Content appears to be paywalled"))),
     ))
     found = F.when(F.size("unsafe") > 0, F.array(warning("injection_detected", F.concat(F.lit("Detected "), F.size("unsafe").cast("string"), F.lit(" potential prompt injection pattern(s)")))))
@@ -112,17 +117,39 @@ def normalize(pages: DataFrame, remove: Sequence[str] = (), tables: bool = True,
         known("doc.language").alias("language"), reading_minutes(F.col("markdown")).alias("estimated_reading_time_min"),
     )
     columns = [
-        ok.alias("success"), error.alias("error"), M.source_id(url, F.col("retrieved_at"), hash_).alias("source_id"), F.col("original_url"), url.alias("canonical_url"),
-        F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("retrieved_at"), F.col("status"), F.col("ctype.mime_type").alias("content_type"), meta.alias("metadata"),
+        F.col("ok").alias("success"), F.col("failed").alias("error"), M.source_id(url, F.col("retrieved_at"), hash_).alias("source_id"), F.col("original_url"), url.alias("canonical_url"),
+        F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("retrieved_at"), F.col("status"), F.col("mime").alias("content_type"), meta.alias("metadata"),
         F.col("outline"), F.col("key_blocks"), F.col("markdown").alias("content"), M.source_summary(F.col("markdown"), F.col("outline")).alias("source_summary"),
         F.array().cast("array<struct<block_id:string,start_char:int,end_char:int>>").alias("citations"), F.col("unsafe").alias("unsafe_instructions_detected"), warnings.alias("warnings"),
-        F.struct(hash_.alias("content_hash"), F.sha2("body", 256).alias("raw_hash")).alias("hashes"),
+        F.struct(hash_.alias("content_hash"), F.col("raw_hash")).alias("hashes"),
     ]
     if raw_excerpt:
-        columns.append(F.substring("text", 1, RAW_EXCERPT).alias("raw_excerpt"))
+        columns.append(F.col("excerpt").alias("raw_excerpt"))
     return rows.select(*columns)
 
 
+_OUTLINE = pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string()), ("path", pa.string())]))
+_BLOCKS = pa.list_(pa.struct([("block_id", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("char_len", pa.int32())]))
+
+
+def _with_structure(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``outline`` and ``key_blocks`` of ``markdown``: one walk over the lines in Python, and a place where plans end.
+
+    Everything before is computed once; as expressions, the choice among kinds
+    of documents would be repeated in each later column.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("markdown")).to_pylist()]
+            heads = pa.array([[dict(level=a, text=b, path=c) for a, b, c, _ in outline(t)] for t in texts], _OUTLINE)
+            parts = pa.array([[dict(zip(("block_id", "kind", "text", "char_len"), b, strict=True)) for b in blocks(t)] for t in texts], _BLOCKS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, heads, parts], [*batch.schema.names, "outline", "key_blocks"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("outline", K.OUTLINE), T.StructField("key_blocks", K.BLOCKS)])
+    return rows.mapInArrow(run, schema)
+
+
 def normalized_view(packets: DataFrame) -> DataFrame:
     """Packets without their hashes."""
     return packets.drop("hashes")
