@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import kinds as K
-from .regex import Rx
+from .regex import Rx, let
 
 _TARGETS = r"(instructions?|prompts?|rules?|guidelines?)"
 #: Patterns and what they are a sign of, in the order they are applied. Case never counts.
@@ -55,8 +55,11 @@ CONTEXT, SURE_RISK, SURE_STEP, STEP = 50, 0.7, 0.1, 0.15
 
 def matches(text: Column) -> Column:
     """Distinct (text, reason) of everything that a pattern matches, in order of the patterns."""
-    each = [F.transform(F.array_distinct(rx.all(text)), lambda m, r=reason: F.struct(m.alias("text"), F.lit(r).alias("reason"))) for rx, reason in PATTERNS]
-    return F.array_distinct(F.flatten(F.array(*each)))
+
+    def each(rx: Rx, reason: str) -> Column:
+        return F.transform(F.array_distinct(rx.all(text)), lambda m: F.struct(m.alias("text"), F.lit(reason).alias("reason")))
+
+    return F.array_distinct(F.flatten(F.array(*[each(rx, reason) for rx, reason in PATTERNS])))
 
 
 def suspicious(text: Column) -> Column:
@@ -81,8 +84,13 @@ def high_confidence(text: Column) -> Column:
 
 def risk(text: Column) -> Column:
     """0 to 1: by the number of distinct matches, higher if one is sure."""
-    n = F.when(suspicious(text), F.size(matches(text))).otherwise(0)
-    return F.when(n == 0, 0.0).when(high_confidence(text), F.least(F.lit(1.0), SURE_RISK + n * SURE_STEP)).otherwise(F.least(F.lit(1.0), n * STEP))
+    found = F.struct(F.size(matches(text)).alias("n"), high_confidence(text).alias("high"))
+
+    def score(f: Column) -> Column:
+        n = f["n"]
+        return F.when(n == 0, 0.0).when(f["high"], F.least(F.lit(1.0), SURE_RISK + n * SURE_STEP)).otherwise(F.least(F.lit(1.0), n * STEP))
+
+    return let(found, score)
 
 
 def detections_of(text: str) -> list[dict]:

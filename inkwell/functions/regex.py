@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SPACE_RANGES = ((9, 13), (32, 32), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
 SPACES = "".join(chr(c) for a, b in SPACE_RANGES for c in range(a, b + 1))
 _SPACE = "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in SPACE_RANGES)
+_START = r"(?<![A-Za-z0-9_])"
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
@@ -40,7 +41,9 @@ class Rx:
             elif two == r"\d":
                 out.append("0-9" if inside else "[0-9]")
             elif two == r"\b":
-                out.append(edge)
+                # before a word's first character, looking back is enough
+                first = not out or out[-1] in ("|", "(")
+                out.append(_START if first and edge == _EDGE and re.match(r"[A-Za-z0-9(\[\\]", text[i + 2 :]) else edge)
             elif c == "\\":
                 out.append(two)
             elif c == "$" and not inside and "m" not in self.flags:
