@@ -115,9 +115,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, most_share: float = 0.5, id
     words left are joined by one space, as they were written.
     """
     found = contamination(docs, items, id_col=id_col, text_col=text_col, **names).where("n_hit > 0").dropDuplicates([id_col, "row"])
-    found = cut(found.select(F.col(id_col), F.col("row"), "hits", (F.col("n_hit") / F.col("n_words")).alias("share")))
-    joined = with_few(docs.withColumn("row", F.xxhash64(text_col)), found, [id_col, "row"], "left")
+    found = cut(found.select(F.col(id_col), F.col("row").alias("__row"), F.col("hits").alias("__hits"), (F.col("n_hit") / F.col("n_words")).alias("__share")))
+    joined = with_few(docs.withColumn("__row", F.xxhash64(text_col)), found, [id_col, "__row"], "left")
     written = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)
-    left = F.filter(written, lambda w, i: ~F.exists("hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["n"])))
-    text = F.when(F.col("hits").isNull(), F.col(text_col)).otherwise(F.array_join(left, " "))
-    return joined.where(f"share is null or share <= {most_share}").select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    left = F.filter(written, lambda w, i: ~F.exists("__hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["n"])))
+    text = F.when(F.col("__hits").isNull(), F.col(text_col)).otherwise(F.array_join(left, " "))
+    kept = joined.where(f"__share is null or __share <= {most_share}")
+    return kept.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -105,7 +105,7 @@ def collect_features(sample: DataFrame, extract: Callable[[str], tuple[np.ndarra
     table = sample.mapInArrow(run, "label int, ids array<int>, dense array<double>").toArrow()
     ids = [np.array(x, np.int32) for x in table["ids"].to_pylist()]
     # a fixed order, so that a rerun fits the same model
-    dense = np.array(table["dense"].to_pylist(), float).reshape(len(ids), -1)
+    dense = np.array(table["dense"].to_pylist(), float).reshape(len(ids), -1) if ids else np.empty((0, 0))
     order = sorted(range(len(ids)), key=lambda i: (len(ids[i]), ids[i].tobytes(), dense[i].tobytes()))
     return table["label"].to_numpy()[order].astype(float), [ids[i] for i in order], dense[order]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, need
+from .common import Tables, cut, need
 from .running import spread_key, with_running
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,13 +99,17 @@ def resample(docs: DataFrame, seed: str = "mix-1", id_col: str = "doc_id", text_
     found = mix(docs, seed, id_col, text_col, source_col)
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     # equal rows are taken differently, but any of them may be: their counts add up
-    counts = found.select(F.col(id_col).alias("_id"), F.col("row").alias("_row"), times.alias("n")).groupBy("_id", "_row").agg(
-        F.sum("n").alias("n"), F.count("*").alias("rows")
+    counts = found.select(F.col(id_col).alias("__id"), F.col("row").alias("__row"), times.alias("__n")).groupBy("__id", "__row").agg(
+        F.sum("__n").alias("__n"), F.count("*").alias("__rows")
     )
-    rows = docs.withColumn("_at", F.xxhash64(text_col))
-    joined = rows.join(counts.where("n > 0"), rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_row")))
-    # of k equal rows each gets n div k, and n mod k more are shared by their number among them
-    if counts.where("rows > 1").limit(1).count():
-        one = Window.partitionBy(id_col, "_at", source_col).orderBy(F.lit(0))
-        joined = joined.withColumn("n", (F.floor(F.col("n") / F.col("rows")) + (F.row_number().over(one) <= F.col("n") % F.col("rows")).cast("int")).cast("int"))
-    return joined.withColumn("_", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n").cast("int"))))).select(*docs.columns)
+    counts = cut(counts)
+    rows = docs.withColumn("__at", F.xxhash64(text_col))
+    joined = rows.join(counts.where("__n > 0"), rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__row")))
+    n = F.col("__n")
+    if counts.where("__rows > 1").limit(1).count():
+        # of k equal rows each gets n div k, and n mod k of them one more
+        one = Window.partitionBy(id_col, "__at").orderBy(F.col(source_col))
+        joined = joined.withColumn("__nth", F.row_number().over(one))
+        n = F.floor(F.col("__n") / F.col("__rows")) + (F.col("__nth") <= F.col("__n") % F.col("__rows")).cast("int")
+    copies = F.when(n > 0, F.sequence(F.lit(1), n.cast("int")))
+    return joined.withColumn("__copy", F.explode(copies)).select(*docs.columns)

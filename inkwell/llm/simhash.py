@@ -121,16 +121,16 @@ def drop_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     Rows with a null id stay. Of rows that share the kept id within a group one
     stays.
     """
-    found = cut(near_copies(docs, width, similarity, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull()))
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col, "row").distinct()
-    kept = with_few(docs.withColumn("row", F.xxhash64(text_col)), cut(gone), [id_col, "row"], "left_anti").drop("row")
+    found = near_copies(docs, width, similarity, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull())
+    found = cut(found.select(F.col(id_col), F.col("row").alias("__row"), F.col("component_id").alias("__group")))
+    gone = cut(found.where(F.col(id_col) != F.col("__group")).select(id_col, "__row").distinct())
+    rows = docs.withColumn("__row", F.xxhash64(text_col))
+    kept = with_few(rows, gone, [id_col, "__row"], "left_anti")
     twice = found.groupBy(id_col).count().where("count > 1").select(id_col)
     if not twice.limit(1).count():
-        return kept
+        return kept.select(*docs.columns)
     # ids that several rows have: of those in one group a row stays
     twice = cut(twice)
-    repeated = with_few(kept.withColumn("row", F.xxhash64(text_col)), twice, [id_col], "left_semi")
-    repeated = repeated.join(found.select(id_col, "row", "component_id").distinct(), [id_col, "row"])
-    return with_few(kept, twice, [id_col], "left_anti").unionByName(
-        repeated.dropDuplicates([id_col, "component_id"]).select(*docs.columns)
-    )
+    repeated = with_few(kept, twice, [id_col], "left_semi").join(found.distinct(), [id_col, "__row"])
+    repeated = repeated.dropDuplicates([id_col, "__group"]).select(*docs.columns)
+    return with_few(kept, twice, [id_col], "left_anti").select(*docs.columns).unionByName(repeated)
