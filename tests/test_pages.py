@@ -165,9 +165,8 @@ def test_limits(spark):
 def test_admission_stream(spark, tmp_path):
     spark.createDataFrame([("h", t) for t in (0, 1, 2, 61)], "host string, s int").select("host", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = limits.admission_stream(spark.readStream.schema("host string, ts timestamp").parquet(str(tmp_path / "in")), 2)
-    q = stream.writeStream.format("memory").queryName("admitted").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.format("memory").queryName("admitted").outputMode("append").trigger(once=True).start()
+    assert q.awaitTermination(120)  # state with a time limit keeps a running stream busy, so one batch is asked for
     assert sorted((r.ts.second, r.admitted) for r in spark.table("admitted").collect()) == [(0, True), (1, True), (1, True), (2, False)]
 
 
