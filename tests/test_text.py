@@ -59,7 +59,7 @@ def test_outline_blocks_and_paths():
 
 def test_blocks_keep_a_list_open_across_a_heading():
     kinds = [(k, t) for _, k, t, _ in MD.blocks("- a\n# h\n- b\nplain\n\n- c")]
-    assert kinds == [("list", "- a"), ("heading", "# h"), ("paragraph", "- b\nplain"), ("paragraph", "- c")]
+    assert kinds == [("list", "- a"), ("heading", "# h"), ("paragraph", "- b\nplain"), ("list", "- c")]
 
 
 def test_fences_close_with_the_same_mark():
