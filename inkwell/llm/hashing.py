@@ -56,11 +56,11 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def wide_simhash(text: str | None, width: int, seed: int) -> tuple[int, int]:
-    """128 bits of the *set* of shingles, as two signed longs, by XXH3's 128-bit hash."""
+def wide_simhash(text: str | None, width: int, seed: int) -> tuple[int, int, np.ndarray]:
+    """128 bits of the *set* of shingles, as two signed longs, by XXH3's 128-bit hash; and the lower halves of its hashes, sorted."""
     found = set(shingles(text, width))
     hashes = np.frombuffer(b"".join(xxh3_128_digest(s, seed) for s in found), np.uint64).reshape(-1, 2)
-    return _majority(np.ascontiguousarray(hashes[:, 0])), _majority(np.ascontiguousarray(hashes[:, 1]))
+    return _majority(np.ascontiguousarray(hashes[:, 0])), _majority(np.ascontiguousarray(hashes[:, 1])), np.unique(hashes[:, 0]).view(np.int64)
 
 
 def jaccard(a: str | None, b: str | None, width: int) -> float:

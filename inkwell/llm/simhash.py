@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import Tables, cut, need, with_few
 from .components import components
 from .gph import near_links
 from .hashing import jaccard, simhash, wide_simhash
+from .prefixes import common_shingles, crossing_pairs, prefix
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,7 +63,7 @@ def near_duplicates(
     return marked.join(whole, "fp", "left").select(id_col, "fp", "component_id")
 
 
-#: Of 128 bits: up to so many differ, all pairs are found; up to so many, pairs that meet are compared word by word.
+#: Radius and reach of the first search among 128-bit fingerprints. They decide what it costs, not what is found.
 WIDE_BITS, WIDE_ACCEPT = 15, 30
 
 
@@ -70,43 +73,58 @@ def near_copies(
     """Columns ``id_col``, ``row`` (hash of the text), ``component_id`` for each row of ``docs``.
 
     Rows are linked if the Jaccard similarity of their sets of ``width``-word
-    shingles is ``similarity`` or more. At 0.8, two sets differ in about 19 of
-    128 SimHash bits, so candidates come from 128-bit fingerprints: the search
-    finds all pairs up to ``WIDE_BITS`` and, as each group of bits has its own
-    threshold, most pairs a good way beyond; the nearest links of every bucket
-    are then verified on the texts. Rows of equal fingerprints are one node.
-    Rows without words (null, empty, white space) are linked to each other.
-    ``component_id`` is the smallest id reachable; null ids and repeated rows
-    are as in :func:`near_duplicates`.
+    shingles is ``similarity`` or more; all such pairs count. The nearest links
+    among 128-bit SimHash fingerprints, verified on the texts, join most rows
+    first. Pairs that they miss share a shingle of their prefixes
+    (:mod:`.prefixes`): all pairs that may still join two groups are verified,
+    too, so the groups are those of brute force whatever the fingerprints'
+    plan. Rows of equal sets are one node. Rows without words (null, empty,
+    white space) are linked to each other. ``component_id`` is the smallest id
+    reachable; null ids and repeated rows are as in :func:`near_duplicates`.
     """
     need(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    common = common_shingles(texts.select("row", "text"), width, seed)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [wide_simhash(t.as_py(), width, seed) for t in batch.column(2)]
             words = [pa.array([f[w] for f in found], pa.int64()) for w in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *words], ["doc", "row", "fp0", "fp1"])
+            node = pa.array([int(np.uint64(xxh64_intdigest(f[2].tobytes())).view(np.int64)) for f in found], pa.int64())
+            size = pa.array([len(f[2]) for f in found], pa.int32())
+            keys = pa.array([prefix(f[2], common, similarity) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *words, node, size, keys], ["doc", "row", "fp0", "fp1", "node", "size", "keys"]
+            )
 
     tables = Tables(docs.sparkSession)
-    marked = tables.write(texts.mapInArrow(mark, f"doc {kind}, row long, fp0 long, fp1 long").withColumn("node", F.xxhash64("fp0", "fp1")))
-    nodes = cut(marked.groupBy("node").agg(F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"), F.min(F.struct("doc", "row")).alias("keep")))
-    links = cut(near_links(nodes.select("node", "fp0", "fp1"), WIDE_BITS, ["fp0", "fp1"], nearest=True, accept=WIDE_ACCEPT)
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # one text for each end of a link, fetched once
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    ends = ends.join(nodes, "node").select("node", F.col("keep.doc").alias("doc"), F.col("keep.row").alias("row"))
-    shown = tables.write(with_few(texts.where("doc is not null"), ends, ["doc", "row"]).dropDuplicates(["node"]).select("node", "text"))
-    pairs = links.join(shown.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    pairs = pairs.join(shown.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [jaccard(x.as_py(), y.as_py(), width) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    roots = components(pairs.mapInArrow(verify, "a long, b long"))
+    marked = tables.write(texts.mapInArrow(mark, f"doc {kind}, row long, fp0 long, fp1 long, node long, size int, keys array<bigint>"))
+    keep = F.min(F.struct("doc", "row")).alias("keep")
+    nodes = tables.write(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp0", "fp1", "size", "keys")], keep))
+
+    def verified(links: DataFrame) -> DataFrame:
+        # one text for each end of a link, fetched once; a hash of the id, as ids may be null
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+        ends = ends.join(nodes, "node").select("node", F.xxhash64("keep.doc").alias("at"), F.col("keep.row").alias("row"))
+        here = texts.select(F.xxhash64("doc").alias("at"), "row", "text")
+        shown = tables.write(with_few(here, cut(ends), ["at", "row"]).dropDuplicates(["node"]).select("node", "text"))
+        pairs = links.join(shown.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        pairs = pairs.join(shown.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                same = [jaccard(x.as_py(), y.as_py(), width) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+        return cut(pairs.mapInArrow(verify, "a long, b long"))
+
+    near = near_links(nodes.select("node", "fp0", "fp1"), WIDE_BITS, ["fp0", "fp1"], nearest=True, accept=WIDE_ACCEPT)
+    links = verified(cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    first = components(links)
+    parted = nodes.where("size > 0").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("part"), "size", "keys")
+    more = crossing_pairs(tables.write(parted), tables, similarity)
+    roots = components(links.unionByName(verified(more))) if more.limit(1).count() else first
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     known = member.join(nodes.select("node", "keep"), "node")
     least = known.groupBy("root").agg(F.min("keep.doc").alias("least"))
