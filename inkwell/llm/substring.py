@@ -153,10 +153,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     # one of each distinct run: that of the smallest id
     one = runs.groupBy("m", "s").agg(F.min(F.struct("doc", "row", "at", "n")).alias("o"))
     one = tables.write(one.select("m", "s", "o.*"))
-    copies = (
-        runs.join(one.select("m", "s", F.col("doc").alias("keeper")), ["m", "s"])
-        .where("doc > keeper").select("doc", "row", "at", "n")
-    )
+    kept = one.select("m", "s", F.col("doc").alias("keeper"), F.col("row").alias("kept_row"), F.col("at").alias("kept_at"))
+    seen = runs.join(kept, ["m", "s"])
+    copies = seen.where("doc > keeper").select("doc", "row", "at", "n")
+    # the keeper has the run at other places, too: what is found in it holds there
+    again = seen.where("doc = keeper and (row <> kept_row or at <> kept_at)").select("m", "s", "doc", "row", F.col("at").alias("start"))
     several = one.groupBy("m").count().where("count > 1").select("m", F.ceil(F.col("count") / SHARD).cast("int").alias("grid"))
     wanted = one.join(several, "m")
     per_doc = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("m", "s", "at", "n", "grid")).alias("runs"))
@@ -186,18 +187,22 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     shards = (
         found.withColumn("c", F.explode(cells))
         .groupBy("m", "c.q", "c.i")
-        .agg(F.collect_list(F.struct("doc", "row", "at", "c.side", "words")).alias("members"))
+        .agg(F.collect_list(F.struct("doc", "row", "at", "c.side", "words", "m", "s")).alias("members"))
         .select("members")
     )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [hit for members in batch.column(0) for hit in shard_hits(members.as_py(), window)]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            types = [batch.schema.field(0).type.value_type.field(0).type, pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc", "row", "at", "n"])
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            types = [batch.schema.field(0).type.value_type.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc", "row", "m", "s", "start", "off", "n"]
+            )
 
-    matched = shards.mapInArrow(stream, f"doc {kind}, row long, at int, n int")
+    direct = tables.write(shards.mapInArrow(stream, f"doc {kind}, row long, m long, s long, start int, off int, n int"))
+    there = direct.select("m", "s", "off", "n").join(again, ["m", "s"])
+    matched = direct.unionByName(there, allowMissingColumns=True).select("doc", "row", (F.col("start") + F.col("off")).alias("at"), "n")
     hits = tables.write(
         copies.unionByName(matched).groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
     )
@@ -242,7 +247,7 @@ def _with_texts(texts: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def shard_hits(members: list[dict], window: int) -> list[tuple]:
-    """(doc, row, first window, windows) that occur in a member with a smaller id.
+    """(doc, row, m, s, the run's first word, first window in the run, windows) that occur in a member with a smaller id.
 
     ``side`` 1 is streamed, 2 is reference, 3 is both.
     """
@@ -261,10 +266,10 @@ def shard_hits(members: list[dict], window: int) -> list[tuple]:
                     if have >= window:
                         first = k if first is None else first
                     elif first is not None:
-                        out.append((r["doc"], r["row"], r["at"] + first - window + 1, k - first))
+                        out.append((r["doc"], r["row"], r["m"], r["s"], r["at"], first - window + 1, k - first))
                         first = None
                 if first is not None:
-                    out.append((r["doc"], r["row"], r["at"] + first - window + 1, len(words) - first))
+                    out.append((r["doc"], r["row"], r["m"], r["s"], r["at"], first - window + 1, len(words) - first))
         for r, words in zip(members[at:end], split, strict=True):
             if r["side"] & 2:
                 automaton.add(words)

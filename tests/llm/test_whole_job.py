@@ -1,10 +1,11 @@
 """Cases that the operators once did in part only."""
 
 import numpy as np
-from test_llm import WORDS, roots, table
+from test_llm import WORDS, brute_repeats, roots, table
 
 from inkwell.llm.hashing import jaccard
 from inkwell.llm.simhash import near_copies
+from inkwell.llm.substring import remove_repeats
 
 
 def family(rng, members, edits, length=300):
@@ -23,3 +24,15 @@ def test_near_copies_of_families_are_those_of_brute_force(spark):
     got = {r.doc_id: r.component_id for r in near_copies(table(spark, texts)).collect()}
     pairs = [(i, j) for i in range(len(texts)) for j in range(i - i % 8, i) if jaccard(texts[i], texts[j], 5) >= 0.8]
     assert [got[i] for i in range(len(texts))] == roots(pairs, len(texts))
+
+
+def test_substrings_in_a_block_that_its_document_repeats(spark):
+    rng = np.random.default_rng(14)
+    draw = lambda n: " ".join(rng.choice(WORDS, n))
+    passage, block = draw(60), f"{draw(80)} %s {draw(80)}"
+    block = block % passage
+    texts = [f"{draw(70)} {passage} {draw(70)}", f"{block} {draw(30)} {block}", f"{draw(5)} {block}", draw(90)]
+    found, tables = remove_repeats(table(spark, texts))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()}
+    tables.drop()
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 50) and got[1][1] == 120
