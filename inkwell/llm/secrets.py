@@ -12,11 +12,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regex import let
 from .common import Tables, need
 
 #: A candidate is so long a run of key characters, at least, with a digit in it.
 LEAST_LENGTH = 16
 _KEY = rf"[A-Za-z0-9+/_\-]{{{LEAST_LENGTH},}}={{0,2}}"
+#: Words, or runs of the same word, that stand near before a candidate.
+NEAR = 3
 #: Labelled findings that the forest is fitted to, about and at most.
 SAMPLE = 20_000
 TREES, DEPTH, SEED, THRESHOLD = 20, 6, 7, 0.5
@@ -41,10 +44,12 @@ FEATURES = (
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """(``id_col``, at, candidate, kind, and :data:`FEATURES`), one row a candidate; ``at`` is its word's number from 0.
+    """(``id_col``, at, nth, candidate, kind, and :data:`FEATURES`), one row a candidate.
 
-    Null and empty texts have none. Of a word with several runs the first
-    counts. Repeated rows each give theirs. Other columns are not read.
+    ``at`` is its word's number from 0, ``nth`` its run's number in the word:
+    every run of a word counts. Null and empty texts have none. Repeated rows
+    each give theirs. Other columns are not read. What stands near a run is
+    ``NEAR`` words or other runs of its word before it and two after it.
     """
     need(docs, id_col, text_col, *([path_col] if path_col else []))
     path = F.coalesce(F.lower(F.col(path_col).cast("string")), F.lit("")) if path_col else F.lit("")
@@ -55,10 +60,36 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def near(k: int) -> Column:
         return F.coalesce(F.get("w", F.col("at") + k), F.lit(""))
 
+    def runs_of(word: Column) -> Column:
+        # run i stands between apart[i] and apart[i + 1]; both are found once a word
+        both = F.struct(F.regexp_extract_all(word, F.lit(_KEY), 0).alias("runs"), F.split(word, _KEY, -1).alias("apart"))
+
+        def each(b: Column) -> Column:
+            def text(name: str, k: Column) -> Column:
+                return F.when(k >= 0, F.coalesce(F.get(b[name], k), F.lit(""))).otherwise("")
+
+            def run(r: Column, i: Column) -> Column:
+                left = [text(name, i - k) for k in range(NEAR, 0, -1) for name in ("apart", "runs")]
+                right = [text(name, i + k) for k in (1, 2) for name in ("apart", "runs")]
+                return F.struct(
+                    i.alias("nth"), r.alias("candidate"), F.concat(*left, text("apart", i)).alias("left"),
+                    F.concat(*right, text("apart", i + 3)).alias("right"), (F.size(b["runs"]) - i).alias("to_end"),
+                )
+
+            return F.filter(F.transform(b["runs"], run), lambda x: x["candidate"].rlike("[0-9]"))
+
+        return let(both, each)
+
+    found = found.select(
+        id_col, "path", "at", F.concat_ws(" ", near(-3), near(-2), near(-1)).alias("words_before"),
+        F.concat_ws(" ", near(1), near(2)).alias("words_after"), F.explode(runs_of(F.col("word"))).alias("r"),
+    )
+    # other words are near the first and the last runs only, so a long word's runs do not each carry its neighbours
     found = found.select(
-        id_col, "path", "at", "word", F.regexp_extract("word", _KEY, 0).alias("candidate"),
-        F.concat_ws(" ", near(-3), near(-2), near(-1)).alias("before"), F.concat_ws(" ", near(1), near(2)).alias("after"),
-    ).where(F.col("candidate").rlike("[0-9]"))
+        id_col, "path", "at", "r.nth", "r.candidate", "r.left", "r.right", "r.to_end",
+        F.when(F.col("r.nth") < NEAR, F.col("words_before")).otherwise("").alias("before"),
+        F.when(F.col("r.to_end") <= 2, F.col("words_after")).otherwise("").alias("after"),
+    )
     c, size = F.col("candidate"), F.length("candidate")
 
     def share(pattern: str) -> Column:
@@ -70,7 +101,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = F.lit("generic")
     for name, pattern in reversed(FORMATS):
         kind = F.when(c.rlike(pattern), name).otherwise(kind)
-    around = F.concat_ws(" ", "before", "word", "after")
+    around = F.concat_ws(" ", "before", F.concat("left", "candidate", "right"), "after")
+    until = F.concat_ws(" ", "before", F.concat("left", "candidate", F.when(F.col("to_end") == 1, F.col("right")).otherwise("")))
     return found.withColumns({
         "kind": kind,
         "length": size.cast("double"),
@@ -82,13 +114,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "hex": flag(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "only_digits": flag(c.rlike("^[0-9]+$")),
         "credential_near": flag(around.rlike(CREDENTIAL)),
-        "credential_before": flag(F.concat_ws(" ", "before", "word").rlike(CREDENTIAL + r"\S*\s*[=:]")),
-        "assigned": flag(F.col("before").rlike(r"[=:]\W*$") | F.col("word").rlike(r"[=:]\W*" + _KEY)),
-        "quoted": flag(F.col("word").rlike("[\"'`]" + _KEY)),
+        "credential_before": flag(until.rlike(CREDENTIAL + r"\S*\s*[=:]")),
+        "assigned": flag(F.col("before").rlike(r"[=:]\W*$") | F.col("left").rlike(r"[=:]\W*$")),
+        "quoted": flag(F.col("left").rlike("[\"'`]$")),
         "example_near": flag(around.rlike(EXAMPLE)),
         "path_example": flag(F.col("path").rlike(EXAMPLE)),
         "path_code": flag(F.col("path").rlike(r"\.(py|js|ts|java|go|rb|env|ya?ml|json|toml|ini|cfg|sh)$")),
-    }).drop("path", "before", "after", "word")
+    }).drop("path", "before", "after", "left", "right", "to_end")
 
 
 def rule_labels(found: DataFrame) -> DataFrame:

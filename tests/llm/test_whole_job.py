@@ -1,8 +1,11 @@
 """Cases that the operators once did in part only."""
 
+import hashlib
+
 import numpy as np
 from test_llm import WORDS, brute_repeats, roots, table
 
+from inkwell.llm import secrets
 from inkwell.llm.hashing import jaccard
 from inkwell.llm.simhash import near_copies
 from inkwell.llm.substring import remove_repeats
@@ -36,3 +39,14 @@ def test_substrings_in_a_block_that_its_document_repeats(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()}
     tables.drop()
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 50) and got[1][1] == 120
+
+
+def test_secrets_of_every_run(spark):
+    aws, ghp = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzzKEY", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"
+    hexes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(6)]
+    texts = [f"AWS_SECRET_ACCESS_KEY={aws}", f"x GITHUB_ACCESS_TOKEN={ghp} y", '{"token":"%s","id":"%s"}' % tuple(hexes[:2]), "&".join(f"https://a.b/?k={h}" for h in hexes), f'the token = "{hexes[0]}" of it']
+    rows = secrets.candidates(table(spark, texts)).collect()
+    got = [sorted((r.at, r.nth, r.candidate) for r in rows if r.doc_id == i) for i in range(len(texts))]
+    assert [[c for _, _, c in g] for g in got] == [[aws], [ghp], hexes[:2], hexes, hexes[:1]]
+    by = {(r.doc_id, r.candidate): r for r in rows}
+    assert by[0, aws].credential_before == by[0, aws].assigned == 1 and by[1, ghp].kind == "vendor_token" and by[2, hexes[1]].quoted == by[2, hexes[1]].assigned == 1
