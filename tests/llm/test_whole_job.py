@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 from test_llm import WORDS, brute_repeats, roots, table
 
 from inkwell.llm import secrets
@@ -50,3 +51,17 @@ def test_secrets_of_every_run(spark):
     assert [[c for _, _, c in g] for g in got] == [[aws], [ghp], hexes[:2], hexes, hexes[:1]]
     by = {(r.doc_id, r.candidate): r for r in rows}
     assert by[0, aws].credential_before == by[0, aws].assigned == 1 and by[1, ghp].kind == "vendor_token" and by[2, hexes[1]].quoted == by[2, hexes[1]].assigned == 1
+
+
+@pytest.mark.parametrize("cell", [2, 1024])
+def test_near_copies_do_not_hang_on_fingerprints(spark, monkeypatch, cell):
+    """Pairs at 0.8 to 0.84 are found even if the fingerprints find none, in lists of any length."""
+    monkeypatch.setattr("inkwell.llm.prefixes.CELL", cell)
+    monkeypatch.setattr("inkwell.llm.simhash.WIDE_BITS", 3)
+    monkeypatch.setattr("inkwell.llm.simhash.WIDE_ACCEPT", 3)
+    rng = np.random.default_rng(12)
+    texts = [t for _ in range(30) for t in family(rng, 2, 3)] + [t for _ in range(3) for t in family(rng, 9, 3)]
+    texts += ["a b c d e f", "a b c d e g", "a b c", "a b c d e"]
+    got = {r.doc_id: r.component_id for r in near_copies(table(spark, texts)).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j], 5) >= 0.8]
+    assert [got[i] for i in range(len(texts))] == roots(pairs, len(texts)) and len(pairs) > 30
