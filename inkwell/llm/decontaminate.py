@@ -115,8 +115,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, most_share: float = 0.5, id
     words left are joined by one space, as they were written.
     """
     found = contamination(docs, items, id_col=id_col, text_col=text_col, **names).where("n_hit > 0").dropDuplicates([id_col, "row"])
-    found = cut(found.select(F.col(id_col), F.col("row").alias("__row"), F.col("hits").alias("__hits"), (F.col("n_hit") / F.col("n_words")).alias("__share")))
-    joined = with_few(docs.withColumn("__row", F.xxhash64(text_col)), found, [id_col, "__row"], "left")
+    share = (F.col("n_hit") / F.col("n_words")).alias("__share")
+    # a hash of the id, which a null has, too
+    found = cut(found.select(F.xxhash64(id_col).alias("__id"), F.col("row").alias("__row"), F.col("hits").alias("__hits"), share))
+    rows = docs.withColumn("__id", F.xxhash64(id_col)).withColumn("__row", F.xxhash64(text_col))
+    joined = with_few(rows, found, ["__id", "__row"], "left")
     written = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)
     left = F.filter(written, lambda w, i: ~F.exists("__hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["n"])))
     text = F.when(F.col("__hits").isNull(), F.col(text_col)).otherwise(F.array_join(left, " "))

@@ -100,7 +100,8 @@ def near_copies(
 
     tables = Tables(docs.sparkSession)
     marked = tables.write(texts.mapInArrow(mark, f"doc {kind}, row long, fp0 long, fp1 long, node long, size int, keys array<bigint>"))
-    keep = F.min(F.struct("doc", "row")).alias("keep")
+    # a struct's null comes first, so ids that are null are put last
+    keep = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("keep")
     nodes = tables.write(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp0", "fp1", "size", "keys")], keep))
 
     def verified(links: DataFrame) -> DataFrame:

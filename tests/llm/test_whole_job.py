@@ -7,8 +7,9 @@ import pytest
 from test_llm import WORDS, brute_repeats, roots, table
 
 from inkwell.llm import secrets
+from inkwell.llm.decontaminate import decontaminate
 from inkwell.llm.hashing import jaccard
-from inkwell.llm.simhash import near_copies
+from inkwell.llm.simhash import drop_copies, near_copies
 from inkwell.llm.substring import remove_repeats
 
 
@@ -65,3 +66,18 @@ def test_near_copies_do_not_hang_on_fingerprints(spark, monkeypatch, cell):
     got = {r.doc_id: r.component_id for r in near_copies(table(spark, texts)).collect()}
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j], 5) >= 0.8]
     assert [got[i] for i in range(len(texts))] == roots(pairs, len(texts)) and len(pairs) > 30
+
+
+def test_near_copies_with_null_ids(spark):
+    rng = np.random.default_rng(13)
+    a, b = family(rng, 2, 1)
+    docs = spark.createDataFrame([(None, a), (3, a), (4, a), (2, b), (None, b)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_copies(docs).collect()} == {(None, 2), (2, 2), (3, 2), (4, 2)}
+    assert sorted(str(r.doc_id) for r in drop_copies(docs).collect()) == ["2", "None", "None"]
+
+
+def test_benchmark_with_null_ids(spark):
+    item = " ".join(WORDS[:12])
+    docs = spark.createDataFrame([(None, f"one two {item} three " * 1 + "x " * 30)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r.text for r in decontaminate(docs, items).collect()] == ["one two three " + "x " * 30]
