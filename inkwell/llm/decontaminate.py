@@ -10,6 +10,8 @@ from .common import cut, need, with_few
 #: A-Z, which are lower-cased, and what no word holds.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for texts as they are written: what no word holds, A-Z being letters.
+APART = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: Benchmark windows that are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 #: Words whose hash finds the windows that may start at a word.
@@ -109,10 +111,10 @@ def _merge(done: Column, span: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, most_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """``docs`` without benchmark text: hit words are cut out, and documents with a share of them over ``most_share`` dropped.
+    """``docs`` without benchmark text: hit spans are cut out, and documents with a share of hit words over ``most_share`` dropped.
 
-    Documents without hits keep their text byte for byte; of the others the
-    words left are joined by one space, as they were written.
+    All else stays byte for byte, but for the white space before a span, which
+    goes with it. A hit is of its text, whatever its id, null included.
     """
     found = contamination(docs, items, id_col=id_col, text_col=text_col, **names).where("n_hit > 0").dropDuplicates([id_col, "row"])
     share = (F.col("n_hit") / F.col("n_words")).alias("__share")
@@ -120,8 +122,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, most_share: float = 0.5, id
     found = cut(found.select(F.xxhash64(id_col).alias("__id"), F.col("row").alias("__row"), F.col("hits").alias("__hits"), share))
     rows = docs.withColumn("__id", F.xxhash64(id_col)).withColumn("__row", F.xxhash64(text_col))
     joined = with_few(rows, found, ["__id", "__row"], "left")
-    written = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)
-    left = F.filter(written, lambda w, i: ~F.exists("__hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["n"])))
-    text = F.when(F.col("__hits").isNull(), F.col(text_col)).otherwise(F.array_join(left, " "))
+    # a word with what stands before it is a piece; what follows the last word is the last piece
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"[{APART}]*+[^{APART}]++|[{APART}]++"), 0)
+
+    def left(piece: Column, i: Column) -> Column:
+        before = F.regexp_replace(F.regexp_extract(piece, f"^[{APART}]*+", 0), r"[\x20\x09-\x0D]++$", "")
+        hit = F.exists("__hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["n"]))
+        return F.when(~hit, piece).when(F.exists("__hits", lambda h: h["at"] == i), before).otherwise("")
+
+    text = F.when(F.col("__hits").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(pieces, left), ""))
     kept = joined.where(f"__share is null or __share <= {most_share}")
     return kept.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -81,3 +81,12 @@ def test_benchmark_with_null_ids(spark):
     docs = spark.createDataFrame([(None, f"one two {item} three " * 1 + "x " * 30)], "doc_id long, text string")
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert [r.text for r in decontaminate(docs, items).collect()] == ["one two three " + "x " * 30]
+
+
+def test_benchmark_cuts_spans_only(spark):
+    item = " ".join(WORDS[:10])
+    rest = "I don't,  at 3.14%:\n\n- « é »\t(so" + " filler." * 20
+    texts = [f"{rest}\n\n{item.upper()}.\n\nEnd -- of \"it\".\n", f"{item}, then", f"{rest}: ({item})", rest]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = {r.doc_id: r.text for r in decontaminate(table(spark, texts), items, 0.95).collect()}
+    assert kept == {0: f"{rest}.\n\nEnd -- of \"it\".\n", 1: ", then", 2: f"{rest}: ()", 3: rest}
