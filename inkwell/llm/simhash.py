@@ -14,7 +14,7 @@ from .common import Tables, cut, need, with_few
 from .components import components
 from .gph import near_links
 from .hashing import jaccard, simhash, wide_simhash
-from .prefixes import common_shingles, crossing_pairs, prefix
+from .prefixes import common_shingles, crossing_pairs, parity, prefix
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,15 +94,15 @@ def near_copies(
             node = pa.array([int(np.uint64(xxh64_intdigest(f[2].tobytes())).view(np.int64)) for f in found], pa.int64())
             size = pa.array([len(f[2]) for f in found], pa.int32())
             keys = pa.array([prefix(f[2], common, similarity) for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *words, node, size, keys], ["doc", "row", "fp0", "fp1", "node", "size", "keys"]
-            )
+            odd = pa.array([parity(f[2]) for f in found], pa.binary())
+            names = ["doc", "row", "fp0", "fp1", "node", "size", "keys", "parity"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *words, node, size, keys, odd], names)
 
     tables = Tables(docs.sparkSession)
-    marked = tables.write(texts.mapInArrow(mark, f"doc {kind}, row long, fp0 long, fp1 long, node long, size int, keys array<bigint>"))
+    marked = tables.write(texts.mapInArrow(mark, f"doc {kind}, row long, fp0 long, fp1 long, node long, size int, keys array<bigint>, parity binary"))
     # a struct's null comes first, so ids that are null are put last
     keep = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("keep")
-    nodes = tables.write(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp0", "fp1", "size", "keys")], keep))
+    nodes = tables.write(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp0", "fp1", "size", "keys", "parity")], keep))
 
     def verified(links: DataFrame) -> DataFrame:
         # one text for each end of a link, fetched once; a hash of the id, as ids may be null
@@ -123,7 +123,7 @@ def near_copies(
     near = near_links(nodes.select("node", "fp0", "fp1"), WIDE_BITS, ["fp0", "fp1"], nearest=True, accept=WIDE_ACCEPT)
     links = verified(cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     first = components(links)
-    parted = nodes.where("size > 0").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("part"), "size", "keys")
+    parted = nodes.where("size > 0").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("part"), "size", "keys", "parity")
     more = crossing_pairs(tables.write(parted), tables, similarity)
     roots = components(links.unionByName(verified(more))) if more.limit(1).count() else first
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

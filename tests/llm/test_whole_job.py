@@ -9,6 +9,7 @@ from test_llm import WORDS, brute_repeats, roots, table
 from inkwell.llm import secrets
 from inkwell.llm.decontaminate import decontaminate
 from inkwell.llm.hashing import jaccard
+from inkwell.llm.prefixes import parity, unlike
 from inkwell.llm.simhash import drop_copies, near_copies
 from inkwell.llm.substring import remove_repeats
 
@@ -90,3 +91,11 @@ def test_benchmark_cuts_spans_only(spark):
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     kept = {r.doc_id: r.text for r in decontaminate(table(spark, texts), items, 0.95).collect()}
     assert kept == {0: f"{rest}.\n\nEnd -- of \"it\".\n", 1: ", then", 2: f"{rest}: ()", 3: rest}
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(15)
+    for n, m, both in ((300, 320, 270), (40, 700, 30), (1, 1, 0), (5000, 4000, 3900)):
+        h = np.unique(rng.integers(-(2**63), 2**63 - 1, n + m))
+        a, b = h[:n], h[n - both : n - both + m]
+        assert unlike(parity(a), parity(b)) <= len(np.setxor1d(a, b)) and unlike(parity(a), parity(a)) == 0
