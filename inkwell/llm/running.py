@@ -26,11 +26,13 @@ def with_running(rows: DataFrame, group: list[str], key: str, order: list[str],
 
     ``group`` columns must not be null. Rows that tie in ``key`` and ``order``
     are taken in any order, so they should be equal. ``per_group`` columns (one
-    row a group) are attached on the way, at the level of buckets.
+    row a group) are attached on the way, at the level of buckets. Rows are
+    dealt by group and bucket, however they were dealt before.
     """
     n = rows.count()
     digits = max(1, min(8, math.ceil(math.log(max(n, 1) / BUCKET_ROWS, 16)))) if n > BUCKET_ROWS else 1
-    rows = rows.withColumn("_bucket", F.substring(key, 1, digits))
+    # dealt anew: rows that a join dealt by group alone would keep a hot group in one task
+    rows = rows.withColumn("_bucket", F.substring(key, 1, digits)).repartition(*group, "_bucket")
     buckets = rows.groupBy(*group, "_bucket").agg(*[F.sum(c).alias(f"_in_{new}") for new, c in sums.items()])
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumns({f"_up_{new}": F.coalesce(F.sum(f"_in_{new}").over(before), F.lit(0)) for new in sums})
