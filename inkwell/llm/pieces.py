@@ -8,10 +8,14 @@ character that is no piece of its own is an unknown piece.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-#: Words up to this length are handled together; longer ones alone, rescaled.
+#: Words up to this length are handled together without rescaling; longer ones with words of like length.
 SHORT = 30
+#: Columns after which probabilities of longer words are rescaled, and cells (column, word, language) of words handled together.
+RESCALE, CELLS = 8, 1 << 21
 #: No piece is less likely than this, so that short words cannot underflow.
 FLOOR = 1e-9
 MARK = "▁"
@@ -66,21 +70,6 @@ class Lattice:
             self.piece[states[h]] = self.ids.get(h, -1)
         self.inner = count
 
-    def matches(self, word: str) -> list[tuple[int, int, int]]:
-        """(start, end, piece) within the marked word."""
-        text, ids, heads, found = MARK + word, self.ids, self.heads, []
-        n = len(text)
-        for i in range(n):
-            if text[i] not in ids:
-                found.append((i, i + 1, self.unknown))
-            for j in range(i + 1, n + 1):
-                part = text[i:j]
-                if part not in heads:
-                    break
-                if part in ids:
-                    found.append((i, j, ids[part]))
-        return found
-
     def stacked(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """(word, start, end, piece) of all words, ordered by end."""
         chars = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -104,75 +93,87 @@ class Lattice:
         at = np.concatenate([p for p, _, _ in found])
         start = offset[at]
         end = start + np.concatenate([np.full(len(p), d) for p, d, _ in found])
-        order = np.argsort(end.astype(np.int16), kind="stable")
+        order = np.argsort(end.astype(np.int16 if end.max(initial=0) < 1 << 15 else np.int64), kind="stable")
         return tuple(x[order] for x in (word[at], start, end, np.concatenate([x for _, _, x in found])))
 
     def log_likelihoods(self, words: list[str], probs: np.ndarray) -> np.ndarray:
-        """One row a word, one column a language; ``probs`` is pieces x languages."""
+        """One row a word of any length, one column a language; ``probs`` is pieces x languages."""
         out = np.empty((len(words), probs.shape[1]))
-        short = [k for k, w in enumerate(words) if len(w) <= SHORT]
-        if short:
-            out[short] = self._forward([words[k] for k in short], probs)
-        for k, w in enumerate(words):
-            if len(w) > SHORT:
-                out[k] = self._long(w, probs)
+        for rows in together(words, probs.shape[1]):
+            out[rows] = self._forward([words[k] for k in rows], probs)
         return out
 
     def _forward(self, words: list[str], probs: np.ndarray) -> np.ndarray:
+        """Sums over all segmentations, column by column; only as many columns are kept as a piece can span."""
         count, langs = len(words), probs.shape[1]
         word, start, end, piece = self.stacked(words)
-        alpha = np.zeros((SHORT + 2, count, langs))
+        lengths = np.array([len(w) + 1 for w in words])
+        last, ring = int(lengths.max()), self.most + 1
+        alpha = np.zeros((ring, count, langs))
         alpha[0] = 1
-        bounds = np.searchsorted(end, np.arange(1, SHORT + 3))
-        for j in range(1, SHORT + 2):
-            s = slice(bounds[j - 1], bounds[j])
-            if s.start == s.stop:
-                continue
-            ways = alpha[start[s], word[s]] * probs[piece[s]]
+        scale, out = np.zeros((count, langs)), np.zeros((count, langs))
+        bounds = np.searchsorted(end, np.arange(1, last + 2))
+        for j in range(1, last + 1):
+            s, column = slice(bounds[j - 1], bounds[j]), alpha[j % ring]
+            ways = alpha[start[s] % ring, word[s]] * probs[piece[s]]
             for lang in range(langs):
-                alpha[j, :, lang] = np.bincount(word[s], ways[:, lang], count)
-        lengths = np.array([len(w) + 1 for w in words])
-        return np.log(alpha[lengths, np.arange(count)])
-
-    def _long(self, word: str, probs: np.ndarray) -> np.ndarray:
-        """The same for a word of any length: the last columns are rescaled as it goes."""
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(len(word) + 2)]
-        for i, j, p in self.matches(word):
-            ending[j].append((i, p))
-        alpha, scale = {0: np.ones(probs.shape[1])}, np.zeros(probs.shape[1])
-        for j in range(1, len(word) + 2):
-            alpha[j] = sum(alpha[i] * probs[p] for i, p in ending[j])
-            alpha.pop(j - 40, None)  # longer than any piece
-            if j % 8 == 0:
-                most = np.max(list(alpha.values()), axis=0)
+                column[:, lang] = np.bincount(word[s], ways[:, lang], count)
+            if last > SHORT + 1 and j % RESCALE == 0:
+                most = alpha.max(axis=0)
+                most[most == 0] = 1  # a word that has ended
+                alpha /= most
                 scale += np.log(most)
-                alpha = {k: v / most for k, v in alpha.items()}
-        return np.log(np.maximum(alpha[len(word) + 1], 1e-300)) + scale
+            if len(ends := np.flatnonzero(lengths == j)):
+                out[ends] = np.log(column[ends]) + scale[ends]
+        return out
 
     def expected_counts(self, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in weighted words of one language (forward and backward).
+        """Expected uses of each piece in weighted words of any length, of one language (forward and backward)."""
+        out = np.zeros(self.unknown + 1)
+        for rows in together(words, 2):
+            out += self._expected([words[k] for k in rows], weights[rows], probs)
+        return out
 
-        Words longer than ``SHORT`` do not teach.
-        """
+    def _expected(self, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
         count = len(words)
         word, start, end, piece = self.stacked(words)
-        p = probs[piece]
-        alpha = np.zeros((SHORT + 2, count))
-        alpha[0] = 1
-        bounds = np.searchsorted(end, np.arange(1, SHORT + 3))
-        for j in range(1, SHORT + 2):
+        p, lengths = probs[piece], np.array([len(w) + 1 for w in words])
+        last = int(lengths.max())
+        # column j of alpha holds e ** -up[j] of the true values, that of beta e ** -down[j]
+        alpha, beta = np.zeros((last + 1, count)), np.zeros((last + 1, count))
+        up, down = np.zeros((last + 1, count)), np.zeros((last + 1, count))
+        alpha[0], beta[lengths, np.arange(count)] = 1, 1
+        bounds = np.searchsorted(end, np.arange(1, last + 2))
+        for j in range(1, last + 1):
             s = slice(bounds[j - 1], bounds[j])
-            if s.start < s.stop:
-                alpha[j] = np.bincount(word[s], alpha[start[s], word[s]] * p[s], count)
-        lengths = np.array([len(w) + 1 for w in words])
-        beta = np.zeros((SHORT + 2, count))
-        beta[lengths, np.arange(count)] = 1
-        order = np.argsort(start.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(start[order], np.arange(0, SHORT + 3))
-        for i in range(SHORT + 1, -1, -1):
-            at = order[bounds[i] : bounds[i + 1]]
-            if len(at):
-                beta[i] += np.bincount(word[at], beta[end[at], word[at]] * p[at], count)
-        total = alpha[lengths, np.arange(count)]
-        use = weights[word] * alpha[start, word] * p * beta[end, word] / total[word]
-        return np.bincount(piece, use, self.unknown + 1)
+            at, w = start[s], word[s]
+            alpha[j] = np.bincount(w, alpha[at, w] * p[s] * np.exp(up[at, w] - up[j - 1, w]), count)
+            most = np.where((alpha[j] > 0) & (j % RESCALE == 0), alpha[j], 1)
+            alpha[j] /= most
+            up[j] = up[j - 1] + np.log(most)
+        order = np.argsort(start, kind="stable")
+        bounds = np.searchsorted(start[order], np.arange(0, last + 2))
+        for i in range(last - 1, -1, -1):
+            s = order[bounds[i] : bounds[i + 1]]
+            to, w = end[s], word[s]
+            beta[i] += np.bincount(w, beta[to, w] * p[s] * np.exp(down[to, w] - down[i + 1, w]), count)
+            most = np.where((beta[i] > 0) & (i % RESCALE == 0), beta[i], 1)
+            beta[i] /= most
+            down[i] = down[i + 1] + np.log(most)
+        total = np.log(alpha[lengths, np.arange(count)]) + up[lengths, np.arange(count)]
+        use = alpha[start, word] * p * beta[end, word] * np.exp(up[start, word] + down[end, word] - total[word])
+        return np.bincount(piece, weights[word] * use, self.unknown + 1)
+
+
+def together(words: list[str], langs: int) -> Iterator[np.ndarray]:
+    """Numbers of words that are handled at once: short ones, and longer ones of like length, within ``CELLS`` cells."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    if (short := np.flatnonzero(sizes <= SHORT)).size:
+        yield short
+    rows = np.flatnonzero(sizes > SHORT)
+    rows = rows[np.argsort(sizes[rows], kind="stable")]
+    while len(rows):
+        n = max(1, CELLS // (langs * (2 * int(sizes[rows[0]]) + 2)))
+        n = min(n, int(np.searchsorted(sizes[rows], 2 * sizes[rows[0]], side="right")))
+        yield rows[:n]
+        rows = rows[n:]
