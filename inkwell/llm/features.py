@@ -67,8 +67,15 @@ class WordIds(dict):
 
     def features(self, text: str | None) -> np.ndarray:
         """Distinct features of a whole text, in order."""
-        words = set(_LETTERS.findall(text.lower())) if text else ()
-        return np.array(sorted({i for w in words for i in self[w]}), np.int32)
+        return self.of_words(letter_words(text) if text else ())
+
+    def of_words(self, words) -> np.ndarray:
+        return np.array(sorted({i for w in set(words) for i in self[w]}), np.int32)
+
+
+def letter_words(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    return _LETTERS.findall(text.lower())
 
 
 def hashed(word: str, bits: int, salt: str = "") -> int:
@@ -91,23 +98,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int,
     return docs.where(F.col(text_col).isNotNull()).join(side, id_col).select(F.col(text_col).alias("text"), "label")
 
 
-def collect_features(sample: DataFrame, extract: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Labels, hashed features and dense features of the sample, on the driver; texts stay where they are."""
+#: What a text gives a model: hashed features, dense ones, and pairs of hashed features that should score alike.
+Extracted = tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]
+
+
+def collect_features(sample: DataFrame, extract: Callable[[str], Extracted]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Labels, hashed features, dense features and pairs of the sample, on the driver; texts stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = pa.list_(pa.int32())
         for batch in batches:
             found = [extract(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([d for _, d in found], pa.list_(pa.float64()))],
-                ["label", "ids", "dense"],
+                [
+                    batch.column(1), pa.array([a for a, _, _ in found], ints), pa.array([d for _, d, _ in found], pa.list_(pa.float64())),
+                    pa.array([[a for a, _ in p] for _, _, p in found], pa.list_(ints)), pa.array([[b for _, b in p] for _, _, p in found], pa.list_(ints)),
+                ],
+                ["label", "ids", "dense", "left", "right"],
             )
 
-    table = sample.mapInArrow(run, "label int, ids array<int>, dense array<double>").toArrow()
+    table = sample.mapInArrow(run, "label int, ids array<int>, dense array<double>, left array<array<int>>, right array<array<int>>").toArrow()
     ids = [np.array(x, np.int32) for x in table["ids"].to_pylist()]
     # a fixed order, so that a rerun fits the same model
     dense = np.array(table["dense"].to_pylist(), float).reshape(len(ids), -1) if ids else np.empty((0, 0))
     order = sorted(range(len(ids)), key=lambda i: (len(ids[i]), ids[i].tobytes(), dense[i].tobytes()))
-    return table["label"].to_numpy()[order].astype(float), [ids[i] for i in order], dense[order]
+    left, right = (table[side].to_pylist() for side in ("left", "right"))
+    pairs = [(np.array(a, np.int32), np.array(b, np.int32)) for i in order for a, b in zip(left[i], right[i], strict=True)]
+    return table["label"].to_numpy()[order].astype(float), [ids[i] for i in order], dense[order], pairs
 
 
 def score_texts(docs: DataFrame, scorer: Callable[[], Callable[[str | None], float]], threshold: float, text_col: str, keep: list[str] | None) -> DataFrame:

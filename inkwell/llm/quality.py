@@ -31,12 +31,14 @@ class Machine:
         x = np.concatenate((np.full(len(ids), 1 / np.sqrt(max(1, len(ids)))), np.clip((dense - self.mean) / self.scale, -4, 4)))
         return np.concatenate((ids, np.arange(WORDS, WORDS + len(dense)))), x
 
+    def pairs(self, at: np.ndarray, x: np.ndarray) -> float:
+        """The sum over i < j of <v_i, v_j> x_i x_j, in time linear in the features: half of (square of sum - sum of squares)."""
+        vx = self.v[at] * x[:, None]
+        return float(0.5 * (np.square(vx.sum(axis=0)) - np.square(vx).sum(axis=0)).sum())
+
     def score(self, ids: np.ndarray, dense: np.ndarray) -> float:
-        """In time linear in the features: the pairwise sum is half of (square of sum - sum of squares)."""
         at, x = self.inputs(ids, dense)
-        vx = self.v[at] * x[:, None]
-        pairs = 0.5 * (np.square(vx.sum(axis=0)) - np.square(vx).sum(axis=0)).sum()
-        return float(logistic(self.bias + self.w[at] @ x + pairs))
+        return float(logistic(self.bias + self.w[at] @ x + self.pairs(at, x)))
 
 
 def _word_ids() -> WordIds:
@@ -44,11 +46,17 @@ def _word_ids() -> WordIds:
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 7) -> Machine:
-    """Fits to about ``sample`` labelled rows at most. Without labels every score is one half."""
+    """Fits to about ``sample`` labelled rows at most. Without labels every score is one half.
+
+    Null labels and texts, and labels without a row, teach nothing; an empty
+    text is a text without words; rows that share an id all have its label (a
+    null id has none). Texts of any length are read whole. Other columns are not
+    read.
+    """
     need(docs, id_col, text_col)
     need(labels, id_col, target)
     words = _word_ids()
-    y, ids, dense = collect_features(labelled_sample(docs, labels, target, sample, id_col, text_col), lambda t: (words.features(t), structure(t)))
+    y, ids, dense, _ = collect_features(labelled_sample(docs, labels, target, sample, id_col, text_col), lambda t: (words.features(t), structure(t), []))
     size, rng = WORDS + len(STRUCTURE), np.random.default_rng(seed)
     if not len(y):
         return Machine(0.0, np.zeros(size), np.zeros((size, FACTORS)), np.zeros(len(STRUCTURE)), np.ones(len(STRUCTURE)))
@@ -81,8 +89,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
-    Whole texts; null and empty ones get the score of a text without words.
-    Columns of these names are replaced, others passed through.
+    Whole texts of any length; null and empty ones get the score of a text
+    without words. Null ids and repeated rows are rows like any other; an empty
+    table gives no rows. Columns of these names are replaced, others passed
+    through.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(machine)
 
