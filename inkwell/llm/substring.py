@@ -13,8 +13,9 @@ that can hold its windows:
 * Equal windows have the same minimiser (the least hash of their short word
   runs), so a document's windows fall into runs of one minimiser each, and
   shards are dealt by minimiser. One that a single document has needs no shard.
-* Copies of a run are one: the smallest id keeps it, all others lose it whole.
-  Only runs that differ but share a minimiser are streamed.
+* Equal runs, told by a 128-bit BLAKE2b digest of their words, give equal
+  results, so a shard has each run twice at most: of the smallest id, and of the
+  next one, which stands for all others.
 * A minimiser with more runs than a shard holds becomes a grid of reference
   shards by streams, so no task gets an unbounded group.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .automaton import SuffixAutomaton
-from .common import Tables, need
+from .common import Tables, cut, need, with_few
 
 #: Words of the short runs whose least hash is a window's minimiser.
 GRAM = 8
@@ -78,30 +79,21 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:n], values[width - size : width - size + n])
 
 
-def window_runs(words: list[bytes], window: int, hasher: dict) -> tuple[np.ndarray, ...]:
-    """(minimiser, hash of the run's words, first window, windows) of each run of windows with one minimiser."""
+def window_runs(words: list[bytes], window: int, hasher: dict) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(minimiser, digest of the run's words, first window, windows) of each run of windows with one minimiser."""
     if len(words) < window:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
+        none = np.empty(0, np.int64)
+        return none, [], none, none
     gram = min(GRAM, window)
     hashes = np.fromiter((hasher[w] for w in words), np.uint64, len(words))
     least = _least(_rolled(hashes, gram), window - gram + 1)
     start = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     end = np.concatenate((start[1:], [len(least)]))
-    # sums of h_i * B^i, shifted to the same power, are equal for equal words
-    power = np.cumprod(np.full(len(hashes) + 1, _BASE))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * power[:-1])))
-    whole = (sums[end + window - 1] - sums[start]) * power[len(hashes) - start]
-    whole += (end - start).astype(np.uint64) * _MIX
-    return least[start].view(np.int64), _placed(whole, len(hashes)).view(np.int64), start, end - start
-
-
-def _placed(values: np.ndarray, length: int) -> np.ndarray:
-    return values * _inverse_power(length)
-
-
-def _inverse_power(length: int) -> np.uint64:
-    """B^-length modulo 2^64: takes a document's own length out of its hashes."""
-    return np.uint64(pow(int(_BASE), -length, 1 << 64))
+    joined = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digests = [hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(starts[start].tolist(), ends[end + window - 2].tolist(), strict=True)]
+    return least[start].view(np.int64), digests, start, end - start
 
 
 def _digest(words: list[bytes]) -> str:
@@ -112,8 +104,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     """Columns ``id_col``, ``n_words``, ``n_removed``, ``kept`` (binary), ``kept_sha256``; one row a row of ``docs``.
 
     ``kept`` is null where nothing was removed (the text has all of it). Null
-    and empty texts have no words. A window is judged on the input, not on what
-    is left elsewhere. Rows that share an id are no reference for each other. A
+    and empty texts have no words; texts of any length are taken whole. A window
+    is judged on the input, not on what is left elsewhere. Rows that share an id are no reference for each other. A
     row whose id is null keeps all its words and is no reference. Other columns
     are not read; an empty table gives no rows. The second value holds the
     tables in the shared folder, to be dropped when the result is written.
@@ -122,7 +114,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     spark, tables = docs.sparkSession, Tables(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     kind = texts.schema["doc"].dataType.simpleString()
-    run_type = "array<struct<m:bigint,s:bigint,at:int,n:int>>"
+    run_type = "array<struct<m:bigint,d:binary,at:int,n:int>>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
@@ -135,9 +127,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 runs = window_runs(words if doc.is_valid else [], window, hasher)
                 sizes.append(len(runs[0]))
                 parts.append(runs)
-            m, s, at, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            m, at, n = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
+            digests = pa.array([d for p in parts for d in p[1]], pa.binary())
             rows = pa.StructArray.from_arrays(
-                [pa.array(m), pa.array(s), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["m", "s", "at", "n"]
+                [pa.array(m), digests, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["m", "d", "at", "n"]
             )
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -148,38 +141,33 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     scanned = tables.write(texts.mapInArrow(scan, f"doc {kind}, row long, n_words long, sha string, runs {run_type}"))
     runs = scanned.select("doc", "row", F.explode("runs").alias("r")).select("doc", "row", "r.*")
     shared = runs.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("m")
-    runs = tables.write(runs.join(shared, "m"))
-
-    # one of each distinct run: that of the smallest id
-    one = runs.groupBy("m", "s").agg(F.min(F.struct("doc", "row", "at", "n")).alias("o"))
-    one = tables.write(one.select("m", "s", "o.*"))
-    kept = one.select("m", "s", F.col("doc").alias("keeper"), F.col("row").alias("kept_row"), F.col("at").alias("kept_at"))
-    seen = runs.join(kept, ["m", "s"])
-    copies = seen.where("doc > keeper").select("doc", "row", "at", "n")
-    # the keeper has the run at other places, too: what is found in it holds there
-    again = seen.where("doc = keeper and (row <> kept_row or at <> kept_at)").select("m", "s", "doc", "row", F.col("at").alias("start"))
+    runs = tables.write(with_few(runs, cut(shared), ["m"]))
+
+    # a run is of its smallest id (role 1) or of a larger one (role 2); each role is streamed once
+    keepers = runs.groupBy("m", "d").agg(F.min("doc").alias("keeper"))
+    runs = tables.write(runs.join(keepers, ["m", "d"]).withColumn("role", F.when(F.col("doc") > F.col("keeper"), 2).otherwise(1)).drop("keeper"))
+    one = runs.groupBy("m", "d", "role").agg(F.min(F.struct("doc", "row", "at", "n")).alias("o"))
+    one = tables.write(one.select("m", "d", "role", "o.*"))
     several = one.groupBy("m").count().where("count > 1").select("m", F.ceil(F.col("count") / SHARD).cast("int").alias("grid"))
-    wanted = one.join(several, "m")
-    per_doc = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("m", "s", "at", "n", "grid")).alias("runs"))
+    wanted = with_few(one, cut(several), ["m"])
+    per_doc = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("m", "d", "role", "at", "n", "grid")).alias("runs"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, row, text, wanted_runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, wanted_runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
                 for r in wanted_runs:
                     part = b" ".join(words[r["at"] : r["at"] + r["n"] + window - 1])
-                    out.append((doc, row, r["m"], r["s"], r["at"], r["grid"], part))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc", "row", "m", "s", "at", "grid", "words"]
-            )
+                    out.append((doc, r["m"], r["d"], r["role"], r["grid"], part))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            types = [batch.schema.field(0).type, pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc", "m", "d", "role", "grid", "words"])
 
-    found = _with_texts(texts, per_doc).select("doc", "row", "text", "runs").mapInArrow(
-        segments, f"doc {kind}, row long, m long, s long, at int, grid int, words binary"
+    found = _with_texts(texts, per_doc).select("doc", "text", "runs").mapInArrow(
+        segments, f"doc {kind}, m long, d binary, role int, grid int, words binary"
     )
-    mine, every = F.pmod(F.col("s"), F.col("grid")).cast("int"), F.sequence(F.lit(0), F.col("grid") - 1)
+    mine, every = F.pmod(F.xxhash64("d", "role"), F.col("grid")).cast("int"), F.sequence(F.lit(0), F.col("grid") - 1)
     cell = lambda q, i, side: F.struct(q.alias("q"), i.alias("i"), F.lit(side).alias("side"))
     cells = F.when(F.col("grid") == 1, F.array(cell(F.lit(0), F.lit(0), 3))).otherwise(
         F.concat(F.transform(every, lambda c: cell(mine, c, 1)), F.transform(every, lambda c: cell(c, mine, 2)))
@@ -187,24 +175,22 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     shards = (
         found.withColumn("c", F.explode(cells))
         .groupBy("m", "c.q", "c.i")
-        .agg(F.collect_list(F.struct("doc", "row", "at", "c.side", "words", "m", "s")).alias("members"))
+        .agg(F.collect_list(F.struct("doc", "c.side", "words", "m", "d", "role")).alias("members"))
         .select("members")
     )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [hit for members in batch.column(0) for hit in shard_hits(members.as_py(), window)]
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            types = [batch.schema.field(0).type.value_type.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc", "row", "m", "s", "start", "off", "n"]
-            )
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["m", "d", "role", "off", "windows"])
 
-    direct = tables.write(shards.mapInArrow(stream, f"doc {kind}, row long, m long, s long, start int, off int, n int"))
-    there = direct.select("m", "s", "off", "n").join(again, ["m", "s"])
-    matched = direct.unionByName(there, allowMissingColumns=True).select("doc", "row", (F.col("start") + F.col("off")).alias("at"), "n")
+    streamed = tables.write(shards.mapInArrow(stream, "m long, d binary, role int, off int, windows int"))
+    # what is found in a run holds wherever its document, or in its stead any later one, has it
+    matched = runs.drop("n").join(streamed, ["m", "d", "role"]).select("doc", "row", (F.col("at") + F.col("off")).alias("at"), F.col("windows").alias("n"))
     hits = tables.write(
-        copies.unionByName(matched).groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
+        matched.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
     )
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +233,7 @@ def _with_texts(texts: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def shard_hits(members: list[dict], window: int) -> list[tuple]:
-    """(doc, row, m, s, the run's first word, first window in the run, windows) that occur in a member with a smaller id.
+    """(m, d, role, first window in the run, windows) that occur in a member with a smaller id.
 
     ``side`` 1 is streamed, 2 is reference, 3 is both.
     """
@@ -261,17 +247,23 @@ def shard_hits(members: list[dict], window: int) -> list[tuple]:
         split = [r["words"].split(b" ") for r in members[at:end]]
         for r, words in zip(members[at:end], split, strict=True):
             if r["side"] & 1 and len(automaton.step) > 1:
-                first = None
-                for k, have in enumerate(automaton.statistics(words)):
-                    if have >= window:
-                        first = k if first is None else first
-                    elif first is not None:
-                        out.append((r["doc"], r["row"], r["m"], r["s"], r["at"], first - window + 1, k - first))
-                        first = None
-                if first is not None:
-                    out.append((r["doc"], r["row"], r["m"], r["s"], r["at"], first - window + 1, len(words) - first))
+                out += [(r["m"], r["d"], r["role"], first, n) for first, n in spans(automaton.statistics(words), window)]
         for r, words in zip(members[at:end], split, strict=True):
-            if r["side"] & 2:
+            # a later copy adds nothing to a reference that has the run
+            if r["side"] & 2 and r["role"] == 1:
                 automaton.add(words)
         at = end
     return out
+
+
+def spans(statistics: Iterator[int], window: int) -> Iterator[tuple[int, int]]:
+    """(first window, windows) of each maximal stretch of words whose matching statistic is ``window`` or more."""
+    first, k = None, -1
+    for k, have in enumerate(statistics):
+        if have >= window:
+            first = k if first is None else first
+        elif first is not None:
+            yield first - window + 1, k - first
+            first = None
+    if first is not None:
+        yield first - window + 1, k + 1 - first
