@@ -62,7 +62,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "at", "kind", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+    return found.select("doc_id", "at", "nth", "kind", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-DataFrame operations only: candidates, features, training and scoring run in
-the JVM.
+The forest learns from labelled findings: reviewed ones, or those of texts into
+which secrets, and strings that only look like some, were planted. There the
+label is what was planted, not a rule over the features, so a part can be held
+out and precision and recall measured. DataFrame operations only: candidates,
+features, training and scoring run in the JVM.
 """
 
 from __future__ import annotations
@@ -9,20 +12,27 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.regex import let
-from .common import Tables, need
-
-#: A candidate is so long a run of key characters, at least, with a digit in it.
-LEAST_LENGTH = 16
-_KEY = rf"[A-Za-z0-9+/_\-]{{{LEAST_LENGTH},}}={{0,2}}"
+from .common import cut, need
+
+#: A candidate is so long a run of key characters, at least, or a shorter value that is assigned to a credential.
+LEAST_LENGTH, LEAST_ASSIGNED = 16, 8
+_KEY = rf"[A-Za-z0-9+/_\-]{{{LEAST_LENGTH},}}(?:={{1,2}}(?![A-Za-z0-9+/_\-=\"'`]))?"
+#: Names of credentials whose assigned values count from ``LEAST_ASSIGNED`` characters on.
+_ASSIGNED = (
+    r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api_?key)[\"']?\s*[=:]\s*[\"'`]?"
+    rf"([^\s\"'`,;&=:]{{{LEAST_ASSIGNED},{LEAST_LENGTH - 1}}})[\"'`,;&.)}}\]>]*$"
+)
 #: Words, or runs of the same word, that stand near before a candidate.
 NEAR = 3
 #: Labelled findings that the forest is fitted to, about and at most.
 SAMPLE = 20_000
-TREES, DEPTH, SEED, THRESHOLD = 20, 6, 7, 0.5
+TREES, DEPTH, SEED, THRESHOLD = 20, 8, 7, 0.5
+#: Texts with a planted finding, and parts of them of which one is held out.
+PLANTED, FOLDS = 6000, 4
 #: Words that announce a credential, words of examples, and common words found inside identifiers.
 CREDENTIAL = r"(?i)(token|secret|passw|api|key|auth|bearer|credential|private)"
 EXAMPLE = r"(?i)(example|sample|dummy|fake|placeholder|changeme|xxxx|todo|test)"
@@ -39,7 +49,7 @@ FORMATS = (
 )
 FEATURES = (
     "length", "transitions", "digits", "capitals", "distinct", "dictionary", "hex", "only_digits",
-    "credential_near", "credential_before", "assigned", "quoted", "example_near", "path_example", "path_code",
+    "credential_near", "credential_before", "assigned", "quoted", "example_near", "block_before", "path_example", "path_code",
 )
 
 
@@ -47,19 +57,27 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(``id_col``, at, nth, candidate, kind, and :data:`FEATURES`), one row a candidate.
 
     ``at`` is its word's number from 0, ``nth`` its run's number in the word:
-    every run of a word counts. Null and empty texts have none. Repeated rows
-    each give theirs. Other columns are not read. What stands near a run is
-    ``NEAR`` words or other runs of its word before it and two after it.
+    every run of a word counts. A shorter value at a word's end that is assigned
+    to a credential is one, too, with ``nth`` -1. Null and empty texts have
+    none, and an empty table gives no rows. Null ids and repeated rows each give
+    theirs. Texts and words of any length are read whole. Other columns are not
+    read. What stands near a run is ``NEAR`` words or other runs of its word
+    before it and two after it.
     """
     need(docs, id_col, text_col, *([path_col] if path_col else []))
     path = F.coalesce(F.lower(F.col(path_col).cast("string")), F.lit("")) if path_col else F.lit("")
     words = docs.select(F.col(id_col), path.alias("path"), F.split(text_col, r"[\x20\x09-\x0D]+").alias("w"))
     found = words.select(id_col, "path", "w", F.posexplode("w").alias("at", "word"))
-    found = found.where((F.length("word") >= LEAST_LENGTH) & F.col("word").rlike(_KEY) & F.col("word").rlike("[0-9]"))
 
     def near(k: int) -> Column:
         return F.coalesce(F.get("w", F.col("at") + k), F.lit(""))
 
+    # short values end with a word that is assigned in itself or follows an assignment
+    follows = F.col("word").rlike("[=:]") | near(-1).rlike("[=:][\"'`]?$") | near(-1).isin("=", ":")
+    ends = F.when((F.length("word") >= LEAST_ASSIGNED) & follows, F.regexp_extract(F.concat_ws(" ", near(-2), near(-1), F.col("word")), _ASSIGNED, 1)).otherwise("")
+    long = (F.length("word") >= LEAST_LENGTH) & F.col("word").rlike(_KEY)
+    found = found.where((F.length("word") >= LEAST_ASSIGNED) & (long | follows)).withColumn("ends", ends).where(long | (F.col("ends") != ""))
+
     def runs_of(word: Column) -> Column:
         # run i stands between apart[i] and apart[i + 1]; both are found once a word
         both = F.struct(F.regexp_extract_all(word, F.lit(_KEY), 0).alias("runs"), F.split(word, _KEY, -1).alias("apart"))
@@ -76,7 +94,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     F.concat(*right, text("apart", i + 3)).alias("right"), (F.size(b["runs"]) - i).alias("to_end"),
                 )
 
-            return F.filter(F.transform(b["runs"], run), lambda x: x["candidate"].rlike("[0-9]"))
+            ends = F.struct(
+                F.lit(-1).alias("nth"), F.col("ends").alias("candidate"), F.regexp_extract(word, r"^(.*?[=:]|)[\"'`]?", 0).alias("left"), F.lit("").alias("right"), F.lit(1).alias("to_end"),
+            )
+            return F.filter(F.concat(F.transform(b["runs"], run), F.array(ends)), lambda x: x["candidate"].rlike("[A-Za-z0-9]"))
 
         return let(both, each)
 
@@ -118,22 +139,69 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "assigned": flag(F.col("before").rlike(r"[=:]\W*$") | F.col("left").rlike(r"[=:]\W*$")),
         "quoted": flag(F.col("left").rlike("[\"'`]$")),
         "example_near": flag(around.rlike(EXAMPLE)),
+        "block_before": flag(until.rlike(r"PRIVATE KEY-----\s*\S*$")),
         "path_example": flag(F.col("path").rlike(EXAMPLE)),
         "path_code": flag(F.col("path").rlike(r"\.(py|js|ts|java|go|rb|env|ya?ml|json|toml|ini|cfg|sh)$")),
     }).drop("path", "before", "after", "left", "right", "to_end")
 
 
-def rule_labels(found: DataFrame) -> DataFrame:
-    """Findings labelled by rule, where no reviewed labels exist.
+#: What is planted ({k} is the finding, {w} a word), how the finding is spelled, and whether it is a secret.
+PLANTS = (
+    ('token = "{k}"', "hex40", 1), ("token: {k}", "hex32", 1), ("api_key={k}", "mixed32", 1), ("AWS_SECRET_ACCESS_KEY={k}", "mixed40", 1), ("Authorization: Bearer {k}", "mixed40", 1),
+    ('{"user":"{w}","password":"{k}"}', "mixed18", 1), ("{k}", "vendor", 1), ("{k}", "aws", 1), ("client_secret = '{k}'", "letters24", 1), ("password = {k}", "mixed12", 1), ("passwd: '{k}'", "mixed10", 1),
+    ("https://{w}.org/?id=7&auth={k}", "mixed24", 1), ("-----BEGIN RSA PRIVATE KEY----- {k}", "mixed64", 1), ("export {w}_TOKEN={k}", "vendor", 1), ("secret {w} = {k}", "hex64", 1),
+    ("commit {k}", "hex40", 0), ("sha256:{k}", "hex64", 0), ("etag: \"{k}\"", "hex32", 0), ("id = {k}", "digits16", 0), ("{w} {k}", "digits16", 0), ("token {w} {k}", "digits16", 0), ("key: {k}", "digits18", 0),
+    ("{k}", "path", 0), ("see {k}", "path", 0), ("{k}", "uuid", 0), ("session {k}", "uuid", 0), ("{w} {k}", "joined", 0), ("{k}", "joined", 0), ("{w}: {k}", "joined", 0), ("{k}", "name", 0), ("the key is {k}", "name", 0),
+    ('token = "{k}"', "sample", 0), ("example token = {k}", "hex40", 0), ("test api_key={k}", "mixed32", 0), ("password = {k}", "changeme", 0), ("api_key: {k}", "slug", 0), ("data:image/png;base64,{k}", "mixed64", 0),
+    ("{k}", "marks", 0), ("secret garden {k}", "joined", 0), ("authority {w} {k}", "joined", 0),
+)
+_SYLLABLES = "tion ver en ge lich and ing er ble the on re schaft men qui tra".split()
+
+
+def planted_findings(spark: SparkSession, n: int = PLANTED, seed: int = SEED) -> DataFrame:
+    """Candidates of ``n`` seeded texts that each hold one of :data:`PLANTS`, with ``label`` and ``held_out`` (one part of ``FOLDS``).
 
-    A credential word with an assignment before a run that isn't only digits,
-    holds no dictionary words and stands by no example word is a secret (1);
-    runs without a credential word, only digits, or of an example are not (0).
-    The rest is left without a label.
+    Every other candidate of such a text is no secret. The same seed gives the
+    same findings.
     """
-    sure = (F.col("credential_before") == 1) & (F.col("only_digits") == 0) & (F.col("dictionary") < 0.3) & (F.col("example_near") == 0)
-    never = (F.col("credential_near") == 0) | (F.col("only_digits") == 1) | (F.col("example_near") == 1)
-    return found.withColumn("label", F.when(sure, 1.0).when(never, 0.0)).where("label is not null")
+    def draw(name: str, k: int | Column = 0) -> Column:
+        return F.sha2(F.concat_ws("|", F.lit(f"{seed}|{name}"), F.col("id"), F.lit(k) if isinstance(k, int) else k), 256)
+
+    def below(most: int, name: str, k: int | Column = 0) -> Column:
+        return F.pmod(F.conv(F.substring(draw(name, k), 1, 8), 16, 10).cast("long"), F.lit(most)).cast("int")
+
+    def word(name: str, k: int | Column = 0, parts: int = 3) -> Column:
+        table = F.array(*map(F.lit, _SYLLABLES))
+        return F.concat(*[F.get(table, below(len(_SYLLABLES), f"{name}{p}", k)) for p in range(parts)])
+
+    many = F.translate(F.concat(F.base64(F.unhex(draw("m"))), F.base64(F.unhex(draw("m", 1)))), "=", "Q")
+    mixed = F.regexp_replace(many, "[+/]", "9")
+    digits = F.concat(F.conv(F.substring(draw("n"), 1, 13), 16, 10), F.lit("4929"), F.conv(F.substring(draw("n", 1), 1, 13), 16, 10))
+    h = draw("h")
+    spelled = {
+        "hex32": F.substring(h, 1, 32), "hex40": F.substring(h, 1, 40), "hex64": h, "vendor": F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)),
+        "aws": F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), "letters24": F.substring(F.translate(mixed, "0123456789", "QvXtZkWpJr"), 1, 24),
+        "path": F.concat_ws("/", F.lit("/usr/share"), word("p"), word("q", 0, 2), F.concat(word("r"), F.lit("2"))), "joined": word("j", 0, 7), "marks": F.repeat(F.lit("-"), 20),
+        "name": F.concat_ws("_", word("p"), word("q"), word("r", 0, 2), F.lit("v2")), "slug": F.concat_ws("-", F.lit("your"), word("p"), F.lit("key"), F.lit("goes-here1")),
+        "sample": F.concat(F.lit("example_"), F.substring(h, 1, 24)), "changeme": F.concat(F.lit("changeme"), F.substring(digits, 1, 4)),
+        "uuid": F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
+    }
+    spelled |= {f"mixed{k}": F.substring(many if k >= 40 else mixed, 1, k) for k in (10, 12, 18, 24, 32, 40, 64)}
+    spelled |= {f"digits{k}": F.substring(digits, 1, k) for k in (16, 18)}
+    kinds = list(spelled)
+
+    def planted(values: list) -> Column:
+        return F.get(F.array(*map(F.lit, values)), F.col("plant"))
+
+    rows = spark.range(n).withColumn("plant", below(len(PLANTS), "plant")).withColumn("all", F.array(*spelled.values()))
+    rows = rows.withColumns({"shown": planted([p[0] for p in PLANTS]), "how": planted([kinds.index(p[1]) for p in PLANTS]), "secret": planted([p[2] for p in PLANTS])})
+    rows = rows.select("id", F.get("all", F.col("how")).alias("key"), "shown", "secret", word("w").alias("w"), *[
+        F.concat_ws(" ", *[word(side, k) for k in range(5)]).alias(side) for side in ("before", "after")
+    ])
+    text = F.concat_ws(" ", "before", F.replace(F.replace("shown", F.lit("{w}"), F.col("w")), F.lit("{k}"), F.col("key")), "after")
+    found = candidates(rows.select("id", text.alias("text")), id_col="id").join(rows.select("id", "key", "secret"), "id")
+    label = ((F.col("candidate") == F.col("key")) & (F.col("secret") == 1)).cast("double")
+    return found.withColumn("label", label).withColumn("held_out", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)) == 0).drop("key", "secret")
 
 
 def _assembled(found: DataFrame) -> DataFrame:
@@ -168,6 +236,12 @@ def score(found: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """Every candidate of ``docs`` with its score; the forest learns from ``labelled`` or, without it, from :func:`rule_labels`."""
-    found = Tables(docs.sparkSession).write(candidates(docs, id_col, text_col, path_col))
-    return score(found, fit(rule_labels(found) if labelled is None else labelled))
+    """Every candidate of ``docs`` with its score; nulls, repeats, empty tables and other columns are as in :func:`candidates`.
+
+    The forest learns from ``labelled`` findings (rows of :func:`candidates`
+    with ``label`` 0 or 1) or, where there are none, from those of
+    :func:`planted_findings` that are not held out.
+    """
+    if labelled is None:
+        labelled = cut(planted_findings(docs.sparkSession).where("not held_out"))
+    return score(candidates(docs, id_col, text_col, path_col), fit(labelled))
