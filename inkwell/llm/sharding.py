@@ -5,29 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, cut, need
+from .common import Tables, cut, need, with_few
 from .running import spread_key, with_running
 
-#: Rounds of propagation at most; it ends earlier when nobody moves.
-ROUNDS = 8
+#: Rounds of propagation at most; it ends when nobody moves. Every move takes rows to the larger part of their group, so it does end.
+ROUNDS = 100
 
 
 def shard(
     docs: DataFrame, shards: int = 16, seed: str = "shard-1", rounds: int = ROUNDS,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", whole: bool = False,
 ) -> DataFrame:
-    """Columns ``id_col``, ``row`` (hash of the text), ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
+    """Columns ``id_col``, ``row`` (a hash), ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``, one row a row of ``docs``.
+
+    With ``whole``, all columns of ``docs`` and then the last six of these
+    names (columns of ``docs`` with such a name are replaced); ``row`` is then a
+    hash of the whole row, by which places and rows meet again. Otherwise it is
+    one of the text, and other columns are not read.
 
     The law is ``rows``: numbers of rows are at most one apart. ``slot`` counts
     a shard's rows from 0. ``size`` is the text's UTF-8 bytes plus 1 (null: 1;
     its CRC-32 is 0, as that of an empty text). Rows of equal texts are linked
     to each other; null texts are linked to nothing. Repeated rows are rows of
-    their own. An empty table gives no rows. ``grown_shard`` is null.
+    their own. A null id is placed like an empty one. Texts of any length are
+    read once. An empty table gives no rows. ``grown_shard`` is null.
 
-    Every row starts in a seeded shard. In each round the linked rows move to
-    the shard that most of their neighbours are in, among those with room, as
-    far as the room goes; so a group larger than a shard fills one after the
-    other. Rows of a group are alike to its others, so the labels are counts by
+    Every row starts in a seeded shard. In each round the linked rows of the
+    smaller parts of a group move to the shard with room that most of their
+    neighbours are in, as far as the room goes; so a group larger than a shard
+    fills one after the other. Rows of a group are alike to its others, so the labels are counts by
     group and shard, and a round is a few joins of that table. Rows without
     links then fill all shards to their quotas.
     """
@@ -36,7 +42,7 @@ def shard(
     tables = Tables(docs.sparkSession)
     rows = tables.write(
         docs.select(
-            F.col(id_col), F.xxhash64(text).alias("row"),
+            F.col(id_col), F.xxhash64(*(docs.columns if whole else [text])).alias("row"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"),
             F.when(text.isNotNull(), F.xxhash64(text)).alias("g"),
@@ -60,7 +66,8 @@ def shard(
     # where each group's rows go: rank in the group -> shard and slot
     placed = with_running(counts.withColumn("order", spread_key(seed, F.col("g"))), ["shard"], "order", ["g"], {"slot0": "n"})
     plan = placed.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("shard", "n", "slot0"))).alias("parts"))
-    linked = rows.join(plan.select("g"), "g", "left_semi")
+    groups = cut(plan.select("g"))
+    linked = with_few(rows, groups, ["g"], "left_semi")
     ranked = with_running(linked.withColumn("one", F.lit(1)), ["g"], "order", ["row"], {"rank": "one"}, plan)
     part = F.aggregate(
         "parts",
@@ -71,7 +78,7 @@ def shard(
         ).otherwise(F.struct((a["left"] - p["n"]).alias("left"), a["shard"].alias("shard"), a["slot"].alias("slot"))),
     )
     linked = ranked.withColumn("p", part)
-    single = rows.join(plan.select("g"), "g", "left_anti").withColumn("all", F.lit(0)).withColumn("one", F.lit(1))
+    single = with_few(rows, groups, ["g"], "left_anti").withColumn("all", F.lit(0)).withColumn("one", F.lit(1))
     single = with_running(single, ["all"], "order", ["row"], {"rank": "one"})
     room, at = F.lit(None).cast("struct<shard:int,slot:bigint>"), total - sum(load)
     for s in reversed(range(shards)):
@@ -81,7 +88,15 @@ def shard(
     single = single.withColumn("p", room)
     names = [id_col, "row", "size", "text_crc32", F.lit("rows").alias("law")]
     names += [F.col("p.shard").alias("shard"), F.col("p.slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard")]
-    return linked.select(*names).unionByName(single.select(*names))
+    places = linked.select(*names).unionByName(single.select(*names))
+    if not whole:
+        return places
+    added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    key = [F.xxhash64(id_col).alias("__id"), F.xxhash64(*docs.columns).alias("__row")]
+    places = places.select(F.xxhash64(id_col).alias("__id"), F.col("row").alias("__row"), *added)
+    # equal rows have one text here and as many places as there are rows; the places, short rows, may be split by adaptive execution
+    once = docs.select("*", *key).dropDuplicates(["__id", "__row"]).drop(*added)
+    return places.join(once, ["__id", "__row"]).select(*[c for c in docs.columns if c not in added], *added)
 
 
 def _load(counts: DataFrame, shards: int) -> list[int]:
@@ -107,12 +122,14 @@ def _shift(counts: DataFrame, wish: DataFrame, room: list[int], seed: str) -> tu
 
 
 def _propagate(counts: DataFrame, room: list[int], seed: str) -> tuple[DataFrame, int]:
-    """One round: rows outside full shards wish to be where most of their group are, full shards apart."""
+    """One round: parts of a group wish to be where its largest part in a shard with room is, if that is larger than they are."""
     open_shards = [s for s, r in enumerate(room) if r > 0]
-    free = counts.where(F.col("shard").isin(open_shards)) if open_shards else counts.where("false")
-    target = free.groupBy("g").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("best"))
-    target = target.select("g", (-F.col("best.s")).alias("to"))
-    return _shift(counts, free.join(target, "g").where("shard <> to"), room, seed)
+    if not open_shards:
+        return counts, 0
+    size = F.struct("n", (-F.col("shard")).alias("s"))
+    target = counts.where(F.col("shard").isin(open_shards)).groupBy("g").agg(F.max(size).alias("best"))
+    wish = counts.join(target, "g").where(size < F.col("best")).select("g", "shard", "n", (-F.col("best.s")).alias("to"))
+    return _shift(counts, wish, room, seed)
 
 
 def _unload(counts: DataFrame, load: list[int], quota: list[int], seed: str) -> tuple[DataFrame, list[int]]:
