@@ -31,6 +31,8 @@ from .common import cut
 
 #: Cost of a row dealt out and of a candidate compared, in the same unit.
 ROW_COST, PAIR_COST = 1.0, 0.01
+#: For fewer fingerprints than these, rows cost as if there were so many: their plan's size counts, too.
+FEW = 1000
 #: Members of a bucket that one task compares; larger buckets become a grid.
 CELL = 1024
 
@@ -190,7 +192,7 @@ def make_plan(n: int, both: np.ndarray, tau: int) -> Plan:
                 flips = _choose(len(group), t)
                 rows += flips if t == 0 else flips / 2  # one of two finds the other
                 # beyond 5000 rows a fingerprint no plan is of use
-                cost.append(n * rows * ROW_COST + n * n / 2 * near[t] * PAIR_COST if rows <= 5000 else float("inf"))
+                cost.append(max(n, FEW) * rows * ROW_COST + n * n / 2 * near[t] * PAIR_COST if rows <= 5000 else float("inf"))
             costs.append(cost)
         cost, thresholds = allocate(costs, tau - m + 1)
         plans.append((cost, Plan(groups, thresholds)))
@@ -223,6 +225,8 @@ def near_links(
     columns = columns or ["node"]
     if plan is None:
         n, both = bit_statistics(fps, columns)
+        if not n:
+            return fps.sparkSession.createDataFrame([], "a long, b long")
         plan = make_plan(n, both, tau)
     most = max(tau, accept or 0)
     probes = F.array(*[F.struct(*map(F.lit, p)) for p in plan.probes(len(columns))])
