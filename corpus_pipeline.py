@@ -1,18 +1,20 @@
 """The corpus pipeline: documents in, sharded training documents out.
 
 Each stage takes what its predecessor kept, written as Parquet and read again.
+In all of them texts of any length are taken whole, a null id is a row like any
+other, repeated rows count each unless a stage says otherwise, an empty table
+gives no rows, and further columns are passed through untouched.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import langid
-from inkwell.llm.common import read, shared_dir
+from inkwell.llm.common import Tables, read
 from inkwell.llm.decontaminate import decontaminate
 from inkwell.llm.mixing import resample
 from inkwell.llm.sharding import shard
@@ -25,31 +27,49 @@ MOST_BENCHMARK_SHARE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a sure language; those without letters go."""
+    """Keeps documents with a sure language; those without letters, null and empty texts included, go.
+
+    The model learns from the rows with a language, so without any all go.
+    """
     found = langid.identify(docs, langid.fit(docs))
     sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
     return found.where(sure).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of copies: five-word shingles, similarity of 0.8 or more."""
+    """Keeps one document of each group of copies: five-word shingles, similarity of 0.8 or more.
+
+    It is that of the smallest id; of repeated rows one stays, and rows with a
+    null id stay. Texts without words are copies of each other.
+    """
     return drop_copies(docs, width=5, similarity=0.8)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes benchmark passages from texts, and documents that are mostly such."""
+    """Removes benchmark passages from texts, and documents that are mostly such.
+
+    Null and empty texts have no passages and stay, as all do if there is no
+    benchmark item. ``n_chars`` is counted anew.
+    """
     clean = decontaminate(docs, read(spark, sf_dir, "benchmark"), MOST_BENCHMARK_SHARE)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that the sources reach their targets."""
+    """Repeats and drops documents so that the sources reach their targets.
+
+    Texts without words stay once; a null source is a source of its own.
+    """
     return resample(docs, seed="mix-1")
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the rows into 16 shards of equal numbers of rows, equal texts together."""
-    return shard(docs, shards=16)
+    """Adds ``shard``, ``slot`` and what belongs to them: 16 shards of equal numbers of rows, equal texts together.
+
+    All columns of the documents stay, so the result is what a training job
+    reads, shard by shard, in the order of the slots.
+    """
+    return shard(docs, shards=16, whole=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -60,15 +80,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", assign_shards),
 ]
 
-#: Models, fingerprints and propagation are not SQL; tests compare with a brute-force version.
+#: Models, fingerprints and propagation are not SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and read again; only the last one's table is left."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        tables = Tables(spark)
+        docs = tables.write(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        before = tables
     return docs
