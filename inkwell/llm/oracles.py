@@ -17,17 +17,22 @@ f as (select *,
       from m),
 lv as (select level from f where ratio > level order by ratio, key limit 1),
 t as (select key, source_size, least(most::double, coalesce(weight * (select level from lv), most::double)) as target from f),
-b as (select *, greatest(1, floor(coalesce(min(case when source_size > 0 then source_size end) over (), 1) / 100.0))::bigint as block from t),
-q as (select *, least(floor(target / block + 0.5), floor(source_size * 3 / block::double))::bigint as quota,
-        ('0x' || substr(md5('mix-1|' || key), 1, 12))::bigint % greatest(1, ceil(source_size / block::double))::bigint as first_block from b),
-p as (select d.doc_id, d.size, q.*, (coalesce(sum(d.size) over (partition by d.key order by d.ord rows between unbounded preceding and 1 preceding), 0))::bigint as lo
-      from d join q using (key)),
-r as (select *, case when source_size > 0 then (quota * block) // source_size else 0 end as rounds, first_block * block as a from p),
-z as (select *, quota * block - rounds * source_size as rest, lo + size as hi from r)
-select doc_id, size, source_size, target,
-  (rounds * size + greatest(0, least(hi, a + rest) - greatest(lo, a))
-   + greatest(0, least(hi, a + rest - source_size) - greatest(lo, a - source_size)))::bigint as taken
-from z
+b as (select *, greatest(1, floor(coalesce(min(case when source_size > 0 then source_size end) over (), 1) / 400.0))::bigint as block from t),
+n as (select *, greatest(1, ceil(source_size / block::double))::bigint as blocks from b),
+-- the k-th block of a source has the quotient target / (k - 1/2); it is taken if that is the block length or more
+q as (select n.*, coalesce((select count(*) from range(1, (3 * n.source_size / n.block)::bigint + 1) as x(k) where n.target / (k - 0.5) >= n.block), 0)::bigint as quota,
+        ('0x' || substr(md5('mix-1|' || key), 1, 12))::bigint % blocks as first_block,
+        list_filter([7919, 104729, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301], lambda p: blocks % p <> 0)[1]::bigint as step
+      from n),
+k as (select key, block, b, b * block as lo, (b + 1) * block as hi,
+        quota // blocks + case when ((b + first_block) * step) % blocks < quota % blocks then 1 else 0 end as times
+      from (select *, unnest(range(0, blocks)) as b from q)),
+p as (select d.doc_id, d.size, d.key, d.ord, (coalesce(sum(d.size) over (partition by d.key order by d.ord rows between unbounded preceding and 1 preceding), 0))::bigint as lo from d),
+w2 as (select p.doc_id, p.ord, p.size, p.key, p.lo, unnest(range(p.lo // q.block, (p.lo + p.size - 1) // q.block + 1)) as b from p join q using (key) where p.size > 0),
+g as (select w2.key, w2.ord, w2.lo, sum(k.times * (least(w2.lo + w2.size, k.hi) - greatest(w2.lo, k.lo))) as taken
+      from w2 join k using (key, b) group by all)
+select p.doc_id, p.size, q.source_size, q.target, coalesce(g.taken, 0)::bigint as taken
+from p join q using (key) left join g on p.key = g.key and p.ord = g.ord and p.lo = g.lo and p.size > 0
 """
 
 DECONTAMINATION = r"""
