@@ -12,7 +12,7 @@ from inkwell.llm.automaton import SuffixAutomaton
 from inkwell.llm.components import components
 from inkwell.llm.decontaminate import contamination, decontaminate
 from inkwell.llm.hashing import bit_counts, jaccard, shingle_hashes, simhash
-from inkwell.llm.mixing import mix, resample
+from inkwell.llm.mixing import block_quotas, mix, resample, source_targets
 from inkwell.llm.pieces import Lattice
 from inkwell.llm.sharding import shard
 from inkwell.llm.simhash import drop_copies, near_copies, near_duplicates
@@ -104,7 +104,13 @@ def test_language_lattice_sums_all_segmentations():
     p = np.array([[0.2], [0.1], [0.3], [0.15], [0.2], [0.05]])
     got = np.exp(lattice.log_likelihoods(["ab", "c"], p))[:, 0]
     assert np.allclose(got, [0.2 * 0.3 * 0.15 + 0.1 * 0.15 + 0.2 * 0.2, 0.2 * 0.05])
-    assert np.allclose(lattice.log_likelihoods(["ab" * 40], p), lattice._long("ab" * 40, p))
+    # the recurrence over places, in logarithms
+    for word in ("ab" * 40, "abcb" * 100):
+        marked, ways = "▁" + word, [0.0]
+        for j in range(1, len(marked) + 1):
+            parts = [ways[i] + np.log(p[lattice.ids.get(marked[i:j], 5), 0]) for i in range(max(0, j - 2), j) if marked[i:j] in lattice.ids or (j == i + 1)]
+            ways.append(float(np.logaddexp.reduce(parts)))
+        assert np.allclose(lattice.log_likelihoods([word], p)[0, 0], ways[-1])
 
 
 def test_language(spark):
@@ -205,6 +211,11 @@ def test_mixing(spark):
             target[s] = 3 * size[s] if over else weight[s] * level
         open_ = [s for s in open_ if s not in target]
     assert all(abs(t - target[s]) < 1e-6 for s, t in zip(sums.index, sums.target, strict=True))
+    # highest quotients: a source's count is the number of its quotients that reach the divisor
+    sizes = spark.createDataFrame([("a", "a", 500), ("b", "b", 300), ("c", "c", 41)], "key string, source string, source_size long")
+    for r in block_quotas(source_targets(sizes), "s", 4).collect():
+        want = [sum(r.target / (k - 0.5) >= r.block * 4 / j for k in range(1, 3 * r.source_size + 1)) for j in range(1, 5)]
+        assert r.quotas == [b - a for a, b in zip([0, *want[:3]], want, strict=True)] and sum(r.quotas) == r.quota <= 3 * r.blocks
     assert resample(docs).columns == docs.columns and mix(docs.where("false")).count() == 0
 
 
