@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import ASTRAL, Rx, trim, trim_text, units, units_of
+from .regex import ASTRAL, Rx, ascii_only, trim, trim_text, units, units_of, word_count
 
 #: Characters a token of text and of code, words a token, wide characters a token.
 TEXT_CHARS, CODE_CHARS, TOKEN_WORDS, WIDE_CHARS = 3.5, 3.0, 0.75, 1.5
@@ -37,15 +37,15 @@ def is_code(text: Column) -> Column:
 
 def est_tokens(text: Column) -> Column:
     """Estimated tokens, as a long; 0 for null and empty texts."""
-    wide = F.regexp_count(text, F.lit(WIDE))
-    rest = F.when(wide > 0, F.regexp_replace(text, WIDE, "")).otherwise(text)
+    rest = F.when(ascii_only(text), text).otherwise(F.regexp_replace(text, WIDE, ""))
+    wide = F.length(text) - F.length(rest)
     by_chars = F.ceil(units(rest) / F.when(is_code(text), CODE_CHARS).otherwise(TEXT_CHARS))
-    by_words = F.ceil(Rx(r"\S+").count(rest) / TOKEN_WORDS)
+    by_words = F.ceil(word_count(rest) / TOKEN_WORDS)
     return F.coalesce(F.greatest(by_chars, by_words) + F.ceil(wide / WIDE_CHARS), F.lit(0)).cast("long")
 
 
 def reading_minutes(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(Rx(r"\S+").count(text) / 225)).cast("long")
+    return F.greatest(F.lit(1), F.ceil(word_count(text) / 225)).cast("long")
 
 
 def last_index(text: Column, part: str) -> Column:
