@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What is computed within hands Python so many rows at once: for long rows, of which ten thousand would fill its memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Tables:
     """Intermediate tables as Parquet in the shared folder.
 
@@ -87,18 +101,17 @@ def need(df: DataFrame, *columns: str) -> None:
 
 #: Rows of keys and short lists that are broadcast, and elements of their lists in all; more go through a shuffle.
 FEW_ROWS = 300_000
-#: A key's rows are dealt over so many tasks where both sides are shuffled.
-SALTS = 16
 
 
-def with_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", lists: str | None = None) -> DataFrame:
+def with_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", lists: str | None = None, salts: int = 1) -> DataFrame:
     """``rows`` joined with ``few``, which is broadcast only if it has at most ``FEW_ROWS`` rows.
 
     So long rows (texts) stay where they are as long as the other side is small.
     ``few`` has one row a key, or several that all belong to each row; it should
     be cut or cheap, as its rows, and the elements of its arrays ``lists``, are
-    counted first. Beyond that both sides are shuffled by key and salt, so the
-    rows of a hot key are shared by ``SALTS`` tasks. Null keys match nothing.
+    counted first. Beyond that both sides are shuffled by key and, with
+    ``salts``, by salt: the rows of a hot key are shared by so many tasks, and
+    ``few`` is copied as often. Null keys match nothing.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
@@ -107,6 +120,8 @@ def with_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner
         small = (few.agg(F.sum(F.greatest(F.size(lists), F.lit(0)))).first()[0] or 0) <= FEW_ROWS
     if small:
         return rows.join(F.broadcast(few), keys, how)
-    salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    spread = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if salts == 1:
+        return rows.join(few, keys, how)
+    salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    spread = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, [*keys, "__salt"], how).drop("__salt")

@@ -31,7 +31,7 @@ SAMPLE = 1000
 #: Rounds of expectation maximisation, and the weight of the mean language.
 ROUNDS, MEAN_WEIGHT = 2, 200.0
 #: Words of which a worker keeps the values, and documents it handles together.
-KEPT_WORDS, TOGETHER = 250_000, 256
+KEPT_WORDS, TOGETHER = 150_000, 256
 #: Characters of distinct words that a task gathers before it learns from them.
 GATHERED = 2_000_000
 _LETTER = re.compile(r"[^\W\d_]")

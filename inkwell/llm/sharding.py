@@ -67,7 +67,7 @@ def shard(
     placed = with_running(counts.withColumn("order", spread_key(seed, F.col("g"))), ["shard"], "order", ["g"], {"slot0": "n"})
     plan = placed.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("shard", "n", "slot0"))).alias("parts"))
     groups = cut(plan.select("g"))
-    linked = with_few(rows, groups, ["g"], "left_semi")
+    linked = with_few(rows, groups, ["g"], "left_semi", salts=8)
     ranked = with_running(linked.withColumn("one", F.lit(1)), ["g"], "order", ["row"], {"rank": "one"}, plan)
     part = F.aggregate(
         "parts",
@@ -78,7 +78,7 @@ def shard(
         ).otherwise(F.struct((a["left"] - p["n"]).alias("left"), a["shard"].alias("shard"), a["slot"].alias("slot"))),
     )
     linked = ranked.withColumn("p", part)
-    single = with_few(rows, groups, ["g"], "left_anti").withColumn("all", F.lit(0)).withColumn("one", F.lit(1))
+    single = with_few(rows, groups, ["g"], "left_anti", salts=8).withColumn("all", F.lit(0)).withColumn("one", F.lit(1))
     single = with_running(single, ["all"], "order", ["row"], {"rank": "one"})
     room, at = F.lit(None).cast("struct<shard:int,slot:bigint>"), total - sum(load)
     for s in reversed(range(shards)):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Tables, cut, need, with_few
+from .common import Tables, cut, need, small_batches, with_few
 from .components import components
 from .gph import near_links
 from .hashing import jaccard, simhash, wide_simhash
@@ -68,7 +68,7 @@ WIDE_BITS, WIDE_ACCEPT = 15, 30
 
 
 def near_copies(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", tables: Tables | None = None
 ) -> DataFrame:
     """Columns ``id_col``, ``row`` (hash of the text), ``component_id`` for each row of ``docs``.
 
@@ -80,12 +80,15 @@ def near_copies(
     too, so the groups are those of brute force whatever the fingerprints'
     plan. Rows of equal sets are one node. Rows without words (null, empty,
     white space) are linked to each other. ``component_id`` is the smallest id
-    reachable; null ids and repeated rows are as in :func:`near_duplicates`.
+    reachable; null ids and repeated rows are as in :func:`near_duplicates`. An
+    empty table gives no rows. What the result is read from lies in ``tables``,
+    which may be dropped when it is written.
     """
     need(docs, id_col, text_col)
+    tables = tables or Tables(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    common = common_shingles(texts.select("row", "text"), width, seed)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts.select("row", "text"), width, seed))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,13 +96,13 @@ def near_copies(
             words = [pa.array([f[w] for f in found], pa.int64()) for w in (0, 1)]
             node = pa.array([int(np.uint64(xxh64_intdigest(f[2].tobytes())).view(np.int64)) for f in found], pa.int64())
             size = pa.array([len(f[2]) for f in found], pa.int32())
-            keys = pa.array([prefix(f[2], common, similarity) for f in found], pa.list_(pa.int64()))
+            keys = pa.array([prefix(f[2], common.value, similarity) for f in found], pa.list_(pa.int64()))
             odd = pa.array([parity(f[2]) for f in found], pa.binary())
             names = ["doc", "row", "fp0", "fp1", "node", "size", "keys", "parity"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *words, node, size, keys, odd], names)
 
-    tables = Tables(docs.sparkSession)
-    marked = tables.write(texts.mapInArrow(mark, f"doc {kind}, row long, fp0 long, fp1 long, node long, size int, keys array<bigint>, parity binary"))
+    with small_batches(docs.sparkSession):
+        marked = tables.write(texts.mapInArrow(mark, f"doc {kind}, row long, fp0 long, fp1 long, node long, size int, keys array<bigint>, parity binary"))
     # a struct's null comes first, so ids that are null are put last
     keep = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("keep")
     nodes = tables.write(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp0", "fp1", "size", "keys", "parity")], keep))
@@ -109,7 +112,8 @@ def near_copies(
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
         ends = ends.join(nodes, "node").select("node", F.xxhash64("keep.doc").alias("at"), F.col("keep.row").alias("row"))
         here = texts.select(F.xxhash64("doc").alias("at"), "row", "text")
-        shown = tables.write(with_few(here, cut(ends), ["at", "row"]).dropDuplicates(["node"]).select("node", "text"))
+        once = Tables(docs.sparkSession)
+        shown = once.write(with_few(here, cut(ends), ["at", "row"]).dropDuplicates(["node"]).select("node", "text"))
         pairs = links.join(shown.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         pairs = pairs.join(shown.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -118,13 +122,18 @@ def near_copies(
                 same = [jaccard(x.as_py(), y.as_py(), width) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-        return cut(pairs.mapInArrow(verify, "a long, b long"))
+        with small_batches(docs.sparkSession, 256):
+            same = cut(pairs.mapInArrow(verify, "a long, b long"))
+        once.drop()
+        return same
 
     near = near_links(nodes.select("node", "fp0", "fp1"), WIDE_BITS, ["fp0", "fp1"], nearest=True, accept=WIDE_ACCEPT)
     links = verified(cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     first = components(links)
     parted = nodes.where("size > 0").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("part"), "size", "keys", "parity")
-    more = crossing_pairs(tables.write(parted), tables, similarity)
+    once = Tables(docs.sparkSession)
+    more = crossing_pairs(once.write(parted), similarity)
+    once.drop()
     roots = components(links.unionByName(verified(more))) if more.limit(1).count() else first
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     known = member.join(nodes.select("node", "keep"), "node")
@@ -140,8 +149,10 @@ def drop_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     Rows with a null id stay. Of rows that share the kept id within a group one
     stays.
     """
-    found = near_copies(docs, width, similarity, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull())
+    tables = Tables(docs.sparkSession)
+    found = near_copies(docs, width, similarity, id_col=id_col, text_col=text_col, tables=tables).where(F.col(id_col).isNotNull())
     found = cut(found.select(F.col(id_col), F.col("row").alias("__row"), F.col("component_id").alias("__group")))
+    tables.drop()
     gone = cut(found.where(F.col(id_col) != F.col("__group")).select(id_col, "__row").distinct())
     rows = docs.withColumn("__row", F.xxhash64(text_col))
     kept = with_few(rows, gone, [id_col, "__row"], "left_anti")
