@@ -44,6 +44,13 @@ PATTERNS: tuple[tuple[Rx, str], ...] = tuple((Rx(p, f), reason) for p, f, reason
     (r"\bfollow\s+these\s+(new\s+)?instructions?\b", "i", "Instruction following directive"),
     (r"\b(leak|exfiltrate|extract|steal|copy)\s+(the\s+)?(api\s*key|secret|password|token|credential)", "i", "Data exfiltration attempt"),
 ))
+#: For each pattern, lower-case words of which every match holds one: looked for before the pattern is tried.
+SIGNS: tuple[tuple[str, ...], ...] = (
+    ("ignore",), ("disregard",), ("override",), ("forget",), ("you",), ("act",), ("pretend",), ("switch",), ("enter",), ("enable",), ("prompt", "instruction", "rule"),
+    ("your",), ("repeat",), ("dan",), ("anything",), ("jailbreak",), ("bypass", "circumvent", "evade", "override"), ("[system]", "[assistant]"), ("system", "assistant", "user", "im_start", "im_end"), ("<<",), ("###",), ("#",),
+    ("human:", "assistant:", "system:"), ("<function_call>", "<tool_call>", "<tool_use>", "<invoke>"), ("{",), ("thinking>", "answer>"), ("system", "assistant", "user"), ("this",), ("instruction",), ("follow",),
+    ("leak", "exfiltrate", "extract", "steal", "copy"),
+)
 #: Patterns that leave little doubt, with their own case rules.
 SURE = (
     Rx(r"\bignore\s+(all\s+)?previous\s+instructions?\b", "i"), Rx(r"\[SYSTEM\]|\[system\]"), Rx(r"<\|system\|>", "i"),
@@ -53,18 +60,37 @@ SURE = (
 CONTEXT, SURE_RISK, SURE_STEP, STEP = 50, 0.7, 0.1, 0.15
 
 
+def _with_low(text: Column, body) -> Column:
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), body)
+
+
+def _signed(t: Column, signs: tuple[str, ...]) -> Column:
+    hit = F.lit(False)
+    for s in signs:
+        hit = hit | F.contains(t["low"], F.lit(s))
+    return hit
+
+
 def matches(text: Column) -> Column:
     """Distinct (text, reason) of everything that a pattern matches, in order of the patterns."""
 
-    def each(rx: Rx, reason: str) -> Column:
-        return F.transform(F.array_distinct(rx.all(text)), lambda m: F.struct(m.alias("text"), F.lit(reason).alias("reason")))
+    def each(t: Column, rx: Rx, reason: str, signs: tuple[str, ...]) -> Column:
+        found = F.transform(F.array_distinct(rx.all(t["text"])), lambda m: F.struct(m.alias("text"), F.lit(reason).alias("reason")))
+        return F.when(_signed(t, signs), found).otherwise(F.when(t["text"].isNotNull(), F.array().cast("array<struct<text:string,reason:string>>")))
 
-    return F.array_distinct(F.flatten(F.array(*[each(rx, reason) for rx, reason in PATTERNS])))
+    return _with_low(text, lambda t: F.array_distinct(F.flatten(F.array(*[each(t, rx, reason, s) for (rx, reason), s in zip(PATTERNS, SIGNS, strict=True)]))))
 
 
 def suspicious(text: Column) -> Column:
-    """Whether any pattern matches: one pass over texts that have nothing, most of them."""
-    return text.rlike("|".join(f"(?:{rx.java})" for rx, _ in PATTERNS))
+    """Whether any pattern matches; patterns are tried only where their signs stand."""
+
+    def any_of(t: Column) -> Column:
+        hit = F.lit(False)
+        for (rx, _), signs in zip(PATTERNS, SIGNS, strict=True):
+            hit = hit | (_signed(t, signs) & rx.test(t["text"]))
+        return hit
+
+    return _with_low(text, any_of)
 
 
 def sanitize(text: Column) -> Column:
@@ -84,11 +110,11 @@ def high_confidence(text: Column) -> Column:
 
 def risk(text: Column) -> Column:
     """0 to 1: by the number of distinct matches, higher if one is sure."""
-    found = F.struct(F.size(matches(text)).alias("n"), high_confidence(text).alias("high"))
+    found = F.struct(F.size(matches(text)).alias("n"), text.alias("text"))
 
     def score(f: Column) -> Column:
         n = f["n"]
-        return F.when(n == 0, 0.0).when(f["high"], F.least(F.lit(1.0), SURE_RISK + n * SURE_STEP)).otherwise(F.least(F.lit(1.0), n * STEP))
+        return F.when(n == 0, 0.0).when(high_confidence(f["text"]), F.least(F.lit(1.0), SURE_RISK + n * SURE_STEP)).otherwise(F.least(F.lit(1.0), n * STEP))
 
     return let(found, score)
 

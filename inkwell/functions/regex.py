@@ -96,6 +96,13 @@ class Rx:
 
 
 BLANKS = Rx(r"\s+")
+#: White space that isn't a single blank, as Java spells it.
+_UNEVEN = rf"[{_SPACE}]{{2,}}|[" + _SPACE.replace(r"\x{20}", "") + "]"
+
+
+def even(text: Column) -> Column:
+    """Every run of white space as one blank; single blanks, most of them, are passed over."""
+    return F.regexp_replace(text, _UNEVEN, " ")
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 

@@ -8,11 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import BLANKS, Rx, let, trim, units
+from .regex import Rx, even, let, trim, units
 from .tokens import est_tokens
 
 HEADING, LIST = Rx(r"^#{1,6}\s+"), Rx(r"^[-*+]\s+|^[0-9]+[.)]\s+")
-BETWEEN = Rx(r"(?<=[.!?])\s+(?=[A-Z])")
+#: Where sentences part in a text whose white space is single blanks; it starts at the blank, as that fails soonest.
+BETWEEN = Rx(r" (?<=[.!?] )(?=[A-Z])")
 FENCE = Rx(r"^\s*(```+|~~~+)")
 PRESERVE = ("numbers", "dates", "names")
 _BREAK = "\u0001"
@@ -42,7 +43,7 @@ SECTION: tuple[tuple[str, Rx, int], ...] = (
 
 def standalone(line: Column) -> Column:
     """Headings and list items are sentences of their own."""
-    return HEADING.test(line) | LIST.test(line)
+    return (F.ascii(line) < 58) & (HEADING.test(line) | LIST.test(line))
 
 
 def sentences(text: Column) -> Column:
@@ -52,10 +53,10 @@ def sentences(text: Column) -> Column:
     end; a paragraph is cut after ``.``, ``!`` or ``?`` before a capital letter.
     """
     marked = F.transform(
-        F.split(text, "\n"),
-        lambda x: F.when(trim(x) == "", F.lit(_BREAK)).when(standalone(trim(x)), F.concat(F.lit(_BREAK), trim(x), F.lit(_BREAK))).otherwise(trim(x)),
+        F.transform(F.split(text, "\n"), trim),
+        lambda x: F.when(x == "", F.lit(_BREAK)).when(standalone(x), F.concat(F.lit(_BREAK), x, F.lit(_BREAK))).otherwise(x),
     )
-    parts = F.transform(F.split(F.array_join(marked, " "), _BREAK), lambda x: trim(BLANKS.replace(x, " ")))
+    parts = F.transform(F.split(F.array_join(marked, " "), _BREAK), lambda x: F.trim(even(x)))
     cut = F.transform(parts, lambda x: F.when(standalone(x), F.array(x)).otherwise(BETWEEN.split(x)))
     return F.filter(F.flatten(cut), lambda x: x != "")
 

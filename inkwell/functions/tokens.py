@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import ASTRAL, Rx, ascii_only, trim, trim_text, units, units_of, word_count
+from .regex import Rx, ascii_only, let, trim, trim_text, units, units_of, word_count
 
 #: Characters a token of text and of code, words a token, wide characters a token.
 TEXT_CHARS, CODE_CHARS, TOKEN_WORDS, WIDE_CHARS = 3.5, 3.0, 0.75, 1.5
@@ -23,6 +23,9 @@ CODE_SIGNS = (
     Rx(r"^\s*#include", "m"), Rx(r"^\s*package\s+", "m"), Rx(r"^\s*use\s+", "m"),
 )
 INDENTED = Rx(r"^\s{2,}")
+#: What any of the signs needs: a text with none of these is no code, whatever its lines look like.
+_BRACKET = CODE_SIGNS[1]
+_KEYWORD = Rx(r"^\s*(?:(?:function|const|let|var|class|import|export|def|async|await)\s|#include|package\s|use\s)", "m")
 
 
 def is_code(text: Column) -> Column:
@@ -32,16 +35,22 @@ def is_code(text: Column) -> Column:
     indented = F.size(F.filter(parts, INDENTED.test))
     short = F.size(F.filter(parts, lambda x: units(x) < 80))
     points = [s.test(text) for s in CODE_SIGNS] + [indented > n * 0.3, short > n * 0.7]
-    return sum((p.cast("int") for p in points), F.lit(0)) >= 3
+    # lines give two points at most, so a sign is needed before they are looked at
+    return F.when(F.contains(text, F.lit("=>")) | _BRACKET.test(text) | _KEYWORD.test(text), sum((p.cast("int") for p in points), F.lit(0)) >= 3).when(text.isNotNull(), False)
 
 
 def est_tokens(text: Column) -> Column:
     """Estimated tokens, as a long; 0 for null and empty texts."""
+
+    def count(t: Column) -> Column:
+        text, rest = t["text"], t["rest"]
+        wide = F.length(text) - F.length(rest)
+        by_chars = F.ceil(units(rest) / F.when(is_code(text), CODE_CHARS).otherwise(TEXT_CHARS))
+        by_words = F.ceil(word_count(rest) / TOKEN_WORDS)
+        return F.coalesce(F.greatest(by_chars, by_words) + F.ceil(wide / WIDE_CHARS), F.lit(0)).cast("long")
+
     rest = F.when(ascii_only(text), text).otherwise(F.regexp_replace(text, WIDE, ""))
-    wide = F.length(text) - F.length(rest)
-    by_chars = F.ceil(units(rest) / F.when(is_code(text), CODE_CHARS).otherwise(TEXT_CHARS))
-    by_words = F.ceil(word_count(rest) / TOKEN_WORDS)
-    return F.coalesce(F.greatest(by_chars, by_words) + F.ceil(wide / WIDE_CHARS), F.lit(0)).cast("long")
+    return let(F.struct(text.alias("text"), rest.alias("rest")), count)
 
 
 def reading_minutes(text: Column) -> Column:

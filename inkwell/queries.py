@@ -44,6 +44,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores if the scan has fewer splits than two a core.
+
+    A file of one row group is read by one task, and work on texts costs far more
+    than moving so few splits; larger tables stay where they are read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def picked(parts: tuple[str, ...], count: int) -> Column:
     """The part of a document by ``doc_id % count``; '' beyond the parts."""
     out = F.lit("")
@@ -62,7 +72,7 @@ def derived(docs: DataFrame) -> DataFrame:
 
 
 def documents_query(build: Callable[[DataFrame], DataFrame], table: str = "documents") -> Query:
-    return lambda spark, sf_dir: build(read(spark, sf_dir, table))
+    return lambda spark, sf_dir: build(spread(read(spark, sf_dir, table)))
 
 
 def columns(made: Callable[..., dict[str, Column]], table: str = "documents", key: str = "doc_id", prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> Query:
@@ -80,14 +90,14 @@ def units_of(docs: DataFrame) -> DataFrame:
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select(
+    return spread(read(spark, sf_dir, "pages")).select(
         "page_id", F.col("url").alias("original_url"), F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"),
         F.encode("html", "UTF-8").alias("body"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("retrieved_at"),
     )
 
 
 def packet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived(read(spark, sf_dir, "documents"))
+    rows = derived(spread(read(spark, sf_dir, "documents")))
     return rows.select(F.col("doc_id").cast("string").alias("source_id"), F.lit("").alias("original_url"), F.col("md").alias("content"), MD.blocks_column("md").alias("key_blocks"))
 
 
@@ -102,10 +112,10 @@ def compact_salience(docs: DataFrame) -> DataFrame:
 def compact_question(docs: DataFrame) -> DataFrame:
     terms = S.question_terms(QUESTION)
     rows = docs.select("doc_id", S.sentences(F.col("text")).alias("units"))
-    rows = rows.withColumn("picked", compaction.select_relevant(F.col("units"), terms, BUDGET))
+    rows = rows.select("doc_id", S.relevant(F.col("units"), terms).alias("ranked")).withColumn("picked", S.first_fit(F.col("ranked"), BUDGET))
     return rows.select(
         "doc_id", F.size("picked.kept").cast("long").alias("kept"), F.col("picked.used").alias("used_tokens"),
-        F.aggregate(F.transform("units", lambda s: S.term_matches(s, terms)), F.lit(0), lambda a, x: a + x).cast("long").alias("matches"),
+        F.aggregate("ranked", F.lit(0), lambda a, u: a - u["less"]).cast("long").alias("matches"),
     )
 
 
