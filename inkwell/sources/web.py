@@ -1,16 +1,20 @@
 """Pages by URL as a data source, and packets' parts as files.
 
 ``spark.dataSource.register(WebPages)``, then
-``spark.read.format("webpages").option("urls", ...).load()``. A partition reads
-the URLs of some hosts, so that a host's limit is kept by one task. The
-transport is a function from request to response; the default uses the standard
-library and is the only place that touches the network.
+``spark.read.format("webpages").option("urls", ...).load()`` for a short list, or
+:func:`fetched` for URLs in a table. A partition reads the URLs of some hosts,
+so that a host's limit is kept by one task. The transport is a function from
+request to response; the default uses the standard library and, with the
+resolver of names, is the only place that touches the network. Every hop of
+every URL passes a :class:`Gate`.
 """
 
 from __future__ import annotations
 
 import gzip
 import json
+import re
+import socket
 import time
 import urllib.error
 import urllib.request
@@ -20,14 +24,22 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from urllib.parse import urljoin, urlsplit
 
+import pandas as pd
+import pyarrow.fs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions import urls as U
+from ..operators import gates
+
 SCHEMA = (
     "original_url string, final_url string, status int, headers map<string,string>, content_type string, body binary, "
     "retrieved_at timestamp, error_code string, error_message string"
 )
 #: Attempts, and the milliseconds between them at first and at most.
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 3, 1000, 10_000
+#: Seconds that a file of crawl rules is kept, and bytes of it at most.
+RULES_KEPT, RULES_BYTES = 900, 512_000
 _SOCKET = ("ECONNRESET", "ETIMEDOUT", "ECONNREFUSED", "timed out", "reset")
 
 
@@ -126,6 +138,132 @@ def get_with_retry(url: str, attempts: int = ATTEMPTS, sleep: Callable[[float],
     raise FetchError("UNKNOWN_ERROR", "no attempt was made")
 
 
+def addresses(host: str) -> list[str]:
+    """What a name resolves to; an address resolves to itself."""
+    return sorted({a[4][0].split("%")[0] for a in socket.getaddrinfo(host, None)})
+
+
+def blocked_address(address: str) -> bool:
+    """As :func:`inkwell.operators.gates.blocked_ip` in strict mode, for one address."""
+    low = address.lower()
+    if ":" in low:
+        return low.startswith(gates.IPV6_BEGINNINGS) or bool(re.match(gates._STRICT, low))
+    if not re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", low, re.ASCII) or any(int(x) > 255 for x in low.split(".")):
+        return True
+    return any(gates._number(a) <= gates._number(low) <= gates._number(b) for a, b in gates.IPV4_RANGES)
+
+
+def rules_of(text: str, agent: str) -> tuple[list[tuple[bool, str]], float]:
+    """(allow, pattern) of the rules that hold for an agent, and the seconds between its requests."""
+    rules, delay, mine = [], 0.0, False
+    for line in re.split(r"\r?\n", text):
+        name, colon, value = line.split("#")[0].partition(":")
+        name, value = name.strip().lower(), value.strip()
+        if colon and name == "user-agent":
+            mine = value.lower() in (agent, "*")
+        elif mine and name in ("allow", "disallow") and value:
+            rules.append((name == "allow", value))
+        elif mine and name == "crawl-delay" and re.fullmatch(r"\d+(\.\d+)?", value, re.ASCII):
+            delay = float(value) or delay
+    return rules, delay
+
+
+def rule_matches(path: str, pattern: str) -> bool:
+    if "*" in pattern:
+        return bool(re.match(".*".join(map(re.escape, pattern.split("*"))), path))
+    return path == pattern[:-1] if pattern.endswith("$") else path.startswith(pattern)
+
+
+class Gate:
+    """Says why a URL may not be fetched, or None: its host's addresses, then the crawl rules of its origin.
+
+    Names are resolved here and again by the transport, so a name that changes
+    in between isn't caught; a transport behind a filtering proxy closes that.
+    Rules are fetched once an origin and quarter of an hour, by hops that pass
+    the address check, too; an origin that serves none allows all. ``pause``
+    keeps the delay that the rules ask for between requests to an origin.
+    """
+
+    def __init__(
+        self, transport: Transport = http, resolve: Callable[[str], list[str]] = addresses, agent: str = "inkwell", robots: bool = True, allow: tuple[str, ...] = (),
+        clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep,
+    ) -> None:
+        self.transport, self.resolve, self.agent, self.robots, self.allow = transport, resolve, re.split(r"[\s/]+", agent.strip())[0].lower(), robots, tuple(d.lower() for d in allow)
+        self.clock, self.sleep = clock, sleep
+        self.rules: dict[str, tuple[float, list, float]] = {}
+        self.due: dict[str, float] = {}
+
+    def unsafe(self, url: str) -> tuple[str, str] | None:
+        try:
+            host = (urlsplit(url).hostname or "").rstrip(".").lower()
+        except ValueError:
+            host = ""
+        if not host:
+            return "INVALID_URL", "Invalid URL"
+        if self.allow and not any(host == d or host.endswith("." + d) for d in self.allow):
+            return "SSRF_BLOCKED", "Domain not in allowlist"
+        if host == "localhost" or host.endswith(".localhost"):
+            return "SSRF_BLOCKED", "Localhost is blocked"
+        try:
+            found = self.resolve(host)
+        except OSError:
+            found = []
+        if not found:
+            return "SSRF_BLOCKED", "DNS resolution failed"
+        return ("SSRF_BLOCKED", "Resolved IP address is blocked") if any(map(blocked_address, found)) else None
+
+    def rules_at(self, origin: str) -> tuple[list, float]:
+        until, rules, delay = self.rules.get(origin, (float("-inf"), [], 0.0))
+        if self.clock() >= until:
+            try:
+                _, r = get(f"{origin}/robots.txt", self.transport, self.unsafe, {"user-agent": self.agent}, RULES_BYTES)
+                rules, delay = rules_of(r.body.decode("utf-8", "replace"), self.agent) if r.status == 200 else ([], 0.0)
+            except FetchError:
+                rules, delay = [], 0.0
+            self.rules[origin] = self.clock() + RULES_KEPT, rules, delay
+        return rules, delay
+
+    def __call__(self, url: str) -> tuple[str, str] | None:
+        if (stop := self.unsafe(url)) or not self.robots:
+            return stop
+        parts = urlsplit(url)
+        path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+        origin = f"{parts.scheme}://{parts.netloc}"
+        rules, delay = self.rules_at(origin)
+        best = max(((len(p), allow) for allow, p in rules if rule_matches(path, p)), default=(0, True))
+        if not best[1]:
+            return "ROBOTS_BLOCKED", "Disallowed by the site's crawl rules"
+        if delay:
+            self.pause(origin, delay)
+        return None
+
+    def pause(self, origin: str, delay: float) -> None:
+        now = self.clock()
+        start = max(now, self.due.get(origin, now))
+        if start > now:
+            self.sleep(start - now)
+        self.due[origin] = start + delay
+
+
+def fetched(urls: DataFrame, url_col: str = "url", transport: Transport = http, resolve: Callable[[str], list[str]] = addresses, agent: str = "inkwell/1", robots: bool = True, allow: tuple[str, ...] = (), **options) -> DataFrame:
+    """Pages of all URLs of a table, as rows of ``SCHEMA``; one that can't be fetched has its error.
+
+    A host's URLs go to one task, as one task keeps its delay; hosts are dealt by
+    hash. A row is passed on once it is read, so a task holds one body at a time.
+    """
+    headers = {"user-agent": agent}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gate = Gate(transport, resolve, agent, robots, allow)
+        names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+        for frame in frames:
+            for url in frame["url"]:
+                yield pd.DataFrame([row_of(url, transport=transport, gate=gate, headers=headers, **options)], columns=names)
+
+    rows = urls.select(urls[url_col].alias("url")).where("url is not null")
+    return rows.repartition(U.hostname(rows["url"])).mapInPandas(run, SCHEMA)
+
+
 def row_of(url: str, **options) -> tuple:
     """A row for a URL, also if it can't be fetched."""
     now = datetime.now(UTC)
@@ -142,7 +280,10 @@ class _Hosts(InputPartition):
 
 
 class WebPages(DataSource):
-    """Options: ``urls`` (JSON list), ``partitions``, ``max_bytes``, ``timeout_ms``, ``max_redirects``, ``user_agent``."""
+    """Options: ``urls`` (JSON list), ``partitions``, ``max_bytes``, ``timeout_ms``, ``max_redirects``, ``user_agent``, ``respect_robots`` (true), ``allow`` (comma-separated domains).
+
+    For a list that fits a setting; URLs of a table go to :func:`fetched`.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -157,6 +298,7 @@ class WebPages(DataSource):
 
 class _Reader(DataSourceReader):
     transport: Transport = staticmethod(http)
+    resolve: Callable[[str], list[str]] = staticmethod(addresses)
 
     def __init__(self, options: dict) -> None:
         self.options = dict(options)
@@ -173,16 +315,18 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         o = self.options
+        agent, allow = o.get("user_agent", "inkwell/1"), tuple(d.strip() for d in o.get("allow", "").split(",") if d.strip())
+        gate = Gate(self.transport, self.resolve, agent, o.get("respect_robots", "true").lower() == "true", allow)
         options = dict(
-            transport=self.transport, max_bytes=int(o.get("max_bytes", 10_485_760)), timeout=int(o.get("timeout_ms", 30_000)) / 1000,
-            max_redirects=int(o.get("max_redirects", 5)), headers={"user-agent": o.get("user_agent", "inkwell/1")},
+            transport=self.transport, gate=gate, max_bytes=int(o.get("max_bytes", 10_485_760)), timeout=int(o.get("timeout_ms", 30_000)) / 1000,
+            max_redirects=int(o.get("max_redirects", 5)), headers={"user-agent": agent},
         )
         for url in partition.urls:
             yield row_of(url, **options)
 
 
 class PartFiles(DataSource):
-    """Writes rows (key, text) as one file a key below the ``path`` option, in a folder that all executors share.
+    """Writes rows (key, text) as one file a key below the ``path`` option: an address of a shared file system, or a folder that all executors share.
 
     A file is written beside its place and moved there, so a task that runs
     twice leaves one whole file.
@@ -201,14 +345,14 @@ class _Writer(DataSourceWriter):
         self.path = path
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        import os
         import uuid
 
+        files, base = pyarrow.fs.FileSystem.from_uri(self.path)
         for row in rows:
-            to = os.path.join(self.path, *[p for p in row["key"].split("/") if p not in ("", ".", "..")])
-            os.makedirs(os.path.dirname(to), exist_ok=True)
+            to = "/".join([base.rstrip("/"), *[p for p in row["key"].split("/") if p not in ("", ".", "..")]])
+            files.create_dir(to.rpartition("/")[0], recursive=True)
             beside = f"{to}.{uuid.uuid4().hex}"
-            with open(beside, "w", encoding="utf-8") as f:
-                f.write(row["text"])
-            os.replace(beside, to)
+            with files.open_output_stream(beside) as f:
+                f.write(row["text"].encode())
+            files.move(beside, to)
         return WriterCommitMessage()

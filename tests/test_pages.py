@@ -147,6 +147,63 @@ def test_transport():
         web.decompress(b"", "br", 10)
 
 
+def site(rules: bytes):
+    """A transport and a resolver of a site whose pages lead to forbidden places; closures, as tasks can't import tests."""
+    pages = {
+        "http://pub.example/robots.txt": (200, {}, rules), "http://pub.example/": (200, {}, b"home"), "http://pub.example/no/but": (200, {}, b"allowed"),
+        "http://pub.example/meta": (302, {"location": "http://169.254.169.254/latest"}, b""), "http://pub.example/inner": (302, {"location": "http://inner.example/"}, b""),
+        "http://pub.example/rules": (302, {"location": "/no"}, b""),
+    }
+    hosts = {"pub.example": ["93.184.216.34"], "inner.example": ["93.184.216.34", "10.0.0.8"], "six.example": ["fe80::1"]}
+
+    def served(url, headers, most, timeout):
+        return web.Response(*pages.get(url, (404, {}, b"")))
+
+    def names(host):
+        return hosts.get(host, [host] if host[0].isdigit() else [])
+
+    return served, names
+
+
+RULES = b"User-agent: *\nDisallow: /no\nAllow: /no/but\n"
+FORBIDDEN = {
+    "http://pub.example/meta": "SSRF_BLOCKED", "http://pub.example/inner": "SSRF_BLOCKED", "http://pub.example/rules": "ROBOTS_BLOCKED", "http://pub.example/no/x": "ROBOTS_BLOCKED",
+    "http://localhost/": "SSRF_BLOCKED", "http://127.0.0.1/": "SSRF_BLOCKED", "http://six.example/": "SSRF_BLOCKED", "http://unknown.example/": "SSRF_BLOCKED", "http:///x": "INVALID_URL",
+}
+
+
+def test_gate_on_every_hop():
+    served, names = site(RULES + b"Crawl-delay: 2")
+    waits, now = [], [0.0]
+    gate = web.Gate(served, names, clock=lambda: now[0], sleep=waits.append)
+    for url, code in FORBIDDEN.items():
+        assert web.row_of(url, transport=served, gate=gate)[7] == code, url
+    waits.clear()
+    now[0] = 1000.0
+    assert web.get("http://pub.example/", served, gate)[1].body == b"home" and waits == []
+    assert web.get("http://pub.example/no/but", served, gate)[1].body == b"allowed" and waits == [2.0]
+    assert web.Gate(served, names, allow=("other.example",))("http://pub.example/") == ("SSRF_BLOCKED", "Domain not in allowlist")
+
+
+def test_pages_of_a_table(spark):
+    served, names = site(RULES)
+    urls = [*FORBIDDEN, "http://pub.example/", None]
+    rows = web.fetched(spark.createDataFrame([(u,) for u in urls], "url string"), transport=served, resolve=names).collect()
+    assert {r.original_url: r.error_code for r in rows} == {**FORBIDDEN, "http://pub.example/": None}
+    assert [bytes(r.body) for r in rows if r.body] == [b"home"]
+
+
+def test_reader_is_gated():
+    served, names = site(RULES)
+
+    class Reader(web._Reader):
+        transport, resolve = staticmethod(served), staticmethod(names)
+
+    reader = Reader({"urls": '["http://pub.example/meta", "http://pub.example/no/x"]'})
+    found = [row[7] for part in reader.partitions() for row in reader.read(part)]
+    assert sorted(found) == ["ROBOTS_BLOCKED", "SSRF_BLOCKED"]
+
+
 def test_part_files(spark, tmp_path):
     spark.dataSource.register(web.PartFiles)
     spark.createDataFrame([("h/a/part-0001.md", "text"), ("h/../b.md", "x")], "key string, text string").write.format("partfiles").option("path", str(tmp_path)).mode("append").save()
