@@ -417,12 +417,13 @@ def part_key(base: Column, hash_: Column, index: Column) -> Column:
     return F.concat(base, F.lit("/"), hash_, F.lit("/part-"), F.lpad(index.cast("string"), 4, "0"), F.lit(".md"))
 
 
-def crawl_schedule(requests: DataFrame, host: str = "host", at: str = "at", delay: str = "delay") -> DataFrame:
+def crawl_schedule(requests: DataFrame, host: str = "host", at: str = "at", delay: str = "delay", ties: tuple[str, ...] = ()) -> DataFrame:
     """``requests`` with ``start``: no sooner than asked, and a delay after the host's last one.
 
     start_i = max(at_i, start_(i-1) + d) is i*d plus the running maximum of at_j - j*d.
+    Requests of the same time are taken in order of ``ties``.
     """
-    order = Window.partitionBy(host).orderBy(at)
+    order = Window.partitionBy(host).orderBy(at, *ties)
     i = F.row_number().over(order)
     rows = requests.withColumn("_i", i)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)

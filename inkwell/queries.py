@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import injection as I
@@ -137,11 +137,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_id", "host", F.unix_micros("ts").alias("us"), F.lit(2_000_000).cast("long").alias("delay"))
-    order = Window.partitionBy("host").orderBy("us", "event_id")
-    i = F.row_number().over(order).cast("long")
-    rows = rows.withColumn("i", i)
-    start = F.col("i") * F.col("delay") + F.max(F.col("us") - F.col("i") * F.col("delay")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("event_id", start.alias("start_us"))
+    return documents.crawl_schedule(rows, at="us", ties=("event_id",)).select("event_id", F.col("start").alias("start_us"))
 
 
 def robots_files(spark: SparkSession) -> DataFrame:
