@@ -102,10 +102,11 @@ def near_copies(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *words, node, size, keys, odd], names)
 
     with small_batches(docs.sparkSession):
-        marked = tables.write(texts.mapInArrow(mark, f"doc {kind}, row long, fp0 long, fp1 long, node long, size int, keys array<bigint>, parity binary"))
-    # a struct's null comes first, so ids that are null are put last
-    keep = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("keep")
-    nodes = tables.write(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp0", "fp1", "size", "keys", "parity")], keep))
+        found = texts.mapInArrow(mark, f"doc {kind}, row long, fp0 long, fp1 long, node long, size int, keys array<bigint>, parity binary")
+        marked = tables.write(found.withColumn("at", F.monotonically_increasing_id()))
+    # a struct's null comes first, so ids that are null are put last; the long lists stay with the rows
+    keep = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "at")).alias("keep")
+    nodes = tables.write(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp0", "fp1", "size")], keep))
 
     def verified(links: DataFrame) -> DataFrame:
         # one text for each end of a link, fetched once; a hash of the id, as ids may be null
@@ -130,10 +131,9 @@ def near_copies(
     near = near_links(nodes.select("node", "fp0", "fp1"), WIDE_BITS, ["fp0", "fp1"], nearest=True, accept=WIDE_ACCEPT)
     links = verified(cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     first = components(links)
-    parted = nodes.where("size > 0").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("part"), "size", "keys", "parity")
-    once = Tables(docs.sparkSession)
-    more = crossing_pairs(once.write(parted), similarity)
-    once.drop()
+    parts = nodes.where("size > 0").join(first, "node", "left").select(F.col("keep.at").alias("at"), F.coalesce("root", "node").alias("part"))
+    parted = with_few(marked.select("at", "node", "size", "keys", "parity"), cut(parts), ["at"])
+    more = crossing_pairs(parted, similarity)
     roots = components(links.unionByName(verified(more))) if more.limit(1).count() else first
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     known = member.join(nodes.select("node", "keep"), "node")

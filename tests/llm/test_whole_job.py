@@ -9,7 +9,7 @@ from test_llm import WORDS, brute_repeats, roots, table
 from inkwell.llm import secrets
 from inkwell.llm.decontaminate import decontaminate
 from inkwell.llm.hashing import jaccard
-from inkwell.llm.prefixes import parity, unlike
+from inkwell.llm.prefixes import MAP_BITS, bit_map, brief, parity, unlike
 from inkwell.llm.simhash import drop_copies, near_copies
 from inkwell.llm.substring import remove_repeats
 
@@ -100,3 +100,18 @@ def test_parity_never_exceeds_the_difference():
         h = np.unique(rng.integers(-(2**63), 2**63 - 1, n + m))
         a, b = h[:n], h[n - both : n - both + m]
         assert unlike(parity(a), parity(b)) <= len(np.setxor1d(a, b)) and unlike(parity(a), parity(a)) == 0
+
+
+def test_brief_parity_is_no_more_than_the_whole():
+    rng = np.random.default_rng(9)
+    for size in (0, 1, 100, 5000):
+        a, b = (np.unique(rng.integers(-(1 << 63), 1 << 63, size, dtype=np.int64)) for _ in range(2))
+        short = np.bitwise_count((brief(parity(a)) ^ brief(parity(b))).view(np.uint64)).sum()
+        assert short <= unlike(parity(a), parity(b)) and not (brief(parity(a)) ^ brief(parity(a))).any()
+
+
+def test_bit_map_holds_every_key(spark):
+    keys = [0, 7, 8, MAP_BITS - 1, MAP_BITS, -1, -(1 << 63), (1 << 63) - 1, 123456789012345]
+    bits = bit_map(spark.createDataFrame([(k,) for k in keys], "key long"))
+    slots = {k % MAP_BITS for k in keys}
+    assert int(np.bitwise_count(bits).sum()) == len(slots) and all(bits[s >> 3] >> (s & 7) & 1 for s in slots)
