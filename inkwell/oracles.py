@@ -246,3 +246,63 @@ select event_id, (i * 2000000 + max(us - i * 2000000) over (partition by host or
 select n.key, case when k.key is null then substr(sha256(n.key), 1, 16) else 'known' end as conversation_id, (case when k.key is null then a else 5 end)::bigint as created_at, (case when k.key is null then b else greatest(5, b) end)::bigint as last_used_at from n left join k using (key)""",
     "json_valid": "select event_id, json_valid(props) as valid from events",
 }
+
+
+# --- twins that spell their own constants ---------------------------------------------
+
+_REQUEST = "(case page_id % 3 when 0 then 'https://cdn.other.com/x.js' when 1 then 'https://t.other.com/pixel' else 'https://o.com/a.js' end)"
+_REQUEST_ORIGIN = "(case page_id % 3 when 0 then 'https://cdn.other.com' when 1 then 'https://t.other.com' else 'https://o.com' end)"
+_TRACKER_RX = "'analytics|tracking|pixel|beacon|ads|doubleclick|googlesyndication|facebook\\.net|twitter\\.com/i/'"
+_PAYWALL_HTML = "(html || case page_id % 4 when 0 then '<div class=\"x paywall\">' when 1 then '<p>Sign up to read</p>' else '' end)"
+_PAYWALL_CLASS_RX = (
+    "'(?is)<[a-z][^>]*\\bclass\\s*=\\s*[\"''](?:[^\"'']*\\s)?(?:paywall|subscription-wall|metered-paywall|subscriber-only|premium-content|piano-paywall)(?:\\s[^\"'']*)?[\"'']'"
+)
+_PAYWALL_ATTRIBUTE_RX = "'(?is)<[a-z][^>]*\\s(?:data-paywall|data-subscriber-content)[\\s=>]'"
+_PAYWALL_PHRASE_RX = "'subscribe to continue reading|this content is for subscribers|to read the full article|sign up to read|premium subscribers only|members-only content'"
+
+
+def _leading(x: str) -> str:
+    """How many white space characters a line begins with."""
+    return f"(length({x}) - length(regexp_replace({x}, {Rx('^' + chr(92) + 's+').duck}, '')))"
+
+
+def _capitals(x: str) -> str:
+    return f"({trim(x)} <> '' and {units(trim(x))} < 80 and {trim(x)} = upper({trim(x)}) and regexp_matches({trim(x)}, '[A-Z]'))"
+
+
+def _code_text(x: str) -> str:
+    signs = (
+        "(?m)^(function|const|let|var|class|import|export|def|async|public|private|void)\\s", "[{}\\[\\]();]", "=>", "(?m)^\\s*(if|for|while|switch|try|catch)\\s*\\(",
+        "(?m)^\\s*#include", "(?m)^\\s*package\\s+", "(?m)^\\s*using\\s+", "(?m)^\\s*require\\s*\\(",
+    )
+    n = f"len({lines(x)})"
+    marks = [f"regexp_matches({x}, {q(s)})::int" for s in signs]
+    marks += [f"(len(list_filter({lines(x)}, lambda l: {_leading('l')} >= 2)) > {n} * 0.4)::int", f"(({units(x)} - ({n} - 1)) / {n} < 60)::int"]
+    return f"(({' + '.join(marks)}) >= 3)"
+
+
+_TITLED = f"""(select doc_id, k, {trim('line')} as bare, {trim("coalesce(after, '')")} as under, {_capitals('line')} as caps from
+  (select doc_id, k, line, lead(line) over (partition by doc_id order by k) as after from
+    (select doc_id, unnest(list_slice({lines('text')}, 1, 5)) as line, generate_subscripts(list_slice({lines('text')}, 1, 5), 1) as k from documents)))"""
+_TITLE_CASE = """array_to_string(list_transform(range(1, length(bare) + 1), lambda i: case
+  when regexp_matches(substr(lower(bare), i, 1), '[a-z]') and (i = 1 or not regexp_matches(substr(lower(bare), i - 1, 1), '[A-Za-z0-9_]'))
+  then upper(substr(lower(bare), i, 1)) else substr(lower(bare), i, 1) end), '')"""
+
+ORACLES |= {
+    "url_request_block": f"""select page_id, coalesce(({_REQUEST_ORIGIN} <> {_ORIGIN}) and (regexp_matches({_REQUEST}, {_TRACKER_RX})
+  or not regexp_matches({_REQUEST}, 'cdn|static|assets')), true) as blocked from pages""",
+    "render_fallback": f"""select page_id, size >= 5000 and (regexp_matches(seen, '(?i)enable\\s+javascript|enable\\s+js|requires\\s+javascript|turn\\s+on\\s+javascript')
+  or words < 40 or (words < 80 and size >= 20000) or (words < 200 and size >= 10000)) as retry
+ from (select page_id, seen, size, {count('seen', _WORD.duck)} as words from (select page_id, {visible('html')} as seen, strlen(html) * 5 as size from pages))""",
+    "html_paywall": f"""select page_id, regexp_matches(h, {_PAYWALL_CLASS_RX}) or regexp_matches(h, {_PAYWALL_ATTRIBUTE_RX}) or regexp_matches(lower({visible('h')}), {_PAYWALL_PHRASE_RX}) as paywalled
+ from (select page_id, {_PAYWALL_HTML} as h from pages)""",
+    "text_structure": f"""select doc_id, len(list_filter(ls, lambda l: regexp_matches(l, {Rx('^' + chr(92) + 's*[-*•◦▪►]' + chr(92) + 's+').duck}))) > 0 as has_bullet_lists,
+  len(list_filter(ls, lambda l: regexp_matches(l, {Rx('^' + chr(92) + 's*' + chr(92) + 'd+[.)]' + chr(92) + 's+').duck}))) > 0 as has_numbered_lists,
+  len(list_filter(range(2, len(ls) + 1), lambda i: {_leading('ls[i]')} >= 4 and {trim('ls[i - 1]')} <> '' and {_leading('ls[i - 1]')} < 4)) > 0 as has_code_blocks,
+  len(ls)::int as line_count, {_code_text('md')} as is_likely_code
+ from (select doc_id, md, {lines('md')} as ls from {DERIVED})""",
+    "text_title": f"""select d.doc_id, t.title from documents d left join (select doc_id, arg_min(title, k) as title from
+  (select doc_id, k, case when bare = '' then null when regexp_full_match(under, '=+|-+') then bare when caps then {_TITLE_CASE}
+    when {units('bare')} < 100 and not contains(bare, '  ') and not ends_with(bare, '.') then bare end as title from {_TITLED})
+  where title is not null group by doc_id) t on d.doc_id = t.doc_id""",
+}
