@@ -67,3 +67,26 @@ s as (
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text as DuckDB SQL, which has no function for it."""
+    bits = "list_reduce(range(8), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)), xor(c, x))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda y: ascii(y)::bigint), lambda c, x: {bits}, 4294967295::bigint), 4294967295)"
+
+
+PREFIX_TRIE = f"""
+with c as (
+  select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as s
+  from conversations where conv_id is not null group by conv_id),
+h as (select *, {_crc32("conv_id::varchar")} % 9 as h from c),
+r as (select h.conv_id, list_concat(coalesce(b.s[1:h.h], []), h.s[h.h + 1:]) as s from h left join c b on b.conv_id = h.conv_id - h.conv_id % 5),
+p as (select conv_id, len(s) as n, depth, s[1:depth] as k from (select *, unnest(range(0, len(s) + 1)) as depth from r)),
+n as (select k, depth, min(conv_id) as conv_id, count(*) as n_convs, string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth) as ends from p group by k, depth),
+ch as (select k[1:depth - 1] as k, count(*) as n_children from n where depth > 0 group by all),
+v as (select n.*, coalesce(n_children, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * strlen(k[depth].text) end as saved from n left join ch using (k)),
+su as (select k[1:a] as k, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum(saved) as saved from (select *, unnest(range(0, depth + 1)) as a from v) group by all)
+select v.conv_id, v.depth::bigint as depth, par.conv_id as parent_conv_id, v.n_convs::bigint as n_convs, v.n_children::bigint as n_children,
+       su.n_leaves::bigint as n_leaves, su.saved::bigint as saved_tokens, sha256(coalesce(v.ends, '')) as ends_sha256
+from v join su using (k) left join v par on v.depth > 0 and par.k = v.k[1:v.depth - 1]
+"""

@@ -16,11 +16,12 @@ from . import langid, quality, secrets, toxicity
 from .common import read
 from .decontaminate import contamination
 from .mixing import mix
-from .oracles import DECONTAMINATION, MIXING, TOPK
+from .oracles import DECONTAMINATION, MIXING, PREFIX_TRIE, TOPK
 from .sharding import shard
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .topk import top_k
+from .trie import prefix_trie
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +89,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"), graft=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
     "pipeline": pipeline,
 }
 
@@ -110,4 +116,5 @@ ORACLE: dict[str, str] = {
     "op6_mixing": MIXING,
     "op7_topk": TOPK,
     "op9_decontamination": DECONTAMINATION,
+    "op11_prefix_trie": PREFIX_TRIE,
 }
