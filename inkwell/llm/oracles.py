@@ -90,3 +90,52 @@ select v.conv_id, v.depth::bigint as depth, par.conv_id as parent_conv_id, v.n_c
        su.n_leaves::bigint as n_leaves, su.saved::bigint as saved_tokens, sha256(coalesce(v.ends, '')) as ends_sha256
 from v join su using (k) left join v par on v.depth > 0 and par.k = v.k[1:v.depth - 1]
 """
+
+_STOPS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+REPAIR = f"""
+with recursive s as (
+  select conv_id, coalesce(conv_id::varchar, ' ') as c, turn, coalesce(role, ' ') as role0, coalesce(text, ' ') as text0,
+         {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fate from conversations),
+d as (
+  select c, turn, role0, md5(text0) as digest, case when fate = 4 then 'user' else role0 end as role,
+         case fate when 1 then '' when 2 then regexp_replace(text0, '[.!?]', '', 'g') else text0 end as text,
+         unnest(range(case fate when 0 then 0 when 3 then 2 else 1 end)) as copy from s),
+o as (select *, trim(text, {_STOPS}) as seen, row_number() over (partition by c order by turn nulls first, role0, digest) as pos from d),
+w as (
+  select c, turn, pos, role, text, left(role, 1) as ini,
+         case when seen = '' then 'b' when row_number() over (partition by c, role, text order by pos) > 1 then 'd' when right(seen, 1) in ('.', '!', '?') then '' else 't' end as fault
+  from o),
+-- before a row, nothing, one or two rows are inserted: three bring nothing new
+ins(q, q2, cost, audit, made) as (values
+  ('', '', 0, '', []::varchar[]), ('s', 's', 0, '', []::varchar[]), ('u', 'u', 0, '', []::varchar[]), ('a', 'a', 0, '', []::varchar[]),
+  ('', 'u', 3, 'I', ['user:']), ('s', 'u', 3, 'I', ['user:']), ('a', 'u', 3, 'I', ['user:']), ('u', 'a', 3, 'I', ['assistant:']),
+  ('', 'a', 6, 'II', ['user:', 'assistant:']), ('s', 'a', 6, 'II', ['user:', 'assistant:'])),
+n as (select c, any_value(conv_id) as conv_id from s group by c),
+dp as (
+  select c, 0::bigint as i, '' as q, {{'cost': 0::bigint, 'audit': '', 'made': []::varchar[]}} as best from n
+  union all
+  select c, pos, q3, min({{'cost': cost, 'audit': audit, 'made': made}}) from (
+    select dp.c, w.pos, e.q3, dp.best.cost + ins.cost + e.cost as cost, dp.best.audit || ins.audit || e.letter as audit,
+           list_concat(list_concat(dp.best.made, ins.made), case when e.role is null then [] else [e.role || ':' || w.text] end) as made
+    from dp join ins on ins.q = dp.q join w on w.c = dp.c and w.pos = dp.i + 1,
+    lateral (
+      select ins.q2 as q3, 4 as cost, 'D' as letter, null as role
+      union all
+      select w.ini, case when w.fault = 't' then 3 else 0 end, 'K', w.role
+      where w.fault not in ('b', 'd') and ((w.ini = 's' and ins.q2 = '') or w.ini = case when ins.q2 = 'u' then 'a' else 'u' end)
+      union all
+      select case when ins.q2 = 'u' then 'a' else 'u' end, 3 + case when w.fault = 't' then 3 else 0 end, 'R', case when ins.q2 = 'u' then 'assistant' else 'user' end
+      where w.fault not in ('b', 'd')) e)
+  group by c, pos, q3),
+f as (
+  select c, min({{'cost': dp.best.cost + ins.cost, 'audit': dp.best.audit || ins.audit, 'made': list_concat(dp.best.made, ins.made)}}) as best
+  from dp join ins using (q) where dp.i = coalesce((select max(pos) from w where w.c = dp.c), 0) and ins.q2 in ('', 'a') group by c),
+g as (
+  select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+         count(*) filter (fault = 't') as truncated, count(*) filter (before || ini not in ('su', 'ua', 'au')) as illegal
+  from (select *, lag(ini) over (partition by c order by pos) as before from w) group by c)
+select n.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+       coalesce(illegal, 0)::bigint as illegal, f.best.cost::bigint as cost, f.best.audit as audit, sha256(array_to_string(f.best.made, chr(10))) as repaired_sha256
+from n join f using (c) left join g using (c)
+"""

@@ -16,7 +16,8 @@ from . import langid, quality, secrets, toxicity
 from .common import read
 from .decontaminate import contamination
 from .mixing import mix
-from .oracles import DECONTAMINATION, MIXING, PREFIX_TRIE, TOPK
+from .oracles import DECONTAMINATION, MIXING, PREFIX_TRIE, REPAIR, TOPK
+from .repair import repair
 from .sharding import shard
 from .simhash import near_duplicates
 from .substring import remove_repeats
@@ -93,6 +94,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(read(spark, sf_dir, "conversations"), graft=True)
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(read(spark, sf_dir, "conversations"), damage=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
     "pipeline": pipeline,
 }
 
@@ -117,4 +123,5 @@ ORACLE: dict[str, str] = {
     "op7_topk": TOPK,
     "op9_decontamination": DECONTAMINATION,
     "op11_prefix_trie": PREFIX_TRIE,
+    "op12_structure_repair": REPAIR,
 }
