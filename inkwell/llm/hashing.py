@@ -67,3 +67,9 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
     """Shared shingles over all distinct shingles of two texts; 1 for two texts without words."""
     x, y = set(shingles(a, width)), set(shingles(b, width))
     return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def shingle_set(text: str | None, width: int, seed: int) -> np.ndarray:
+    """The distinct shingles' hashes as :func:`wide_simhash` returns them, without its fingerprint."""
+    halves = np.frombuffer(b"".join(xxh3_128_digest(s, seed) for s in set(shingles(text, width))), np.uint64)
+    return np.unique(halves[::2]).view(np.int64)

@@ -139,3 +139,22 @@ select n.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
        coalesce(illegal, 0)::bigint as illegal, f.best.cost::bigint as cost, f.best.audit as audit, sha256(array_to_string(f.best.made, chr(10))) as repaired_sha256
 from n join f using (c) left join g using (c)
 """
+
+JACCARD = r"""
+with recursive w as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w
+  from documents),
+s as (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) end)) as s from w),
+d as (select doc_id, len(s)::bigint as n, md5(array_to_string(s, chr(10))) as h, s from s),
+-- equal sets are one node
+u as (select h, n, any_value(s) as s, min(doc_id) as least from d where n > 0 group by h, n),
+g as (select h, n, unnest(s) as g from u),
+p as (select a.h as a, b.h as b, a.n as m, b.n as n, count(*) as shared from g a join g b on a.g = b.g and a.h < b.h where a.n * 100 >= 90 * b.n and b.n * 100 >= 90 * a.n group by all),
+l as (select a, b from p where 100 * shared >= 90 * (m + n - shared)),
+e as (select a, b from l union all select b, a from l),
+r as (select h as a, h as b from u union select r.a, e.b from r join e on e.a = r.b),
+c as (select r.a as h, min(u.least) as component_id from r join u on u.h = r.b group by r.a)
+select d.doc_id, d.n as n_shingles, case when d.n = 0 then d.doc_id else c.component_id end as component_id from d left join c using (h)
+"""

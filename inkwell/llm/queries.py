@@ -16,13 +16,14 @@ from . import langid, quality, secrets, toxicity
 from .common import read
 from .decontaminate import contamination
 from .mixing import mix
-from .oracles import DECONTAMINATION, MIXING, PREFIX_TRIE, REPAIR, TOPK
+from .oracles import DECONTAMINATION, JACCARD, MIXING, PREFIX_TRIE, REPAIR, TOPK
 from .repair import repair
 from .sharding import shard
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .topk import top_k
 from .trie import prefix_trie
+from .triejoin import jaccard_groups
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +99,10 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(read(spark, sf_dir, "conversations"), damage=True)
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_structure_repair": op12_structure_repair,
+    "op13_jaccard_join": op13_jaccard_join,
     "pipeline": pipeline,
 }
 
@@ -124,4 +130,5 @@ ORACLE: dict[str, str] = {
     "op9_decontamination": DECONTAMINATION,
     "op11_prefix_trie": PREFIX_TRIE,
     "op12_structure_repair": REPAIR,
+    "op13_jaccard_join": JACCARD,
 }
