@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import kinds as K
 from ..functions import markup as M
 from ..functions.regex import Rx, let, trim_text
+from .scans import after_delays
 
 #: How much of a JSON document is shown.
 KEYS, SAMPLES, STRING, DEPTH, SHOWN, LARGE = 20, 3, 200, 5, 5000, 100_000
@@ -420,11 +421,8 @@ def part_key(base: Column, hash_: Column, index: Column) -> Column:
 def crawl_schedule(requests: DataFrame, host: str = "host", at: str = "at", delay: str = "delay", ties: tuple[str, ...] = ()) -> DataFrame:
     """``requests`` with ``start``: no sooner than asked, and a delay after the host's last one.
 
-    start_i = max(at_i, start_(i-1) + d) is i*d plus the running maximum of at_j - j*d.
-    Requests of the same time are taken in order of ``ties``.
+    Requests of the same time are taken in order of ``ties``. Numbers of any
+    unit; microseconds are cut into hours, so no host meets in one task
+    (:func:`..operators.scans.after_delays`).
     """
-    order = Window.partitionBy(host).orderBy(at, *ties)
-    i = F.row_number().over(order)
-    rows = requests.withColumn("_i", i)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("start", F.col("_i") * F.col(delay) + F.max(F.col(at) - F.col("_i") * F.col(delay)).over(upto)).drop("_i")
+    return after_delays(requests, host, at, delay, ties)

@@ -188,4 +188,4 @@ def test_signs_lose_no_injection(spark):
 def test_even_and_parted(spark):
     text = "One\u00a0is  here. Two is.\tThree \u2003 stays! four? Five.\n\n# Head\n12) item. Next\n- other\n  1x. Rest\t"
     got = spark.createDataFrame([(text,)], "t string").select(S.sentences(F.col("t")).alias("s")).first().s
-    assert got == ["One is here.", "Two is.", "Three stays!", "four?", "Five.", "# Head", "12) item. Next", "- other", "1x.", "Rest"]
+    assert got == ["One is here.", "Two is.", "Three stays! four?", "Five.", "# Head", "12) item. Next", "- other", "1x.", "Rest"]
