@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import scans
+from .operators import completion, ranking, redirects, scans
 from .streaming import caches, limits
 
 
@@ -121,6 +121,68 @@ r as (
 select event_id, begins::bigint as start_us from r
 """
 
-QUERIES = {"rate_wait": rate_wait, "cache_replay": cache_replay, "cache_lookup": cache_lookup, "delay_schedule": delay_schedule}
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each page's URL leads if eight pages each redirect to the next: chains, long ones, loops, and some without a location."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    k = F.col("page_id") % 8
+    goal = F.when(F.col("page_id") % 5 == 4, F.lit(None)).when(F.col("page_id") % 16 == 7, F.col("page_id") - 2).when(F.col("page_id") % 16 == 15, F.lit(None)).otherwise(F.col("page_id") + 1)
+    moves = pages.where((k != 3) & ((F.col("page_id") % 16 != 15) | (F.col("page_id") % 5 == 4))).select(F.col("url").alias("src"), goal.alias("goal"))
+    moves = moves.join(pages.select(F.col("page_id").alias("goal"), F.col("url").alias("dst")), "goal", "left").select("src", "dst")
+    return redirects.follow(pages, moves, 3)
+
+
+REDIRECT_CHAINS = """
+with recursive m as (
+  select p.url as src, min(q.url) as dst from pages p left join pages q
+    on q.page_id = case when p.page_id % 5 = 4 then null when p.page_id % 16 = 7 then p.page_id - 2 when p.page_id % 16 = 15 then null else p.page_id + 1 end
+  where p.page_id % 8 <> 3 and (p.page_id % 16 <> 15 or p.page_id % 5 = 4) group by p.url),
+r as (
+  select distinct url, url as now, [url] as seen, null::varchar as verdict from pages where url is not null
+  union all
+  select r.url, coalesce(m.dst, r.now), case when m.dst is null then seen else list_append(seen, m.dst) end,
+         case when m.src is null then 'OK' when m.dst is null then 'INVALID_REDIRECT' when len(seen) > 3 then 'TOO_MANY_REDIRECTS' when list_contains(seen, m.dst) then 'REDIRECT_LOOP' end
+  from r left join m on m.src = r.now where r.verdict is null)
+select url, case when verdict = 'OK' then now end as final_url, (len(seen) - 1)::int as hops, verdict from r where verdict is not null
+"""
+
+BM25_QUERY = "the report of an Étion in zu 2020 thereof"
+
+
+def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty turns that answer a query best, through the index."""
+    rows = read(spark, sf_dir, "conversations")
+    rows = rows.select(F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lpad(F.col("turn").cast("string"), 4, "0")).alias("chunk_id"), "text")
+    return ranking.search(ranking.build(rows), BM25_QUERY, 20).select("id", F.round("score", 6).alias("score"))
+
+
+BM25 = """
+with d as (select lpad(conv_id::varchar, 8, '0') || ':' || lpad(turn::varchar, 4, '0') as id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from conversations),
+s as (select count(*) as n, avg(len(w)) as mean from d),
+q as (select distinct unnest(['the', 'report', 'of', 'an', 'étion', 'in', 'zu', '2020', 'thereof']) as term),
+p as (select id, len(w) as l, q.term, len(list_filter(w, lambda x: x = q.term)) as tf from d, q where list_contains(w, q.term)),
+f as (select term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf from p, s group by term)
+select id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) as score from p join f using (term), s group by id order by sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) desc, id limit 20
+"""
+
+
+def complete_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions of part names and of pages' URLs for three things typed."""
+    parts = read(spark, sf_dir, "part").select(F.lit("part").alias("kind"), F.col("p_name").alias("value"))
+    pages = read(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("url").alias("value"))
+    found = completion.index(parts.unionByName(pages))
+    asked = (("part", " GREEN "), ("part", "a"), ("page", "example.com/de"))
+    rows = [completion.complete(found, kind, typed, 15).select(F.lit(kind).alias("kind"), F.lit(typed).alias("typed"), "value", "total", "has_more") for kind, typed in asked]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+COMPLETE_KINDS = """
+with v as (select distinct 'part' as kind, p_name as value from part union all select distinct 'page', url from pages),
+q as (select * from (values ('part', ' GREEN '), ('part', 'a'), ('page', 'example.com/de')) t(kind, typed)),
+m as (select kind, typed, value, instr(lower(value), lower(trim(typed))) as pos from v join q using (kind) where trim(value) <> '' and contains(lower(value), lower(trim(typed)))),
+r as (select *, count(*) over (partition by kind, typed) as total, row_number() over (partition by kind, typed order by pos, length(value), value) as n from m)
+select kind, typed, value, total, total > 15 as has_more from r where n <= 15
+"""
+
+QUERIES = {"rate_wait": rate_wait, "cache_replay": cache_replay, "cache_lookup": cache_lookup, "delay_schedule": delay_schedule, "redirect_chains": redirect_chains, "retrieve_bm25": bm25, "complete_kinds": complete_kinds}
 
-ORACLES = {"rate_wait": RATE_WAIT, "cache_replay": CACHE_REPLAY, "cache_lookup": CACHE_LOOKUP, "delay_schedule": DELAY_SCHEDULE}
+ORACLES = {"rate_wait": RATE_WAIT, "cache_replay": CACHE_REPLAY, "cache_lookup": CACHE_LOOKUP, "delay_schedule": DELAY_SCHEDULE, "redirect_chains": REDIRECT_CHAINS, "retrieve_bm25": BM25, "complete_kinds": COMPLETE_KINDS}

@@ -1,4 +1,4 @@
-"""Pages by URL as a data source, and packets' parts as files.
+"""Pages by URL as a data source.
 
 ``spark.dataSource.register(WebPages)``, then
 ``spark.read.format("webpages").option("urls", ...).load()`` for a short list, or
@@ -25,9 +25,8 @@ from datetime import UTC, datetime
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-import pyarrow.fs
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import urls as U
 from ..operators import gates
@@ -99,8 +98,12 @@ def decompress(body: bytes, codings: str, max_bytes: int) -> bytes:
 def get(url: str, transport: Transport = http, gate: Callable[[str], tuple[str, str] | None] = lambda _: None, headers: dict | None = None, max_bytes: int = 10_485_760, timeout: float = 30.0, max_redirects: int = 5) -> tuple[str, Response]:
     """The final URL and its response. Every hop passes the gate; a URL that comes twice is a loop."""
     seen: set[str] = set()
-    for _ in range(max_redirects + 1):
-        if urlsplit(url).scheme not in ("http", "https"):
+    for hop in range(max_redirects + 1):
+        try:
+            scheme = urlsplit(url).scheme
+        except ValueError as e:
+            raise FetchError("INVALID_REDIRECT" if hop else "INVALID_URL", str(e)) from e
+        if scheme not in ("http", "https"):
             raise FetchError("INVALID_PROTOCOL", f"Protocol not allowed: {url}")
         if url in seen:
             raise FetchError("REDIRECT_LOOP", f"Redirect loop at {url}")
@@ -116,11 +119,16 @@ def get(url: str, transport: Transport = http, gate: Callable[[str], tuple[str,
         if 300 <= r.status < 400:
             if not r.headers.get("location"):
                 raise FetchError("INVALID_REDIRECT", "Redirect without a location")
-            url = urljoin(url, r.headers["location"])
+            try:
+                url = urljoin(url, r.headers["location"])
+            except ValueError as e:
+                raise FetchError("INVALID_REDIRECT", str(e)) from e
             continue
         if not 200 <= r.status < 300:
             raise FetchError(f"HTTP_{r.status}", f"HTTP {r.status}", r.status == 429 or r.status >= 500)
-        if len(r.body) > max_bytes or int(r.headers.get("content-length") or 0) > max_bytes:
+        length = r.headers.get("content-length") or ""
+        # a length that is no number says nothing; the body is measured anyway
+        if len(r.body) > max_bytes or (length.isascii() and length.isdigit() and int(length) > max_bytes):
             raise FetchError("CONTENT_TOO_LARGE", f"Content exceeds {max_bytes} bytes")
         return url, Response(r.status, r.headers, decompress(r.body, r.headers.get("content-encoding", ""), max_bytes))
     raise FetchError("TOO_MANY_REDIRECTS", f"More than {max_redirects} redirects")
@@ -307,7 +315,11 @@ class _Reader(DataSourceReader):
         count = int(self.options.get("partitions", 8))
         hosts: dict[str, list[str]] = {}
         for url in json.loads(self.options.get("urls", "[]")):
-            hosts.setdefault(urlsplit(url).netloc, []).append(url)
+            try:
+                host = urlsplit(url).netloc
+            except ValueError:
+                host = ""
+            hosts.setdefault(host, []).append(url)
         parts: list[list[str]] = [[] for _ in range(max(1, min(count, len(hosts))))]
         for urls in sorted(hosts.values(), key=len, reverse=True):
             min(parts, key=len).extend(urls)
@@ -323,36 +335,3 @@ class _Reader(DataSourceReader):
         )
         for url in partition.urls:
             yield row_of(url, **options)
-
-
-class PartFiles(DataSource):
-    """Writes rows (key, text) as one file a key below the ``path`` option: an address of a shared file system, or a folder that all executors share.
-
-    A file is written beside its place and moved there, so a task that runs
-    twice leaves one whole file.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "partfiles"
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"])
-
-
-class _Writer(DataSourceWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        import uuid
-
-        files, base = pyarrow.fs.FileSystem.from_uri(self.path)
-        for row in rows:
-            to = "/".join([base.rstrip("/"), *[p for p in row["key"].split("/") if p not in ("", ".", "..")]])
-            files.create_dir(to.rpartition("/")[0], recursive=True)
-            beside = f"{to}.{uuid.uuid4().hex}"
-            with files.open_output_stream(beside) as f:
-                f.write(row["text"].encode())
-            files.move(beside, to)
-        return WriterCommitMessage()

@@ -11,7 +11,7 @@ from inkwell.functions import urls as U
 from inkwell.operators import documents as D
 from inkwell.operators import gates, html, retrieval
 from inkwell.plans import config, packets
-from inkwell.sources import web
+from inkwell.sources import partfiles, web
 from inkwell.streaming import limits
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T &amp; U</title><meta property="og:title" content="OG"><meta name="author" content="Ann"></head><body>
@@ -205,7 +205,7 @@ def test_reader_is_gated():
 
 
 def test_part_files(spark, tmp_path):
-    spark.dataSource.register(web.PartFiles)
+    spark.dataSource.register(partfiles.PartFiles)
     spark.createDataFrame([("h/a/part-0001.md", "text"), ("h/../b.md", "x")], "key string, text string").write.format("partfiles").option("path", str(tmp_path)).mode("append").save()
     assert (tmp_path / "h/a/part-0001.md").read_text() == "text" and (tmp_path / "h/b.md").exists()
 
