@@ -1,8 +1,10 @@
 """HTML read as a tree: cleaned, its main part found, written as Markdown.
 
 The tree is built with the standard library's tokenizer. It closes elements
-that HTML lets stay open; it doesn't reorder misnested ones as browsers do, and
-hidden elements are known by attributes and inline styles, not by style sheets.
+that HTML lets stay open; it doesn't reorder misnested ones as browsers do.
+Hidden elements are known by attributes, inline styles and the page's own style
+sheets (:mod:`.visibility`); a page without a marked main part has the article
+that its paragraphs point to (:mod:`.readability`).
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions import kinds as K
 from ..functions.markup import PAYWALL_ATTRIBUTES, PAYWALL_CLASSES, PAYWALL_PHRASES
 from ..functions.regex import SPACES, Rx, trim_text
+from .readability import article, fits
+from .visibility import Sheet
 
 #: Elements removed with all they hold.
 REMOVED = frozenset(
@@ -166,10 +170,13 @@ def find(root: Node, *selectors: str) -> Node | None:
     return next((n for n in root.walk() if any(selects(s, n) for s in selectors)), None)
 
 
-def hidden(node: Node) -> bool:
-    style = re.sub(r"\s", "", node.attrs.get("style", "").lower())
-    shown = not re.search(r"display:none|visibility:hidden|opacity:0(?:;|$|\.0+(?:;|$))", style)
-    return not shown or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or node.attrs.get("data-hidden") == "true"
+def hidden(node: Node, sheet: Sheet) -> bool:
+    return sheet.hides(node) or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or node.attrs.get("data-hidden") == "true"
+
+
+def style_sheet(root: Node) -> Sheet:
+    """The rules of a page's ``style`` elements."""
+    return Sheet("\n".join(n.text() for n in root.walk() if n.tag == "style"), selects)
 
 
 def sanitize(root: Node, boilerplate: bool = True, remove: tuple[str, ...] = (), preserve: tuple[str, ...] = ()) -> None:
@@ -183,11 +190,12 @@ def sanitize(root: Node, boilerplate: bool = True, remove: tuple[str, ...] = (),
             node = node.parent
         return False
 
+    sheet = style_sheet(root)
     plain = {s for s in BOILERPLATE if re.fullmatch("[a-z]+", s)} if boilerplate else set()
     classes = {s[1:] for s in BOILERPLATE if re.fullmatch(r"\.[\w-]+", s)} if boilerplate else set()
     odd = [s for s in (BOILERPLATE if boilerplate else ()) if not re.fullmatch(r"\.?[\w-]+", s)] + list(remove)
     for node in list(root.walk()):
-        out = node.tag in REMOVED or node.tag in plain or not classes.isdisjoint(node.classes()) or hidden(node) or any(selects(s, node) for s in odd)
+        out = node.tag in REMOVED or node.tag in plain or not classes.isdisjoint(node.classes()) or hidden(node, sheet) or any(selects(s, node) for s in odd)
         if out and not spared(node):
             node.drop()
     for node in root.walk():
@@ -313,12 +321,19 @@ def _attribute(root: Node, name: str, *selectors: str) -> str:
 
 
 def extract(html: str, remove: tuple[str, ...] = (), tables: bool = True, code: bool = True) -> dict:
-    """Title, Markdown, text and metadata of a page: of ``main``, ``article`` or the main role, else of its body."""
+    """Title, Markdown, text and metadata of a page: of ``main``, ``article`` or the main role, else of the article found, if it fits, else of its body."""
     root = parse(html)
     warnings = ["Content appears to be paywalled"] if (wall := paywalled(root)) else []
     sanitize(root, remove=tuple(remove))
     body = find(root, "body") or root
-    main = find(root, "main", "article", '[role="main"]') or body
+    main, read_words = find(root, "main", "article", '[role="main"]'), None
+    whole_words = len((main or body).text().split())
+    if main is None:
+        main, parts = body, article(body)
+        read_words = sum(len(p.text().split()) for p in parts)
+        if fits(whole_words, read_words):
+            main = Node("div")
+            main.children = parts
     title = find(root, "title")
     page = find(root, "html")
     return dict(
@@ -327,13 +342,13 @@ def extract(html: str, remove: tuple[str, ...] = (), tables: bool = True, code:
         author=_attribute(root, "content", '[name="author"]', '[property="article:author"]'),
         published_at=_attribute(root, "content", '[property="article:published_time"]') or _attribute(root, "datetime", "time[datetime]"),
         language=page.attrs.get("lang", "") if page else "",
-        markdown=tidy(to_markdown(main, tables, code)), text=main.text(), excerpt=main.text()[:200], paywalled=wall, warnings=warnings,
+        markdown=tidy(to_markdown(main, tables, code)), text=main.text(), excerpt=main.text()[:200], paywalled=wall, warnings=warnings, whole_words=whole_words, read_words=read_words,
     )
 
 
 EXTRACTED = K.struct(
     title=K.STRING, site_name=K.STRING, author=K.STRING, published_at=K.STRING, language=K.STRING, markdown=K.STRING, text=K.STRING,
-    excerpt=K.STRING, paywalled=K.BOOL, warnings=K.STRINGS,
+    excerpt=K.STRING, paywalled=K.BOOL, warnings=K.STRINGS, whole_words=K.LONG, read_words=K.LONG,
 )
 
 
