@@ -322,14 +322,45 @@ def structured_column(text: pd.Series, kind: pd.Series, url: pd.Series) -> pd.Da
 # --- page texts (of a reader for PDF, say) -------------------------------------------------
 
 
-def pages_markdown(pages: DataFrame) -> DataFrame:
-    """(doc, markdown, page_count, low_confidence) of ``pages(doc, page_no, text)``: pages with little text are doubtful."""
-    size = F.length(F.trim(F.coalesce("text", F.lit(""))))
-    part = F.struct("page_no", F.concat(F.lit("## Page "), F.col("page_no").cast("string"), F.lit("\n\n"), F.trim("text")).alias("part"))
-    return pages.groupBy("doc").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(size > 0, part))), lambda p: p["part"]), "\n\n").alias("markdown"),
-        F.count("*").alias("page_count"),
-        ((F.avg(size) < 100) | (F.avg((size == 0).cast("int")) > 0.5)).alias("low_confidence"),
+def pages_markdown(pages: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """One row for each ``doc`` of ``pages(doc, page_no, text)``: what a packet of it needs.
+
+    ``markdown`` has the title, author, day and number of pages that
+    ``info(doc, title, author, created)`` knows, and a section for each page with
+    text; ``text`` is that of all pages, ``excerpt`` its beginning. Pages with
+    little text on average, or mostly empty ones, are doubtful
+    (``low_confidence``, with a warning): they may be scans. A null text is empty;
+    a document with a null ``doc`` is one of its own.
+    """
+    bare = F.trim(F.coalesce("text", F.lit("")))
+    per = pages.groupBy("doc").agg(
+        F.sort_array(F.collect_list(F.struct("page_no", bare.alias("text")))).alias("_pages"), F.count("*").alias("page_count"),
+        F.avg(F.length(bare)).alias("_mean"), F.count_if(bare == "").alias("empty_pages"),
+    )
+    if info is None:
+        per = per.withColumns({c: F.lit(None).cast("string") for c in ("title", "author", "created")})
+    else:
+        known = info.groupBy(F.col("doc").alias("_doc")).agg(*[F.first(c, ignorenulls=True).cast("string").alias(c) for c in ("title", "author", "created")])
+        per = per.join(known, F.col("doc").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    made = pdf_date(F.col("created"))
+    filled = F.filter("_pages", lambda p: p["text"] != "")
+    sections = F.transform(filled, lambda p: F.concat(F.lit("## Page "), p["page_no"].cast("string"), F.lit("\n\n"), p["text"], F.lit("\n")))
+    about = F.array_join(F.array_compact(F.array(
+        F.concat(F.lit("- **Author:** "), F.nullif("author", F.lit(""))), F.concat(F.lit("- **Created:** "), F.date_format(made, "yyyy-MM-dd")),
+        F.concat(F.lit("- **Pages:** "), F.col("page_count").cast("string")),
+    )), "\n")
+    title = F.nullif("title", F.lit(""))
+    parts = F.concat(F.array_compact(F.array(F.concat(F.lit("# "), title, F.lit("\n")), F.concat(about, F.lit("\n")))), sections)
+    doubtful = (F.col("_mean") < 100) | (F.col("empty_pages") / F.col("page_count") > 0.5)
+    warning = F.concat(
+        F.lit("Low text extraction confidence - PDF may be scanned images. Average "), F.floor(F.col("_mean") + 0.5).cast("string"), F.lit(" chars/page, "),
+        F.col("empty_pages").cast("string"), F.lit("/"), F.col("page_count").cast("string"), F.lit(" empty pages."),
+    )
+    text = F.trim(F.array_join(F.transform("_pages", lambda p: p["text"]), "\n\n"))
+    return per.select(
+        "doc", F.coalesce(title, F.concat(F.lit("PDF Document ("), F.col("page_count").cast("string"), F.lit(" pages)"))).alias("title"), F.col("author").alias("author"), made.alias("created_at"),
+        M.trim(F.array_join(parts, "\n")).alias("markdown"), M.trim(text).alias("text"), F.substring(M.trim(text), 1, 300).alias("excerpt"), "page_count", "empty_pages",
+        doubtful.alias("low_confidence"), F.when(doubtful, warning).alias("warning"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,26 +144,35 @@ def readability_fits(whole_words: Column, read_words: Column) -> Column:
 # --- crawl rules ----------------------------------------------------------------
 
 
-def agent_token(agent: Column) -> Column:
-    return F.lower(F.get(F.split(F.trim(agent), r"[\s/]+"), F.lit(0)))
+#: Fixed value: the beginning of a delay that is read as its number.
+DELAY = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+
+
+def agent_names(agent: str, aliases: tuple[str, ...] = ("inkwell",)) -> tuple[str, ...]:
+    """What a group of rules may call an agent: the first word of its name, the whole of it, its aliases, and ``*``."""
+    whole = agent.strip().lower()
+    return tuple(dict.fromkeys([re.split(r"[\s/]+", whole)[0] or whole, whole, *aliases, "*"]))
 
 
 def parse_robots(files: DataFrame, agents: tuple[str, ...]) -> DataFrame:
     """(origin, allow, pattern, crawl_delay): one row a rule that holds for the agents, and the file's last delay.
 
     Rules follow the last ``User-agent`` line before them; ``*`` holds for all.
-    A file that is missing or wasn't served (status other than 200) has none.
+    Lines that begin with a number sign are comments. A delay counts up to where
+    it stops being a number. A file that is missing or wasn't served (status
+    other than 200) has none. :func:`..sources.web.rules_of` reads one file alike.
     """
     names = [a.lower() for a in agents] + ["*"]
-    lines = files.where("status = 200 and body is not null").select("origin", F.posexplode(F.split("body", r"\r?\n")).alias("at", "line"))
-    bare = trim(F.regexp_replace("line", "#.*", ""))
+    lines = files.where("status = 200 and body is not null").select("origin", F.posexplode(F.split("body", r"\n")).alias("at", "line"))
+    bare = trim(F.col("line"))
+    lines = lines.where(~bare.startswith("#"))
     lines = lines.select("origin", "at", F.lower(trim(F.regexp_extract(bare, "^([^:]*):", 1))).alias("name"), trim(F.regexp_extract(bare, "^[^:]*:(.*)$", 1)).alias("value"))
     token = F.lower(F.col("value"))
     mine = F.when(F.col("name") == "user-agent", token.isin(*names))
     upto = Window.partitionBy("origin").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("mine", F.coalesce(F.last(mine, ignorenulls=True).over(upto), F.lit(False))).where("mine")
     rules = lines.where("name in ('allow', 'disallow') and value <> ''").select("origin", (F.col("name") == "allow").alias("allow"), F.col("value").alias("pattern"))
-    delay = F.col("value").try_cast("double")
+    delay = F.regexp_extract("value", DELAY, 0).try_cast("double")
     delays = lines.where((F.col("name") == "crawl-delay") & (delay > 0)).groupBy("origin").agg(F.max_by(delay, "at").alias("crawl_delay"))
     return rules.join(delays, "origin", "full")
 

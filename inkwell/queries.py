@@ -33,11 +33,6 @@ ROBOTS = (
     ("https://example.com", "User-agent: *\nDisallow: /private\nAllow: /private/open\nCrawl-delay: 2\nDisallow: /*.pdf$"),
     ("https://site0.example.com", "User-agent: other\nDisallow: /\nUser-agent: *\nDisallow: /a\nAllow: /a\nDisallow: /x/*/y"),
 )
-FEED = (
-    '<rss version="2.0"><channel><title>News</title><link>https://e.com</link>'
-    + "".join(f"<item><title>Item {i}</title><link>https://e.com/{i}</link><description>&lt;p&gt;Text {i}&lt;/p&gt;</description></item>" for i in range(25))
-    + "</channel></rss>"
-)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -272,7 +267,6 @@ QUERIES: dict[str, Query] = {
     "ssrf_ipv4_join": lambda s, d: gates.blocked_by_join(ips(s, d)).select("doc_id", "ip"),
     "ssrf_ipv4_flag": lambda s, d: ips(s, d).select("doc_id", gates.blocked_ipv4(F.col("ip")).alias("blocked")),
     "ssrf_host_verdict": host_verdict,
-    "robots_parse": lambda s, d: gates.parse_robots(robots_files(s), ("bot",)),
     "robots_decision": robots_decision,
     # retrieval
     "retrieve_scoped_topk": lambda s, d: retrieval.search(folders(s, d).withColumn("chunk_id", F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lpad(F.col("turn").cast("string"), 4, "0"))), SEARCH, scope=retrieval.folder_range("c/1"), most=20).select("chunk_id", F.round("score", 6).alias("score")),
@@ -293,8 +287,7 @@ QUERIES: dict[str, Query] = {
     "ingest_skip_existing": skip_existing,
     "thread_upsert": thread_upsert,
     "bytes_split": documents_query(lambda d: derived(d).select("doc_id", F.posexplode(documents.split_bytes_column(F.col("md"), 500)).alias("k", "part"))),
-    # JSON and XML
+    # JSON
     "json_schema_summary": documents_query(lambda d: d.withColumn("x", documents.structured_column("props", F.lit("json"), F.lit(None).cast("string"))).select("event_id", "x.markdown", "x.text"), "events"),
     "json_valid": columns(lambda t, m, h, u: dict(valid=F.try_parse_json("props").isNotNull()), "events", "event_id"),
-    "xml_feed_items": lambda s, d: s.createDataFrame([(FEED,)], "xml string").select(F.posexplode(documents.feed_items("xml")).alias("k", "x")).select("k", "x.title", "x.link", "x.description"),
 }

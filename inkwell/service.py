@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import completion, ranking, redirects, scans
+from .functions import markup as M
+from .functions import urls as U
+from .operators import completion, documents, gates, html, ranking, redirects, retrieval, scans
+from .plans import packets
 from .streaming import caches, limits
 
 
@@ -183,6 +186,119 @@ r as (select *, count(*) over (partition by kind, typed) as total, row_number()
 select kind, typed, value, total, total > 15 as has_more from r where n <= 15
 """
 
-QUERIES = {"rate_wait": rate_wait, "cache_replay": cache_replay, "cache_lookup": cache_lookup, "delay_schedule": delay_schedule, "redirect_chains": redirect_chains, "retrieve_bm25": bm25, "complete_kinds": complete_kinds}
+def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a file for each page's site: two groups, comments, an alias, delays that begin with a number."""
+    k = F.col("page_id").cast("string")
+    lines = F.concat_ws(
+        "\n", F.lit("# rules"), F.lit("User-agent: other"), F.concat(F.lit("Disallow: /other"), k), F.concat(F.lit("User-Agent: "), F.when(F.col("page_id") % 3 == 0, "*").when(F.col("page_id") % 3 == 1, "PageBot").otherwise("nobody")),
+        F.concat(F.lit(" Disallow : /p"), k, F.lit("#x\r")), F.lit("#Allow: /no"), F.concat(F.lit("ALLOW: /p"), k, F.lit("/open")), F.lit("Allow:"), F.concat(F.lit("Crawl-delay: "), F.col("page_id") % 4, F.lit(".5s")), F.lit("no colon"),
+    )
+    files = read(spark, sf_dir, "pages").select(F.concat(F.lit("https://s"), k).alias("origin"), F.when(F.col("page_id") % 10 == 9, 404).otherwise(200).alias("status"), lines.alias("body"))
+    return gates.parse_robots(files, gates.agent_names("PageBot/1.0 (+https://x)")).select("origin", "allow", "pattern", "crawl_delay")
+
+
+ROBOTS_PARSE = """
+select 'https://s' || page_id as origin, a as allow, case when a then '/p' || page_id || '/open' else '/p' || page_id || '#x' end as pattern, (page_id % 4 + 0.5)::double as crawl_delay
+from pages, (select unnest([true, false]) as a) where page_id % 10 <> 9 and page_id % 3 < 2
+"""
+
+
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of a feed for each source's documents: at most twenty, descriptions without tags."""
+    d = read(spark, sf_dir, "documents").where("doc_id % 4 < 2").select("source", "doc_id", "lang")
+    k = F.col("doc_id").cast("string")
+    item = F.concat(F.lit("<item><title>Item "), k, F.lit("</title><link>https://e.com/"), k, F.lit("</link><description>&lt;p&gt;In &amp;amp; of "), F.col("lang"), F.lit("&lt;/p&gt;</description></item>"))
+    feeds = d.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda e: e["x"]), "").alias("items"))
+    xml = F.concat(F.lit('<rss version="2.0"><channel><title>News</title><link>https://e.com</link>'), "items", F.lit("</channel></rss>"))
+    found = feeds.select("source", F.posexplode(documents.feed_items(xml)).alias("k", "x"))
+    return found.select("source", "k", "x.title", "x.link", M.strip_tags(F.col("x.description")).alias("description"))
+
+
+FEED_ITEMS = """
+with d as (select source, doc_id, lang, row_number() over (partition by source order by doc_id) - 1 as k from documents where doc_id % 4 < 2)
+select source, k::int as k, 'Item ' || doc_id as title, 'https://e.com/' || doc_id as link, 'In & of ' || lang as description from d where k < 20
+"""
+
+
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of books of six, some without text, some with what a file says of itself."""
+    d = read(spark, sf_dir, "documents")
+    book = F.floor(F.col("doc_id") / 6).cast("long")
+    text = F.when(F.col("doc_id") % 7 < 3, F.lit(" ")).when(F.col("doc_id") % 7 == 3, F.lit(None)).otherwise(F.substring(F.regexp_replace("text", "[^A-Za-z. ]", "x"), 1, 400))
+    pages = d.select(book.alias("doc"), (F.col("doc_id") % 6 + 1).cast("int").alias("page_no"), text.alias("text"))
+    info = d.where("doc_id % 12 = 0").select(book.alias("doc"), F.concat(F.lit("Book "), book.cast("string")).alias("title"), F.when(F.col("doc_id") % 24 == 0, F.col("source")).alias("author"), F.when(F.col("doc_id") % 36 == 0, "D:20240229").when(F.col("doc_id") % 36 == 12, "D:201912312359").otherwise("soon").alias("created"))
+    return documents.pages_markdown(pages, info).select("doc", "title", "author", F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_at"), "markdown", "excerpt", "page_count", "empty_pages", "low_confidence", "warning")
+
+
+PDF_PAGES = """
+with p as (select doc_id // 6 as doc, doc_id % 6 + 1 as page, case when doc_id % 7 < 4 then '' else trim(substr(regexp_replace(text, '[^A-Za-z. ]', 'x', 'g'), 1, 400)) end as t from documents),
+i as (select doc_id // 6 as doc, 'Book ' || (doc_id // 6) as title, case when doc_id % 24 = 0 then source end as author, case doc_id % 36 when 0 then '2024-02-29 00:00' when 12 then '2019-12-31 23:59' end as made from documents where doc_id % 12 = 0),
+g as (select doc, count(*) as n, count(*) filter (t = '') as empty, avg(length(t)) as mean, string_agg(case when t <> '' then '## Page ' || page || chr(10) || chr(10) || t || chr(10) end, chr(10) order by page) as body, trim(string_agg(t, chr(10) || chr(10) order by page), ' ' || chr(10)) as whole from p group by doc)
+select doc::bigint as doc, coalesce(title, 'PDF Document (' || n || ' pages)') as title, author, made as created_at,
+       rtrim(coalesce('# ' || title || chr(10) || chr(10), '') || coalesce('- **Author:** ' || author || chr(10), '') || coalesce('- **Created:** ' || substr(made, 1, 10) || chr(10), '') || '- **Pages:** ' || n || chr(10) || coalesce(chr(10) || body, ''), chr(10) || ' ') as markdown,
+       substr(whole, 1, 300) as excerpt, n as page_count, empty as empty_pages, mean < 100 or empty / n > 0.5 as low_confidence,
+       case when mean < 100 or empty / n > 0.5 then 'Low text extraction confidence - PDF may be scanned images. Average ' || floor(mean + 0.5)::bigint || ' chars/page, ' || empty || '/' || n || ' empty pages.' end as warning
+from g left join i using (doc)
+"""
+
+
+def url_same_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("#top"))).when(F.col("page_id") % 3 == 1, F.replace("url", F.lit(".example."), F.lit(".example.org."))).otherwise(F.regexp_replace("url", "^http(s?)://([^/?#]*)", "HTTP$1://$2:8443"))
+    return read(spark, sf_dir, "pages").select("page_id", U.same_origin(F.col("url"), other).alias("same"))
+
+
+def fetch_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a response is kept under: the URL as it is normalised, and all that the answer may depend on."""
+    headers = F.create_map(F.lit("X-Page"), F.col("page_id").cast("string"), F.lit("Accept"), F.lit("a/b"))
+    url = F.concat(F.lit("https://E.com/p/"), F.col("page_id").cast("string"), F.lit("/?b=2&utm_source=x&a="), (F.col("page_id") % 5).cast("string"))
+    return read(spark, sf_dir, "pages").select("page_id", packets.cache_key(url, F.lit("agent/1"), headers, F.lit(1000), F.lit(5)).alias("key"))
+
+
+def resource_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of resources, well-formed and not, and what they name."""
+    k, kinds = F.col("page_id").cast("string"), F.array(*[F.lit(x) for x in ("packet", "content", "normalized", "screenshot", "other")])
+    uri = F.concat(F.lit("inkwell://"), F.get(kinds, (F.col("page_id") % 5).cast("int")), F.lit("/"), F.when(F.col("page_id") % 7 == 0, F.concat(k, F.lit("/x"))).when(F.col("page_id") % 7 == 1, F.concat(k, F.lit("%20b"))).when(F.col("page_id") % 7 == 2, F.concat(k, F.lit("?q"))).otherwise(k))
+    found = read(spark, sf_dir, "pages").select("page_id", U.parse_resource(uri).alias("x"))
+    return found.select("page_id", "x.kind", "x.source_id", U.build_resource(F.col("x.kind"), F.col("x.source_id")).alias("again"))
+
+
+RESOURCE_PARSE = """
+with r as (select page_id, ['packet', 'content', 'normalized', 'screenshot', 'other'][page_id % 5 + 1] as kind, page_id % 5 < 4 and page_id % 7 not in (0, 2) as good, page_id % 7 = 1 as spaced from pages)
+select page_id, case when good then kind end as kind, case when good then page_id || case when spaced then ' b' else '' end end as source_id,
+       case when good then 'inkwell://' || kind || '/' || page_id || case when spaced then '+b' else '' end end as again from r
+"""
+
+
+def scope_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a conversation's packets are stored and looked for, by scope."""
+    rows = read(spark, sf_dir, "conversations").where("turn = 0")
+    place = F.col("conv_id").cast("string"), F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("t"), F.col("conv_id").cast("string"))), F.lit("base/")
+    kinds = {kind: retrieval.scope_of(kind, *place)["folder_prefix"].alias(f"{kind}_prefix") for kind in ("global", "workspace", "conversation")}
+    return rows.select("conv_id", *kinds.values())
+
+
+SCOPE_PREFIXES = """
+select conv_id, 'base/' as global_prefix, 'base/workspaces/' || conv_id || '/' as workspace_prefix,
+       case when conv_id % 3 > 0 then 'base/conversations/t' || conv_id || '/' else 'base/workspaces/' || conv_id || '/' end as conversation_prefix from conversations where turn = 0
+"""
+
+
+def html_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose article isn't marked: words of the page and of the article found, and whether it stands for the page."""
+    bare = F.regexp_replace("html", "(?i)<(/?)(article|main)", "<$1div")
+    rows = read(spark, sf_dir, "pages").withColumn("e", html.extract_column(bare))
+    return rows.select("page_id", "e.whole_words", "e.read_words", gates.readability_fits(F.col("e.whole_words"), F.col("e.read_words")).alias("fits"))
+
+
+QUERIES = {
+    "rate_wait": rate_wait, "cache_replay": cache_replay, "cache_lookup": cache_lookup, "delay_schedule": delay_schedule, "redirect_chains": redirect_chains, "retrieve_bm25": bm25, "complete_kinds": complete_kinds,
+    "robots_parse": robots_parse, "xml_feed_items": feed_items, "pdf_pages": pdf_pages, "url_same_origin": url_same_origin, "fetch_cache_key": fetch_cache_key, "resource_parse": resource_parse,
+    "scope_prefixes": scope_prefixes, "html_readability": html_readability,
+}
 
-ORACLES = {"rate_wait": RATE_WAIT, "cache_replay": CACHE_REPLAY, "cache_lookup": CACHE_LOOKUP, "delay_schedule": DELAY_SCHEDULE, "redirect_chains": REDIRECT_CHAINS, "retrieve_bm25": BM25, "complete_kinds": COMPLETE_KINDS}
+ORACLES = {
+    "rate_wait": RATE_WAIT, "cache_replay": CACHE_REPLAY, "cache_lookup": CACHE_LOOKUP, "delay_schedule": DELAY_SCHEDULE, "redirect_chains": REDIRECT_CHAINS, "retrieve_bm25": BM25, "complete_kinds": COMPLETE_KINDS,
+    "robots_parse": ROBOTS_PARSE, "xml_feed_items": FEED_ITEMS, "pdf_pages": PDF_PAGES, "url_same_origin": "select page_id, page_id % 3 = 0 as same from pages",
+    "fetch_cache_key": "select page_id, 'https://e.com/p/' || page_id || '?a=' || (page_id % 5) || '&b=2::agent/1::accept:a/b|x-page:' || page_id || '::1000::5' as key from pages",
+    "resource_parse": RESOURCE_PARSE, "scope_prefixes": SCOPE_PREFIXES,
+}

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import urls as U
+from ..functions.regex import SPACES
 from ..operators import gates
 
 SCHEMA = (
@@ -161,18 +162,21 @@ def blocked_address(address: str) -> bool:
     return any(gates._number(a) <= gates._number(low) <= gates._number(b) for a, b in gates.IPV4_RANGES)
 
 
-def rules_of(text: str, agent: str) -> tuple[list[tuple[bool, str]], float]:
-    """(allow, pattern) of the rules that hold for an agent, and the seconds between its requests."""
+def rules_of(text: str, agents: tuple[str, ...]) -> tuple[list[tuple[bool, str]], float]:
+    """(allow, pattern) of the rules that hold for an agent of these names, and the seconds between its requests; as :func:`inkwell.operators.gates.parse_robots`."""
     rules, delay, mine = [], 0.0, False
-    for line in re.split(r"\r?\n", text):
-        name, colon, value = line.split("#")[0].partition(":")
-        name, value = name.strip().lower(), value.strip()
-        if colon and name == "user-agent":
-            mine = value.lower() in (agent, "*")
+    for line in text.split("\n"):
+        line = line.strip(SPACES)
+        name, colon, value = line.partition(":")
+        name, value = name.strip(SPACES).lower(), value.strip(SPACES)
+        if not colon or line.startswith("#"):
+            continue
+        if name == "user-agent":
+            mine = value.lower() in (*agents, "*")
         elif mine and name in ("allow", "disallow") and value:
             rules.append((name == "allow", value))
-        elif mine and name == "crawl-delay" and re.fullmatch(r"\d+(\.\d+)?", value, re.ASCII):
-            delay = float(value) or delay
+        elif mine and name == "crawl-delay" and (number := re.match(gates.DELAY, value, re.ASCII)) and float(number[0]) > 0:
+            delay = float(number[0])
     return rules, delay
 
 
@@ -196,7 +200,8 @@ class Gate:
         self, transport: Transport = http, resolve: Callable[[str], list[str]] = addresses, agent: str = "inkwell", robots: bool = True, allow: tuple[str, ...] = (),
         clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep,
     ) -> None:
-        self.transport, self.resolve, self.agent, self.robots, self.allow = transport, resolve, re.split(r"[\s/]+", agent.strip())[0].lower(), robots, tuple(d.lower() for d in allow)
+        self.transport, self.resolve, self.agent, self.robots, self.allow = transport, resolve, agent, robots, tuple(d.lower() for d in allow)
+        self.names = gates.agent_names(agent)
         self.clock, self.sleep = clock, sleep
         self.rules: dict[str, tuple[float, list, float]] = {}
         self.due: dict[str, float] = {}
@@ -225,7 +230,7 @@ class Gate:
         if self.clock() >= until:
             try:
                 _, r = get(f"{origin}/robots.txt", self.transport, self.unsafe, {"user-agent": self.agent}, RULES_BYTES)
-                rules, delay = rules_of(r.body.decode("utf-8", "replace"), self.agent) if r.status == 200 else ([], 0.0)
+                rules, delay = rules_of(r.body.decode("utf-8", "replace"), self.names) if r.status == 200 else ([], 0.0)
             except FetchError:
                 rules, delay = [], 0.0
             self.rules[origin] = self.clock() + RULES_KEPT, rules, delay

@@ -67,5 +67,17 @@ from pages""",
 from (select event_id, json_extract_string(props, '$.k') as v from events)""",
     "compact_quotes": "select doc_id, 0::int as k, 'We found that the new method is better by far' as quote from documents where doc_id % 5 = 3",
     "fetch_verdicts": "select url as original_url, page_id % 10 <> 0 as success, case when page_id % 10 = 0 then 'HTTP_404' end as error_code from pages",
-    "text_markdown": "select doc_id, text as markdown from documents",
+    "text_markdown": f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+b as (select *, {_trim("line")} as bare from l),
+m as (select doc_id, i, case when bare <> '' and length(bare) < 80 and bare = upper(bare) and regexp_matches(bare, '[A-Z]') then '## ' || list_reduce(list_prepend({{'o': '', 'w': false}},
+    list_transform(string_split(lower(bare), ''), lambda c: {{'o': c, 'w': false}})),
+    lambda a, c: {{'o': a.o || case when not a.w and regexp_matches(c.o, '^[a-z]$') then upper(c.o) else c.o end, 'w': regexp_matches(c.o, '^[A-Za-z0-9_]$')}}).o else line end as line from b)
+select doc_id, string_agg(line, chr(10) order by i) as markdown from m group by doc_id""",
+    "tok_truncate": f"""with t as (
+  select doc_id, text, greatest(ceil(length(text) / 3.5), ceil(len(regexp_extract_all(text, '[^{_WS}]+')) / 0.75)) as now from documents),
+g as (select *, substr(text, 1, floor(length(text) * (100.0::double / now) * 0.95)::bigint) as head, floor(length(text) * (100.0::double / now) * 0.95) as goal from t),
+c as (select *, case when contains(head, chr(10) || chr(10)) then length(head) - instr(reverse(head), chr(10) || chr(10)) - 1 else -1 end as par,
+        case when contains(head, chr(10)) then length(head) - instr(reverse(head), chr(10)) else -1 end as line, length(head) - length(regexp_extract(head, '[.!?][{_WS}]+[A-Z][^.!?]*$')) as sent from g)
+select doc_id, case when now <= 100 then text else {_trim("""substr(head, 1, (case when par > goal * 0.8 then par when sent < length(head) and sent > goal * 0.8 then sent + 1 when line > goal * 0.9 then line else goal end)::bigint)""")} end as text,
+       now > 100 as truncated from c""",
 }

@@ -177,3 +177,31 @@ def test_bad_addresses_and_headers_are_rows():
     codes = {u: web.row_of(u, **options)[7] for u in (*served, "http://[bad/")}
     assert codes == {"http://a/": "INVALID_REDIRECT", "http://b/": None, "http://c/": "CONTENT_TOO_LARGE", "http://d/": "INVALID_REDIRECT", "http://e/": None, "http://[bad/": "INVALID_URL"}
     assert sum(len(p.urls) for p in web._Reader({"urls": '["http://[bad/", "http://a/"]'}).partitions()) == 2
+
+
+def test_both_readers_of_crawl_rules_agree(spark):
+    from inkwell.operators import gates
+
+    rng = random.Random(11)
+    words = ["User-agent: *", "user-AGENT : Bot", "User-agent: bot/2.0 (x)", "User-agent: inkwell", "User-agent: other", "Disallow: /a", "Allow: /a/b ", " disallow:/c#d", "# Disallow: /no", "Disallow:", "Crawl-delay: 2s", "Crawl-delay: .5", "crawl-delay: -3", "Crawl-delay: 1e1x", "Crawl-delay: soon", "nothing", " Allow: / ", ""]
+    files = [(f"https://s{i}", 404 if i == 7 else 200, None if i == 8 else "\n".join(w + rng.choice(["", "\r"]) for w in rng.choices(words, k=rng.randrange(0, 14)))) for i in range(60)]
+    names = gates.agent_names("Bot/2.0 (x)")
+    assert names == ("bot", "bot/2.0 (x)", "inkwell", "*")
+    rows = gates.parse_robots(spark.createDataFrame(files, "origin string, status int, body string"), names).collect()
+    for origin, status, body in files:
+        rules, delay = web.rules_of(body, names) if status == 200 and body is not None else ([], 0.0)
+        mine = [r for r in rows if r.origin == origin]
+        assert sorted((r.allow, r.pattern) for r in mine if r.pattern is not None) == sorted(rules), body
+        assert {r.crawl_delay for r in mine} <= {delay or None} and (not delay or mine), body
+
+
+def test_pages_of_a_book(spark):
+    from inkwell.operators import documents
+
+    pages = spark.createDataFrame([("a", 2, "two " * 60), ("a", 1, " one  "), ("a", 3, None), ("b", 1, ""), (None, 1, "x" * 200)], "doc string, page_no int, text string")
+    got = {r.doc: r for r in documents.pages_markdown(pages).collect()}
+    assert got["a"].markdown == f"- **Pages:** 3\n\n## Page 1\n\none\n\n## Page 2\n\n{('two ' * 60).strip()}" and got["a"].title == "PDF Document (3 pages)"
+    assert got["a"].low_confidence and got["a"].warning.endswith("Average 81 chars/page, 1/3 empty pages.") and got["b"].low_confidence and not got[None].low_confidence and got[None].warning is None
+    info = spark.createDataFrame([("a", "T", "", None), (None, None, "A", "D:2020")], "doc string, title string, author string, created string")
+    told = {r.doc: r for r in documents.pages_markdown(pages, info).collect()}
+    assert told["a"].markdown.startswith("# T\n\n- **Pages:** 3\n\n") and told[None].markdown.startswith("- **Author:** A\n- **Created:** 2020-01-01\n- **Pages:** 1\n")
