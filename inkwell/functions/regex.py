@@ -124,7 +124,7 @@ def ascii_only(text: Column) -> Column:
 
 
 def units_of(text: str) -> int:
-    return len(text) + sum(c > "\uffff" for c in text)
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def word_count(text: Column) -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import Rx, ascii_only, let, trim, trim_text, units, units_of, word_count
+from .regex import SPACES, Rx, ascii_only, let, trim, trim_text, units, units_of, word_count
 
 #: Characters a token of text and of code, words a token, wide characters a token.
 TEXT_CHARS, CODE_CHARS, TOKEN_WORDS, WIDE_CHARS = 3.5, 3.0, 0.75, 1.5
@@ -86,11 +87,15 @@ def truncate(text: Column, most: int) -> Column:
 # --- the same for one Python string, for the machines that walk over lines ---
 
 
-def _wide(c: str) -> bool:
-    return c > "\u2fff" and any(a <= ord(c) <= b for a, b in WIDE_RANGES)
+_WIDE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in WIDE_RANGES) + "]")
+#: White space that splitting bytes doesn't see.
+_OTHER_SPACE = re.compile("[" + "".join(c for c in SPACES if c > "\x7f") + "]")
 
 
 def code_text(text: str) -> bool:
+    # lines give two points at most, so a sign is needed before they are looked at
+    if not ("=>" in text or _BRACKET.py.search(text) or _KEYWORD.py.search(text)):
+        return False
     parts = text.split("\n")
     points = sum(bool(s.py.search(text)) for s in CODE_SIGNS)
     points += sum(bool(INDENTED.py.match(x)) for x in parts) > len(parts) * 0.3
@@ -98,17 +103,20 @@ def code_text(text: str) -> bool:
     return points >= 3
 
 
-_WORD = Rx(r"\S+")
+def words_of(text: str) -> int:
+    """Runs of anything but white space; bytes are split where they hold none beyond ASCII."""
+    if not text.isascii():
+        text = _OTHER_SPACE.sub(" ", text)
+    return len(text.encode("utf-8", "surrogatepass").split())
 
 
 def tokens_of(text: str) -> int:
     if not text:
         return 0
-    wide = 0 if text.isascii() else sum(map(_wide, text))
-    rest = "".join(c for c in text if not _wide(c)) if wide else text
+    wide = 0 if text.isascii() else len(_WIDE.findall(text))
+    rest = _WIDE.sub("", text) if wide else text
     by_chars = math.ceil(units_of(rest) / (CODE_CHARS if code_text(text) else TEXT_CHARS))
-    words = len(_WORD.py.findall(rest))
-    return max(by_chars, math.ceil(words / TOKEN_WORDS)) + math.ceil(wide / WIDE_CHARS)
+    return max(by_chars, math.ceil(words_of(rest) / TOKEN_WORDS)) + math.ceil(wide / WIDE_CHARS)
 
 
 def truncate_text(text: str, most: int) -> tuple[str, bool]:

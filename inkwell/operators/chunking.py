@@ -36,7 +36,8 @@ def cut_text(text: str, budget: int) -> list[str]:
     """Pieces of about the budget, cut at a paragraph, sentence or line end if one stands late enough."""
     pieces = []
     while text:
-        if tokens_of(text) <= budget:
+        # a token is taken for so many characters at most, so a longer text needn't be counted
+        if len(text) <= budget * CUT_CHARS and tokens_of(text) <= budget:
             pieces.append(trim_text(text))
             break
         at = min(math.floor(budget * CUT_CHARS), len(text))
