@@ -42,11 +42,13 @@ def cache_key(url: Column, agent: Column, headers: Column, max_bytes: Column, re
     return F.concat_ws("::", U.canonical(url), agent, F.array_join(pairs, "|"), max_bytes.cast("string"), redirects.cast("string"))
 
 
-def extracted(pages: DataFrame, remove: Sequence[str] = (), tables: bool = True, code: bool = True) -> DataFrame:
+def extracted(pages: DataFrame, remove: Sequence[str] = (), tables: bool = True, code: bool = True, books: DataFrame | None = None) -> DataFrame:
     """``pages(body, content_type, final_url)`` with ``ctype``, ``text`` and ``doc``: title, Markdown, metadata, warnings, error.
 
     Python sees only the rows whose kind needs it: trees for HTML, parsers for
-    JSON, XML and front matter; text and Markdown stay expressions.
+    JSON, XML and front matter; text and Markdown stay expressions. ``books``,
+    as :func:`..operators.documents.pages_markdown` makes them of the pages that
+    a reader of PDF gives, hold the texts of PDF files by their final URL.
     """
     rows = pages.withColumn("ctype", M.content_type(F.coalesce("content_type", F.lit("")), F.col("body")))
     rows = rows.withColumn("text", M.decode_body(F.col("body"), F.col("ctype.charset")))
@@ -56,6 +58,9 @@ def extracted(pages: DataFrame, remove: Sequence[str] = (), tables: bool = True,
     rows = rows.withColumn("_front", D.front_matter_column(F.when(kind == "markdown", F.col("text"))))
     rows = rows.withColumn("_safe", M.safe_markdown(F.col("_front.body")))
     rows = rows.withColumn("_heads", headings_column(F.when(kind == "markdown", F.col("_safe.markdown"))))
+    if books is not None:
+        read = books.where("doc is not null").dropDuplicates(["doc"]).select(F.col("doc").cast("string").alias("_doc"), F.struct("title", "author", "created_at", "markdown", "warning").alias("_pdf"))
+        rows = rows.join(read, (F.col("ctype.type") == "pdf") & (F.col("final_url") == F.col("_doc")), "left").drop("_doc")
     plain = M.normal_lines(F.col("text"))
     none, empty = F.lit(None).cast("string"), F.array().cast(_STRINGS)
 
@@ -74,25 +79,30 @@ def extracted(pages: DataFrame, remove: Sequence[str] = (), tables: bool = True,
         F.when(kind == "html", doc(F.col(f"{h}.markdown"), F.col(f"{h}.title"), F.col(f"{h}.site_name"), F.col(f"{h}.author"), F.col(f"{h}.published_at"), F.col(f"{h}.language"), F.col(f"{h}.warnings"), F.col(f"{h}.paywalled")))
         .when(kind.isin("json", "xml"), doc(F.col(f"{s}.markdown"), F.col(f"{s}.title"), F.col(f"{s}.site_name"), warnings=F.coalesce(f"{s}.warnings", empty), error=F.col(f"{s}.error")))
         .when(kind == "markdown", doc(F.col("_safe.markdown"), F.coalesce("_front.title", F.get("_heads", F.lit(0))["text"]), author=F.col("_front.author"), published=F.col("_front.date"), warnings=removed))
-        .when(kind == "pdf", doc(none, error=F.lit("PDF extraction is disabled")))
+        .when(kind == "pdf", doc(none, error=F.lit("PDF extraction is disabled")) if books is None else doc(
+            F.col("_pdf.markdown"), F.col("_pdf.title"), author=F.col("_pdf.author"), published=F.date_format("_pdf.created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+            warnings=F.array_compact(F.array("_pdf.warning")), error=F.when(F.col("_pdf").isNull(), "No pages of this PDF were given")))
         .otherwise(doc(D.text_markdown(plain), M.text_title(plain)))
     )
-    return rows.withColumn("doc", made).drop("_html", "_data", "_front", "_safe", "_heads")
+    return rows.withColumn("doc", made).drop("_html", "_data", "_front", "_safe", "_heads", "_pdf")
 
 
-def normalize(pages: DataFrame, remove: Sequence[str] = (), tables: bool = True, code: bool = True, raw_excerpt: bool = False) -> DataFrame:
+def normalize(
+    pages: DataFrame, remove: Sequence[str] = (), tables: bool = True, code: bool = True, raw_excerpt: bool = False, books: DataFrame | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Packets of ``pages(original_url, final_url, status, content_type, body, retrieved_at)``.
 
     A page without Markdown fails: ``success`` is false and ``error`` says why.
-    ``retrieved_at`` is data, so a rerun gives the same ids. No shuffle.
+    ``retrieved_at`` is data, so a rerun gives the same ids. ``keep`` names
+    columns of the pages that stay. No shuffle, unless ``books`` are joined.
     """
-    rows = extracted(pages, remove, tables, code)
+    rows = extracted(pages, remove, tables, code, books)
     ok = F.coalesce(F.col("doc.markdown") != "", F.lit(False))
     failed = F.coalesce("doc.error", F.concat(F.initcap("ctype.type"), F.lit(" extraction failed")))
     rows = _with_structure(rows.select(
         "original_url", "final_url", "retrieved_at", "status", F.col("ctype.mime_type").alias("mime"), M.encoding(F.col("ctype.charset"))["note"].alias("note"), "doc",
         ok.alias("ok"), F.when(~ok, failed).alias("failed"), F.sha2("body", 256).alias("raw_hash"), F.substring("text", 1, RAW_EXCERPT).alias("excerpt"),
-        F.when(ok, F.col("doc.markdown")).alias("markdown"),
+        F.when(ok, F.col("doc.markdown")).alias("markdown"), *keep,
     ))
     rows = rows.withColumn("unsafe", detections(F.col("markdown")))
 
@@ -125,7 +135,7 @@ def normalize(pages: DataFrame, remove: Sequence[str] = (), tables: bool = True,
     ]
     if raw_excerpt:
         columns.append(F.col("excerpt").alias("raw_excerpt"))
-    return rows.select(*columns)
+    return rows.select(*columns, *keep)
 
 
 _OUTLINE = pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string()), ("path", pa.string())]))
@@ -155,7 +165,7 @@ def normalized_view(packets: DataFrame) -> DataFrame:
     return packets.drop("hashes")
 
 
-def fetch(pages: DataFrame, rules: DataFrame | None = None, dns: DataFrame | None = None, max_bytes: int = MAX_BYTES, allow: tuple[str, ...] = ()) -> DataFrame:
+def fetch(pages: DataFrame, rules: DataFrame | None = None, dns: DataFrame | None = None, max_bytes: int = MAX_BYTES, allow: tuple[str, ...] = (), books: DataFrame | None = None) -> DataFrame:
     """Gates, then packets: ``pages`` as for :func:`normalize`; ``error_code`` is set where a gate or the server said no.
 
     All pages stay in the result. Gates are cheap and come first, so only pages
@@ -168,12 +178,15 @@ def fetch(pages: DataFrame, rules: DataFrame | None = None, dns: DataFrame | Non
         code = code.when(~F.col("allowed"), "ROBOTS_BLOCKED")
     code = F.coalesce(code, fetch_error(F.col("status"), F.col("body"), max_bytes))
     rows = rows.withColumn("error_code", code).withColumnRenamed("error", "gate_error")
-    passed = normalize(rows.where("error_code is null"))
-    passed = passed.withColumn("error_code", F.when(~F.col("success"), "EXTRACTION_FAILED"))
-    stopped = rows.where("error_code is not null").select(
-        F.lit(False).alias("success"), F.coalesce("gate_error", "error_code").alias("error"), "original_url", "status", "error_code",
-    )
-    return passed.unionByName(stopped, allowMissingColumns=True)
+    stopped = F.col("error_code").isNotNull()
+    # parsers see no body of a page that was stopped; all pages take one way, so gates and joins run once
+    done = normalize(rows.withColumn("body", F.when(~stopped, F.col("body"))), books=books, keep=("error_code", "gate_error"))
+    told = {
+        "success": F.when(stopped, False).otherwise(F.col("success")), "error": F.when(stopped, F.coalesce("gate_error", "error_code")).otherwise(F.col("error")),
+        "error_code": F.coalesce("error_code", F.when(~F.col("success"), "EXTRACTION_FAILED")),
+    }
+    same = ("original_url", "status")
+    return done.select(*[told[c].alias(c) if c in told else F.col(c) if c in same else F.when(~stopped, F.col(c)).alias(c) for c in done.columns if c != "gate_error"])
 
 
 def resources(packets: DataFrame, kind: str) -> DataFrame:
