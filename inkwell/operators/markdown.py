@@ -200,6 +200,17 @@ def outline_text(entries: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(F.repeat(F.lit("  "), e["level"] - 1), e["text"])), "\n")
 
 
+def outline_of(headings: Column) -> Column:
+    """The outline (level, text, path) of an array of headings (level, text), in their order."""
+    def enter(a: Column, h: Column) -> Column:
+        parts = F.concat(F.slice(a["parts"], F.lit(1), F.least(F.greatest(h["level"] - 1, F.lit(0)), F.size(a["parts"]))), F.array(h["text"]))
+        entry = F.struct(h["level"].alias("level"), h["text"].alias("text"), F.array_join(parts, " > ").alias("path"))
+        return F.struct(parts.alias("parts"), F.concat(a["out"], F.array(entry)).alias("out"))
+
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.array().cast("array<struct<level:int,text:string,path:string>>").alias("out"))
+    return F.aggregate(headings, start, enter, lambda a: a["out"])
+
+
 def condensed(entries: Column, most: int = 2) -> Column:
     """Outline entries up to a level."""
     return F.filter(entries, lambda e: e["level"] <= most)

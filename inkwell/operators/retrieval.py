@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Mapping
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,11 +120,48 @@ def scope_ids(rows: DataFrame, root: Column, thread: Column | None = None) -> Da
     return out if thread is None else out.withColumn("thread_id", F.substring(F.sha2(thread, 256), 1, 16))
 
 
-def scope_of(kind: str, workspace: Column, conversation: Column, base: Column) -> Column:
-    """(upload_prefix, folder_prefix) of a scope: global, workspace or conversation; without a conversation, the workspace's."""
-    ws = F.concat(base, F.lit("workspaces/"), workspace, F.lit("/"))
-    text = {"global": base, "workspace": ws, "conversation": F.when(conversation.isNull(), ws).otherwise(F.concat(base, F.lit("conversations/"), conversation, F.lit("/")))}[kind]
-    return F.struct(text.alias("upload_prefix"), text.alias("folder_prefix"))
+def workspace_root(start: str, override: str = "") -> str:
+    """The folder that a workspace is known by: the one given, else the nearest above ``start`` with a ``.git``, else ``start``."""
+    if override.strip():
+        return str(Path(override.strip()).resolve())
+    here = Path(start).resolve()
+    return str(next((p for p in (here, *here.parents) if (p / ".git").exists()), here))
+
+
+def scope_of(kind: Column, workspace: Column, thread: Column, conversation: Column, base: Column, require_thread: bool = False) -> Column:
+    """(scope, workspace_id, conversation_id, upload_prefix, folder_prefix, error) of what is asked for: global, workspace or conversation.
+
+    A conversation without a thread falls back to its workspace or, with
+    ``require_thread``, is an error. Other kinds are taken for a conversation.
+    """
+    none = F.lit(None).cast("string")
+    named = F.length(F.trim(F.coalesce(thread, F.lit("")))) > 0
+    within = F.concat(base, F.lit("workspaces/"), workspace, F.lit("/"))
+    talk = F.concat(within, F.lit("conversations/"), conversation, F.lit("/"))
+
+    def scope(name: Column, ws: Column, conv: Column, upload: Column, folder: Column, error: Column = none) -> Column:
+        return F.struct(name.alias("scope"), ws.alias("workspace_id"), conv.alias("conversation_id"), upload.alias("upload_prefix"), folder.alias("folder_prefix"), error.alias("error"))
+
+    whole = scope(F.lit("workspace"), workspace, none, within, within)
+    missing = scope(none, none, none, none, none, F.lit("AI_SEARCH_MISSING_THREAD_KEY")) if require_thread else whole
+    return (
+        F.when(kind == "global", scope(F.lit("global"), none, none, base, F.lit(""))).when(kind == "workspace", whole).when(~named, missing)
+        .otherwise(scope(F.lit("conversation"), workspace, conversation, talk, talk))
+    )
+
+
+def request_json(query: Column, set_: Mapping[str, Column] | None = None, given: Mapping[str, Column] | None = None) -> Column:
+    """A search request: ``set_`` options are in it unless null, ``given`` ones unless null, empty, zero or false."""
+    fields = [query.alias("query"), *[c.alias(n) for n, c in (set_ or {}).items()]]
+    for name, c in (given or {}).items():
+        text = c.cast("string")
+        fields.append(F.when(~text.isin("", "0", "false"), c).alias(name))
+    return F.to_json(F.struct(*fields))
+
+
+def wait_ms(asked: Column, most: int) -> Column:
+    """How long to wait before a query: what is asked for, at least nothing and ``most`` at most."""
+    return F.least(F.greatest(F.coalesce(asked, F.lit(0)).cast("long"), F.lit(0)), F.lit(most).cast("long"))
 
 
 def upsert_threads(threads: DataFrame, seen: DataFrame) -> DataFrame:

@@ -195,7 +195,27 @@ def resources(packets: DataFrame, kind: str) -> DataFrame:
         raise ValueError(f"kind is one of {U.RESOURCE_KINDS}")
     shot = F.col("screenshot_base64") if "screenshot_base64" in packets.columns else F.lit(None).cast("string")
     whole = F.to_json(F.struct(*packets.columns))
-    text = {"packet": whole, "content": F.col("content"), "normalized": F.to_json(F.struct(*[c for c in packets.columns if c != "hashes"])), "screenshot": shot}[kind]
+    text = {"packet": whole, "content": F.col("content"), "normalized": F.to_json(F.struct(*normalized_view(packets).columns)), "screenshot": shot}[kind]
     mime = {"packet": "application/json", "content": "text/markdown", "normalized": "application/json", "screenshot": "image/png"}[kind]
     rows = packets.withColumn("text", text).where("text is not null and trim(text) <> ''")
     return rows.select("source_id", U.build_resource(F.lit(kind), F.col("source_id")).alias("uri"), F.lit(mime).alias("mime_type"), "text", F.octet_length("text").alias("size"))
+
+
+def read_resources(packets: DataFrame, uris: DataFrame, uri: str = "uri", scheme: str = "inkwell") -> DataFrame:
+    """Each of ``uris`` with ``mime_type`` and ``text`` of the packet's resource that it names, or an ``error``.
+
+    An address that can't be read, one of a packet that isn't there, and a
+    screenshot that a packet doesn't have are not found. Of packets with one id
+    any counts. Repeated addresses each have a row.
+    """
+    shot = F.col("screenshot_base64") if "screenshot_base64" in packets.columns else F.lit(None).cast("string")
+    kept = packets.where("source_id is not null").dropDuplicates(["source_id"]).select(
+        F.col("source_id").alias("_id"), F.to_json(F.struct(*packets.columns)).alias("_packet"), F.coalesce("content", F.lit("")).alias("_content"),
+        F.to_json(F.struct(*normalized_view(packets).columns)).alias("_normalized"), F.when(shot != "", shot).alias("_shot"),
+    )
+    asked = uris.select(uri, U.parse_resource(F.col(uri), scheme).alias("_asked"))
+    rows = asked.join(kept, F.col("_asked.source_id") == F.col("_id"), "left")
+    kind = F.col("_asked.kind")
+    text = F.when(kind == "packet", F.col("_packet")).when(kind == "content", F.col("_content")).when(kind == "normalized", F.col("_normalized")).when(kind == "screenshot", F.col("_shot"))
+    mime = F.when(kind == "content", "text/markdown").when(kind == "screenshot", "image/png").otherwise("application/json")
+    return rows.select(uri, F.when(text.isNotNull(), mime).alias("mime_type"), text.alias("text"), F.when(text.isNull(), "Resource not found").alias("error"))

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from .functions import markup as M
 from .functions import urls as U
+from .operators import markdown as MD
 from .operators import completion, documents, gates, html, ranking, redirects, retrieval, scans
 from .plans import packets
+from .queries import derived
 from .streaming import caches, limits
+from .text_oracles import DERIVED_SQL
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -270,16 +273,97 @@ select page_id, case when good then kind end as kind, case when good then page_i
 
 
 def scope_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a conversation's packets are stored and looked for, by scope."""
+    """Where a conversation's packets are stored and looked for, by the scope it asks for."""
     rows = read(spark, sf_dir, "conversations").where("turn = 0")
-    place = F.col("conv_id").cast("string"), F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("t"), F.col("conv_id").cast("string"))), F.lit("base/")
-    kinds = {kind: retrieval.scope_of(kind, *place)["folder_prefix"].alias(f"{kind}_prefix") for kind in ("global", "workspace", "conversation")}
-    return rows.select("conv_id", *kinds.values())
+    k, kinds = F.col("conv_id").cast("string"), F.array(*[F.lit(x) for x in ("global", "workspace", "conversation", "conversation", "conversation")])
+    thread = F.when(F.col("conv_id") % 5 == 3, "  ").when(F.col("conv_id") % 5 < 4, k)
+    columns = [F.lit("w1"), thread, F.concat(F.lit("t"), k), F.lit("base/")]
+    kind = F.get(kinds, (F.col("conv_id") % 5).cast("int"))
+    rows = rows.select("conv_id", retrieval.scope_of(kind, *columns).alias("a"), retrieval.scope_of(kind, *columns, require_thread=True)["error"].alias("strict_error"))
+    return rows.select("conv_id", "a.*", "strict_error")
 
 
 SCOPE_PREFIXES = """
-select conv_id, 'base/' as global_prefix, 'base/workspaces/' || conv_id || '/' as workspace_prefix,
-       case when conv_id % 3 > 0 then 'base/conversations/t' || conv_id || '/' else 'base/workspaces/' || conv_id || '/' end as conversation_prefix from conversations where turn = 0
+with s as (select conv_id, case conv_id % 5 when 0 then 'global' when 2 then 'conversation' else 'workspace' end as scope from conversations where turn = 0),
+p as (select *, case scope when 'global' then 'base/' when 'workspace' then 'base/workspaces/w1/' else 'base/workspaces/w1/conversations/t' || conv_id || '/' end as prefix from s)
+select conv_id, scope, case when scope <> 'global' then 'w1' end as workspace_id, case when scope = 'conversation' then 't' || conv_id end as conversation_id, prefix as upload_prefix,
+       case when scope = 'global' then '' else prefix end as folder_prefix, null::varchar as error, case when conv_id % 5 > 2 then 'AI_SEARCH_MISSING_THREAD_KEY' end as strict_error from p
+"""
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search request for each turn, and how long it waits."""
+    rows = read(spark, sf_dir, "conversations")
+    k = F.col("turn")
+    set_ = {"rewrite_query": F.when(k % 3 > 0, k % 3 == 1), "max_num_results": F.when(k % 2 == 0, k)}
+    given = {"model": F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit("m")), "system_prompt": F.when(k % 5 == 0, F.concat(F.lit('say "'), F.col("role"), F.lit('"')))}
+    return rows.select("conv_id", "turn", retrieval.request_json(F.col("role"), set_, given).alias("request"), retrieval.wait_ms((k - 2) * 4000, 15_000).alias("wait_ms"))
+
+
+SEARCH_REQUESTS = """
+select conv_id, turn, '{"query":"' || role || '"' || case turn % 3 when 1 then ',"rewrite_query":true' when 2 then ',"rewrite_query":false' else '' end || case when turn % 2 = 0 then ',"max_num_results":' || turn else '' end
+  || case when turn % 4 = 1 then ',"model":"m"' else '' end || case when turn % 5 = 0 then ',"system_prompt":"say \\"' || role || '\\""' else '' end || '}' as request,
+  least(greatest((turn - 2) * 4000, 0), 15000)::bigint as wait_ms from conversations
+"""
+
+
+def outline_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of given headings: each source's documents in order, levels by number."""
+    heads = read(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", (F.col("doc_id") * 7 % 5 + 1).cast("int").alias("level"), F.concat(F.lit("h"), F.col("doc_id").cast("string")).alias("text")))).alias("heads"))
+    return heads.select("source", F.posexplode(MD.outline_of("heads")).alias("k", "e")).select("source", "k", "e.level", "e.text", "e.path")
+
+
+OUTLINE_HEADINGS = """
+with recursive h as (select source, (doc_id * 7 % 5 + 1)::int as level, 'h' || doc_id as text, row_number() over (partition by source order by doc_id) as i from documents),
+r as (
+  select source, 0::bigint as i, 0 as level, '' as text, []::varchar[] as parts from (select distinct source from h)
+  union all
+  select h.source, h.i, h.level, h.text, list_append(r.parts[1:h.level - 1], h.text) from r join h on h.source = r.source and h.i = r.i + 1)
+select source, (i - 1)::int as k, level, text, array_to_string(parts, ' > ') as path from r where i > 0
+"""
+
+
+def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a document is about: its headings, numbers and dates near the start, and its length."""
+    rows = derived(read(spark, sf_dir, "documents")).withColumn("md", F.concat(F.col("md"), F.lit("\n\nOn May 5, 2021 and 2020-01-02 or 3/4/21 it was 12.5% of $1,200K.")))
+    start = F.concat(F.substring("md", 1, 60), F.lit(" 7 of 2021-12-31, 7 "), F.substring("md", 61, 10_000_000))
+    rows = rows.withColumn("md", start)
+    return rows.select("doc_id", F.array_join(M.source_summary(F.col("md"), MD.outline_column("md")), "\n").alias("summary"))
+
+
+_START_SQL = "substr(md, 1, 60) || ' 7 of 2021-12-31, 7 ' || substr(md, 61)"
+SUMMARY_LINES = rf"""
+with d as (select doc_id, md || repeat(chr(10), 2) || 'On May 5, 2021 and 2020-01-02 or 3/4/21 it was 12.5% of $1,200K.' as md from {DERIVED_SQL}),
+t as (select doc_id, {_START_SQL} as md from d),
+l as (select doc_id, unnest(string_split(md, chr(10))) as line, generate_subscripts(string_split(md, chr(10)), 1) as i from t),
+h as (select doc_id, i, trim(regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1)) as text, row_number() over (partition by doc_id order by i) as n, length(regexp_extract(line, '^#+')) as level from l where regexp_matches(line, '^#{{1,6}}\s+.')),
+tp as (select doc_id, string_agg(text, ', ' order by i) as topics from h where level <= 2 group by doc_id),
+x as (select doc_id, regexp_extract_all(substr(md, 1, 2000), '[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?%?|\$[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?[KMB]?') as nums,
+  regexp_extract_all(substr(md, 1, 2000), '(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+[0-9]{{1,2}},?\s+[0-9]{{4}}|\b[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b') as dates,
+  len(regexp_split_to_array(md, '\s+')) as words from t),
+u as (select doc_id, words, list_filter(nums, lambda v, k: list_position(nums, v) = k)[1:5] as nums, list_filter(dates, lambda v, k: list_position(dates, v) = k)[1:3] as dates from x)
+select u.doc_id, coalesce('Main topics: ' || topics || chr(10), '') || case when len(nums) > 0 then 'Key numbers mentioned: ' || array_to_string(nums, ', ') || chr(10) else '' end
+  || case when len(dates) > 0 then 'Dates mentioned: ' || array_to_string(dates, ', ') || chr(10) else '' end || 'Content length: ~' || words || ' words' as summary
+from u left join tp using (doc_id)
+"""
+
+
+def resource_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of resources of a store that has two thirds of the packets and half of the screenshots."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("source_id"))
+    store = pages.where("page_id % 3 > 0").select("source_id", F.concat(F.lit("text of "), "source_id").alias("content"), F.when(F.col("page_id") % 2 == 0, "cG5n").alias("screenshot_base64"), F.lit("h").alias("hashes"))
+    kinds = F.array(*[F.lit(k) for k in (*U.RESOURCE_KINDS, "other")])
+    uris = pages.select("source_id", F.explode(kinds).alias("kind")).select(F.concat(F.lit("inkwell://"), "kind", F.lit("/"), "source_id").alias("uri"))
+    return packets.read_resources(store, uris)
+
+
+RESOURCE_READ = """
+with u as (select page_id, unnest(['packet', 'content', 'normalized', 'screenshot', 'other']) as kind from pages),
+r as (select 'inkwell://' || kind || '/' || page_id as uri, kind, case when page_id % 3 > 0 then case kind
+  when 'packet' then '{"source_id":"' || page_id || '","content":"text of ' || page_id || '"' || case when page_id % 2 = 0 then ',"screenshot_base64":"cG5n"' else '' end || ',"hashes":"h"}'
+  when 'content' then 'text of ' || page_id when 'normalized' then '{"source_id":"' || page_id || '","content":"text of ' || page_id || '"' || case when page_id % 2 = 0 then ',"screenshot_base64":"cG5n"' else '' end || '}'
+  when 'screenshot' then case when page_id % 2 = 0 then 'cG5n' end end end as text from u)
+select uri, case when text is not null then case kind when 'content' then 'text/markdown' when 'screenshot' then 'image/png' else 'application/json' end end as mime_type, text, case when text is null then 'Resource not found' end as error from r
 """
 
 
@@ -294,6 +378,7 @@ QUERIES = {
     "rate_wait": rate_wait, "cache_replay": cache_replay, "cache_lookup": cache_lookup, "delay_schedule": delay_schedule, "redirect_chains": redirect_chains, "retrieve_bm25": bm25, "complete_kinds": complete_kinds,
     "robots_parse": robots_parse, "xml_feed_items": feed_items, "pdf_pages": pdf_pages, "url_same_origin": url_same_origin, "fetch_cache_key": fetch_cache_key, "resource_parse": resource_parse,
     "scope_prefixes": scope_prefixes, "html_readability": html_readability,
+    "search_requests": search_requests, "outline_headings": outline_headings, "summary_lines": summary_lines, "resource_read": resource_read,
 }
 
 ORACLES = {
@@ -301,4 +386,5 @@ ORACLES = {
     "robots_parse": ROBOTS_PARSE, "xml_feed_items": FEED_ITEMS, "pdf_pages": PDF_PAGES, "url_same_origin": "select page_id, page_id % 3 = 0 as same from pages",
     "fetch_cache_key": "select page_id, 'https://e.com/p/' || page_id || '?a=' || (page_id % 5) || '&b=2::agent/1::accept:a/b|x-page:' || page_id || '::1000::5' as key from pages",
     "resource_parse": RESOURCE_PARSE, "scope_prefixes": SCOPE_PREFIXES,
+    "search_requests": SEARCH_REQUESTS, "outline_headings": OUTLINE_HEADINGS, "summary_lines": SUMMARY_LINES, "resource_read": RESOURCE_READ,
 }

@@ -19,10 +19,10 @@ _ADDED = """case doc_id % 5
   when 1 then '```python' || chr(10) || 'def run(x):' || chr(10) || '    return {"a": [x]}' || chr(10) || '```'
   when 2 then '| name | value |' || chr(10) || '|---|---|' || chr(10) || '| a | 1 |' || chr(10) || '| b | 2 |'
   when 3 then '> "We found that the new method is better by far", said Jane Doe.' end"""
-_MD = f"(select doc_id, source, lang, text, '# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || coalesce(chr(10) || chr(10) || {_ADDED}, '') as md from documents)"
+DERIVED_SQL = f"(select doc_id, source, lang, text, '# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || coalesce(chr(10) || chr(10) || {_ADDED}, '') as md from documents)"
 
 _HEADS = f"""
-l as (select doc_id, md, unnest(string_split(md, chr(10))) as line, generate_subscripts(string_split(md, chr(10)), 1) as i from {_MD}),
+l as (select doc_id, md, unnest(string_split(md, chr(10))) as line, generate_subscripts(string_split(md, chr(10)), 1) as i from {DERIVED_SQL}),
 f as (select *, sum(case when regexp_matches(line, '^(```|~~~)') then 1 else 0 end) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as fences from l),
 h as (select doc_id, i, length(regexp_extract(line, '^(#{{1,6}})[{_WS}]+(.*)$', 1)) as level, {_trim(f"regexp_extract(line, '^(#{{1,6}})[{_WS}]+(.*)$', 2)")} as text
       from f where coalesce(fences, 0) % 2 = 0 and regexp_matches(line, '^#{{1,6}}[{_WS}]+.'))"""
@@ -46,8 +46,8 @@ select doc_id, (row_number() over (partition by doc_id order by part) - 1)::int
   union all select doc_id, 1000000000, case doc_id % 5 when 0 then 'list' when 1 then 'code' when 2 then 'table' else 'quote' end, {_ADDED} from documents where doc_id % 5 < 4),
 t as (select doc_id, i, kind, {_trim("text")} as text from p)
 select doc_id, 'b' || (row_number() over (partition by doc_id order by i) - 1) as block_id, kind, text, length(text)::int as char_len from t where text <> ''""",
-    "md_clean": rf"""select doc_id, {_trim(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '(?m)^[•◦▪▸►]\s*', '- ', 'g'), '\[([^\]]+)\]\(\s*\)', '\1', 'g'), '(?m)^#{1,6}[ \t]*$', '', 'g')")} as markdown from {_MD}""",
-    "bytes_split": f"""with p as (select doc_id, strlen(md) as n, md, regexp_split_to_array(md, '\\n{{2,}}') as parts from {_MD}),
+    "md_clean": rf"""select doc_id, {_trim(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '(?m)^[•◦▪▸►]\s*', '- ', 'g'), '\[([^\]]+)\]\(\s*\)', '\1', 'g'), '(?m)^#{1,6}[ \t]*$', '', 'g')")} as markdown from {DERIVED_SQL}""",
+    "bytes_split": f"""with p as (select doc_id, strlen(md) as n, md, regexp_split_to_array(md, '\\n{{2,}}') as parts from {DERIVED_SQL}),
 r as (select doc_id, n, md, list_reduce(list_prepend({{'done': []::varchar[], 'held': ''}}, list_transform(parts, lambda part: case when strlen(part) <= 500 then {{'done': []::varchar[], 'held': part}} else {_CHARS} end)),
   lambda a, x: case when len(x.done) = 0 and strlen(case when a.held = '' then x.held else a.held || chr(10) || chr(10) || x.held end) <= 500
                  then {{'done': a.done, 'held': case when a.held = '' then x.held else a.held || chr(10) || chr(10) || x.held end}}
