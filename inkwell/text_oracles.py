@@ -32,6 +32,47 @@ _PATH = """case level when 1 then text else coalesce(last_value(case when level
 _CHARS = """list_reduce(list_prepend({'done': []::varchar[], 'held': ''}, list_transform(string_split(part, ''), lambda c: {'done': []::varchar[], 'held': c})),
    lambda a, c: case when strlen(a.held) + strlen(c.held) <= 500 then {'done': a.done, 'held': a.held || c.held} else {'done': list_append(a.done, a.held), 'held': c.held} end)"""
 
+
+def _code(x: str) -> str:
+    lines = f"string_split({x}, chr(10))"
+    signs = (rf"(?m)^[{_WS}]*(function|const|let|var|class|import|export|def|async|await)[{_WS}]", r"[{}\[\]();]", "=>", rf"(?m)^[{_WS}]*#include", rf"(?m)^[{_WS}]*package[{_WS}]", rf"(?m)^[{_WS}]*use[{_WS}]")
+    points = [f"regexp_matches({x}, '{r}')::int" for r in signs]
+    points += [f"(len(list_filter({lines}, lambda l: regexp_matches(l, '^[{_WS}]{{2,}}'))) > len({lines}) * 0.3)::int", f"(len(list_filter({lines}, lambda l: length(l) < 80)) > len({lines}) * 0.7)::int"]
+    return f"(({' + '.join(points)}) >= 3)"
+
+
+def _tokens(x: str) -> str:
+    """The estimate for a text without wide characters."""
+    return f"greatest(ceil(length({x}) / case when {_code(x)} then 3.0 else 3.5 end), ceil(len(regexp_extract_all({x}, '[^{_WS}]+')) / 0.75))::bigint"
+
+
+#: Chunks of 180 tokens: blocks as ``blocks_all`` has them; one that is too long is cut near 630 characters, behind a sentence if one ends late.
+_CHUNKS = rf"""
+with recursive p as (
+  select doc_id, 0 as i, 'heading' as kind, '# ' || source as text, source as path from documents union all select doc_id, 1, 'heading', '## ' || lang, source || ' > ' || lang from documents
+  union all select doc_id, 2 + k, 'paragraph', line, path from (select doc_id, source || ' > ' || lang as path, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents)
+  union all select doc_id, 1000000000, 'other', {_ADDED}, source || ' > ' || lang from documents where doc_id % 5 < 4),
+b as (select doc_id, i, kind, {_trim("text")} as text, path from p where {_trim("text")} <> ''),
+t as (select *, {_tokens("text")} as n from b),
+cut as (
+  select doc_id, i, 0 as k, null::varchar as piece, text as rest from t where n > 180
+  union all
+  select doc_id, i, k + 1, {_trim("substr(rest, 1, stop)")}, {_trim("substr(rest, stop + 1)")} from (
+    select *, case when {_tokens("rest")} <= 180 then length(rest) when sent > least(630, length(rest)) * 0.7 then sent + 1 else least(630, length(rest)) end as stop
+    from (select *, case when regexp_matches(substr(rest, 1, 630), '[.!?][{_WS}]+[A-Z][^.!?]*$') then least(630, length(rest)) - length(regexp_extract(substr(rest, 1, 630), '[.!?][{_WS}]+[A-Z][^.!?]*$')) else -1 end as sent from cut where rest <> ''))),
+c as (select doc_id, i, list(piece order by k) as pieces from cut where piece <> '' group by doc_id, i),
+items as (select doc_id, list({{'head': kind = 'heading', 'text': text, 'n': n, 'path': path, 'pieces': coalesce(pieces, []::varchar[]), 'out': []::struct(path varchar, text varchar)[], 'held': '', 'used': 0::bigint, 'begun': ''}} order by i) as l from t left join c using (doc_id, i) group by doc_id),
+f as (select doc_id, list_reduce(list_prepend({{'head': false, 'text': '', 'n': 0::bigint, 'path': '', 'pieces': []::varchar[], 'out': []::struct(path varchar, text varchar)[], 'held': '', 'used': 0::bigint, 'begun': ''}}, l), lambda a, x: {{
+    'head': false, 'text': '', 'n': 0::bigint, 'path': '', 'pieces': []::varchar[],
+    'out': list_concat(list_concat(a.out, case when a.held <> '' and (x.head or x.n > 180 or a.used + x.n > 180) then [{{'path': a.begun, 'text': a.held}}] else [] end), list_transform(x.pieces, lambda y: {{'path': x.path, 'text': y}})),
+    'held': case when x.n > 180 then '' when a.held = '' or x.head or a.used + x.n > 180 then x.text else a.held || chr(10) || chr(10) || x.text end,
+    'used': case when x.n > 180 then 0 when a.held = '' or x.head or a.used + x.n > 180 then x.n else a.used + x.n end,
+    'begun': case when a.held = '' or x.head or a.used + x.n > 180 then x.path else a.begun end}}) as r from items),
+g as (select doc_id, list_concat(r.out, case when r.held = '' then [] else [{{'path': r.begun, 'text': r.held}}] end) as l from f),
+r as (select doc_id, generate_subscripts(l, 1) - 1 as k, unnest(l) as x from g),
+chunks as (select doc_id::varchar as source_id, doc_id || ':c' || k as chunk_id, k::int as chunk_index, x.path as headings_path, {_tokens("x.text")} as est_tokens, x.text as text, length(x.text)::int as char_len from r)
+"""
+
 ORACLES: dict[str, str] = {
     "md_headings": f"with {_HEADS} select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as k, level::int as level, text from h",
     "outline_paths": f"with {_HEADS} select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as k, level::int as level, text, {_PATH} as path from h",
@@ -80,4 +121,8 @@ c as (select *, case when contains(head, chr(10) || chr(10)) then length(head) -
         case when contains(head, chr(10)) then length(head) - instr(reverse(head), chr(10)) else -1 end as line, length(head) - length(regexp_extract(head, '[.!?][{_WS}]+[A-Z][^.!?]*$')) as sent from g)
 select doc_id, case when now <= 100 then text else {_trim("""substr(head, 1, (case when par > goal * 0.8 then par when sent < length(head) and sent > goal * 0.8 then sent + 1 when line > goal * 0.9 then line else goal end)::bigint)""")} end as text,
        now > 100 as truncated from c""",
+    "chunk_pack_greedy": _CHUNKS + "select * from chunks",
+    "chunk_totals": _CHUNKS + "select source_id, count(*) as total_chunks, sum(est_tokens)::bigint as total_est_tokens from chunks group by source_id",
+    "chunk_by_index": _CHUNKS + "select chunk_id, text from chunks where chunk_index = 1",
+    "chunk_search": _CHUNKS + "select chunk_id from chunks where contains(lower(text), 'second item')",
 }
