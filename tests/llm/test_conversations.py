@@ -240,3 +240,19 @@ def test_join_of_odd_rows(spark):
     got = sorted(map(tuple, jaccard_groups(docs).collect()), key=str)
     assert got == sorted([(None, 3, 9), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 1, 6), (6, 1, 6), (7, 1, 7), (8, 2, 8), (None, 2, 4), (9, 3, 9)], key=str)
     assert jaccard_groups(docs.where("false")).count() == 0
+
+
+def test_common_shingles_are_those_where_prefixes_begin(spark):
+    from inkwell.llm.hashing import shingle_set
+    from inkwell.llm.prefixes import COMMON, COUNTED, common_shingles, prefix
+
+    rng = np.random.default_rng(5)
+    passage = " ".join(rng.choice([f"w{i}" for i in range(400)], 80))
+    texts = [f"{passage} {' '.join(rng.choice([f'v{i}' for i in range(400)], 40))}" for _ in range(COMMON)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string")
+    shared = shingle_set(passage, 5, 42)
+    got = common_shingles(rows, 5, 42)
+    assert sorted(got.tolist()) == sorted(shared[shared.view(np.uint64) < COUNTED].tolist()) and 20 < len(got) < 45
+    # so a prefix begins with what is rare
+    head = prefix(shingle_set(texts[0], 5, 42), got, 0.8)
+    assert not np.isin(head, got).any() and not np.isin(head[:10], shared).any()
