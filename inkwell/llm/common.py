@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def own_names(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``work(docs, ...)`` that passes columns through, with those of ``docs`` that begin with an underscore renamed while it runs.
+
+    So the names that it uses itself, which all begin so, can't clash with the
+    caller's. Arguments that name such a column, alone or in a list, follow.
+    """
+
+    @wraps(work)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        odd = {c: f"kept{i}-{c}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        if not odd:
+            return work(docs, *args, **options)
+
+        def now(x):
+            return odd.get(x, x) if isinstance(x, str) else [now(y) for y in x] if isinstance(x, list) else x
+
+        out = work(docs.withColumnsRenamed(odd), *map(now, args), **{k: now(v) for k, v in options.items()})
+        return out.withColumnsRenamed({v: k for k, v in odd.items()})
+
+    return run
+
+
 class Tables:
     """Intermediate tables as Parquet in the shared folder.
 

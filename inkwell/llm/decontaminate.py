@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, need, with_few, words_apart
+from .common import cut, need, own_names, with_few, words_apart
 
 #: A-Z, which are lower-cased, and what no word holds (before and after that).
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -159,6 +159,7 @@ def _merge(done: Column, span: Column) -> Column:
     return F.when(touches, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(apart)))
 
 
+@own_names
 def decontaminate(docs: DataFrame, items: DataFrame, most_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """``docs`` without benchmark text: hit spans are cut out, and documents with a share of hit words over ``most_share`` dropped.
 

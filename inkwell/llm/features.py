@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need
+from .common import need, own_names
 
 WORD_BITS = 16
 #: Words of which a worker keeps the hashes.
@@ -127,6 +127,7 @@ def collect_features(sample: DataFrame, extract: Callable[[str], Extracted]) ->
     return table["label"].to_numpy()[order].astype(float), [ids[i] for i in order], dense[order], pairs
 
 
+@own_names
 def score_texts(docs: DataFrame, scorer: Callable[[], Callable[[str | None], float]], threshold: float, text_col: str, keep: list[str] | None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``score`` and ``predicted``; columns of these names are replaced."""
     need(docs, text_col)

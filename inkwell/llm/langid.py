@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need
+from .common import need, own_names
 from .pieces import FLOOR, SHORT, Lattice, load_pieces, words_of
 
 #: Where the vocabulary lies; a parameter everywhere it is used.
@@ -137,6 +137,7 @@ def _expectation(shipped):
     return run
 
 
+@own_names
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``lang_pred`` and ``score``, row by row and over whole texts.
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, cut, need, with_few, words_apart
+from .common import Tables, cut, need, own_names, with_few, words_apart
 from .running import spread_key, with_running
 
 #: The space between words.
@@ -117,6 +117,7 @@ def mix(
     return placed.select(id_col, "size", "source_size", "target", taken.cast("long").alias("taken"), "row")
 
 
+@own_names
 def resample(docs: DataFrame, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix takes them: a row as often as its words are taken, rounded, which is 0 to 3 times.
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, cut, need, with_few
+from .common import Tables, cut, need, own_names, with_few
 from .running import spread_key, with_running
 
 #: Rounds of propagation at most; it ends when nobody moves. Every move takes rows to the larger part of their group, so it does end.
 ROUNDS = 100
 
 
+@own_names
 def shard(
     docs: DataFrame, shards: int = 16, seed: str = "shard-1", rounds: int = ROUNDS,
     id_col: str = "doc_id", text_col: str = "text", whole: bool = False,

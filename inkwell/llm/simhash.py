@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Tables, cut, need, small_batches, with_few
+from .common import Tables, cut, need, own_names, small_batches, with_few
 from .components import components
 from .gph import near_links
 from .hashing import jaccard, simhash, wide_simhash
@@ -143,6 +143,7 @@ def near_copies(
     return marked.join(whole, "node", "left").select(F.col("doc").alias(id_col), "row", "component_id")
 
 
+@own_names
 def drop_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group that :func:`near_copies` finds: that of the smallest id, whole and unchanged.
 

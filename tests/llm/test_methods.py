@@ -211,3 +211,22 @@ def test_empty_tables_give_none(spark, odd):
     one = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 1.0])], none.schema)
     assert top_k(one, none).count() == top_k(none, one).count() == 0
     assert [(r.query_id, r["rank"], r.vec_id) for r in top_k(one.where("vec_id = 1"), one, k=3).collect()] == [(1, 1, 0), (1, 2, 0)]
+
+
+def test_columns_with_names_that_the_code_uses(spark):
+    names = ["__row", "__id", "__at", "__n", "__key", "__text", "__hits", "__share", "__copy", "__nth", "__rows", "__group", "__salt", "_bucket", "_c"]
+    rows = [(i, prose(30) if i % 3 else "the same words again and again", "en" if i % 2 else "fr", "s", *[f"{n}{i}" for n in names]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    items = spark.createDataFrame([(1, prose(12))], "item_id long, text string")
+    labels = spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, y int")
+    outs = {
+        "drop_copies": drop_copies(docs), "decontaminate": decontaminate.decontaminate(docs, items), "resample": resample(docs), "shard": shard(docs, whole=True),
+        "identify": langid.identify(docs, langid.fit(docs)), "quality": quality.score(docs, quality.fit(docs, labels, "y")), "toxicity": toxicity.score(docs, toxicity.fit(docs, labels, "y")),
+        "kept": langid.identify(docs, langid.fit(docs), keep=["__n", "doc_id"]),
+    }
+    for name, out in outs.items():
+        got = [n for n in names if n in out.columns]
+        assert got == (["__n"] if name == "kept" else names), name
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in got), name
+    assert outs["drop_copies"].count() == 27 and outs["shard"].count() == outs["decontaminate"].count() == 40
