@@ -31,6 +31,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import urls as U
 from ..functions.regex import SPACES
 from ..operators import gates
+from ..operators.scans import SECOND
+from ..streaming import caches, limits
 
 SCHEMA = (
     "original_url string, final_url string, status int, headers map<string,string>, content_type string, body binary, "
@@ -38,8 +40,8 @@ SCHEMA = (
 )
 #: Attempts, and the milliseconds between them at first and at most.
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 3, 1000, 10_000
-#: Seconds that a file of crawl rules is kept, and bytes of it at most.
-RULES_KEPT, RULES_BYTES = 900, 512_000
+#: Fixed value: bytes of a file of crawl rules at most.
+RULES_BYTES = 512_000
 _SOCKET = ("ECONNRESET", "ETIMEDOUT", "ECONNREFUSED", "timed out", "reset")
 
 
@@ -54,9 +56,11 @@ Transport = Callable[[str, dict, int, float], Response]
 
 
 class FetchError(Exception):
-    def __init__(self, code: str, message: str, retryable: bool = False) -> None:
+    """``retry_after``: seconds that the server asks to wait; ``network``: it didn't answer at all."""
+
+    def __init__(self, code: str, message: str, retryable: bool = False, retry_after: float | None = None, network: bool = False) -> None:
         super().__init__(message)
-        self.code, self.retryable = code, retryable
+        self.code, self.retryable, self.retry_after, self.network = code, retryable, retry_after, network
 
 
 class _Stay(urllib.request.HTTPRedirectHandler):
@@ -96,8 +100,8 @@ def decompress(body: bytes, codings: str, max_bytes: int) -> bytes:
     return body
 
 
-def get(url: str, transport: Transport = http, gate: Callable[[str], tuple[str, str] | None] = lambda _: None, headers: dict | None = None, max_bytes: int = 10_485_760, timeout: float = 30.0, max_redirects: int = 5) -> tuple[str, Response]:
-    """The final URL and its response. Every hop passes the gate; a URL that comes twice is a loop."""
+def get(url: str, transport: Transport = http, gate: Callable[[str], tuple[str, str] | None] = lambda _: None, headers: dict | None = None, max_bytes: int = 10_485_760, timeout: float = 30.0, max_redirects: int = 5, checked: bool = False) -> tuple[str, Response]:
+    """The final URL and its response. Every hop passes the gate (the first one, too, unless it is ``checked``); a URL that comes twice is a loop."""
     seen: set[str] = set()
     for hop in range(max_redirects + 1):
         try:
@@ -108,7 +112,7 @@ def get(url: str, transport: Transport = http, gate: Callable[[str], tuple[str,
             raise FetchError("INVALID_PROTOCOL", f"Protocol not allowed: {url}")
         if url in seen:
             raise FetchError("REDIRECT_LOOP", f"Redirect loop at {url}")
-        if stop := gate(url):
+        if not (checked and not hop) and (stop := gate(url)):
             raise FetchError(*stop)
         seen.add(url)
         try:
@@ -116,7 +120,7 @@ def get(url: str, transport: Transport = http, gate: Callable[[str], tuple[str,
         except FetchError:
             raise
         except Exception as e:
-            raise FetchError("FETCH_ERROR", str(e), any(s in str(e) for s in _SOCKET)) from e
+            raise FetchError("FETCH_ERROR", str(e), any(s in str(e) for s in _SOCKET), network=True) from e
         if 300 <= r.status < 400:
             if not r.headers.get("location"):
                 raise FetchError("INVALID_REDIRECT", "Redirect without a location")
@@ -126,7 +130,8 @@ def get(url: str, transport: Transport = http, gate: Callable[[str], tuple[str,
                 raise FetchError("INVALID_REDIRECT", str(e)) from e
             continue
         if not 200 <= r.status < 300:
-            raise FetchError(f"HTTP_{r.status}", f"HTTP {r.status}", r.status == 429 or r.status >= 500)
+            asked = re.match(gates.DELAY, r.headers.get("retry-after", "").strip(), re.ASCII) if r.status == 429 else None
+            raise FetchError(f"HTTP_{r.status}", f"HTTP {r.status}", r.status == 429 or r.status >= 500, float(asked[0]) if asked else None)
         length = r.headers.get("content-length") or ""
         # a length that is no number says nothing; the body is measured anyway
         if len(r.body) > max_bytes or (length.isascii() and length.isdigit() and int(length) > max_bytes):
@@ -203,7 +208,7 @@ class Gate:
         self.transport, self.resolve, self.agent, self.robots, self.allow = transport, resolve, agent, robots, tuple(d.lower() for d in allow)
         self.names = gates.agent_names(agent)
         self.clock, self.sleep = clock, sleep
-        self.rules: dict[str, tuple[float, list, float]] = {}
+        self.rules = caches.Cache(caches.CRAWL_RULES, caches.CRAWL_RULES_TTL * SECOND)
         self.due: dict[str, float] = {}
 
     def unsafe(self, url: str) -> tuple[str, str] | None:
@@ -226,15 +231,16 @@ class Gate:
         return ("SSRF_BLOCKED", "Resolved IP address is blocked") if any(map(blocked_address, found)) else None
 
     def rules_at(self, origin: str) -> tuple[list, float]:
-        until, rules, delay = self.rules.get(origin, (float("-inf"), [], 0.0))
-        if self.clock() >= until:
-            try:
-                _, r = get(f"{origin}/robots.txt", self.transport, self.unsafe, {"user-agent": self.agent}, RULES_BYTES)
-                rules, delay = rules_of(r.body.decode("utf-8", "replace"), self.names) if r.status == 200 else ([], 0.0)
-            except FetchError:
-                rules, delay = [], 0.0
-            self.rules[origin] = self.clock() + RULES_KEPT, rules, delay
-        return rules, delay
+        now = int(self.clock() * SECOND)
+        if kept := self.rules.get(origin, now):
+            return kept
+        try:
+            _, r = get(f"{origin}/robots.txt", self.transport, self.unsafe, {"user-agent": self.agent}, RULES_BYTES)
+            found = rules_of(r.body.decode("utf-8", "replace"), self.names) if r.status == 200 else ([], 0.0)
+        except FetchError:
+            found = [], 0.0
+        self.rules.set(origin, found, now)
+        return found
 
     def __call__(self, url: str) -> tuple[str, str] | None:
         if (stop := self.unsafe(url)) or not self.robots:
@@ -258,42 +264,117 @@ class Gate:
         self.due[origin] = start + delay
 
 
-def fetched(urls: DataFrame, url_col: str = "url", transport: Transport = http, resolve: Callable[[str], list[str]] = addresses, agent: str = "inkwell/1", robots: bool = True, allow: tuple[str, ...] = (), **options) -> DataFrame:
+class Memory:
+    """What a task keeps between fetches: responses for a while, and each host's requests of the last minute.
+
+    A response that is kept needs no request. A request beyond a host's limit
+    waits for a slot, half a minute at most; a server that asks for a pause, or
+    doesn't answer, gets one.
+    """
+
+    def __init__(
+        self, per_host: int = 60, ttl_seconds: int = 300, capacity: int = caches.RESPONSES, hosts: int = 1000,
+        clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep,
+    ) -> None:
+        self.per_host, self.clock, self.sleep = per_host, clock, sleep
+        self.responses = caches.Cache(capacity, ttl_seconds * SECOND) if ttl_seconds > 0 else None
+        # a limiter that nobody asked for an hour has forgotten all anyway
+        self.limiters = caches.Cache(hosts, 3600 * SECOND)
+
+    def _now(self) -> int:
+        return int(self.clock() * SECOND)
+
+    def _limiter(self, url: str) -> limits.Limiter:
+        host, now = (urlsplit(url).hostname or "").lower(), self._now()
+        limiter = self.limiters.get(host, now) or limits.Limiter(self.per_host)
+        self.limiters.set(host, limiter, now)
+        return limiter
+
+    def found(self, key: str) -> tuple[str, Response] | None:
+        return self.responses.get(key, self._now()) if self.responses else None
+
+    def keep(self, key: str, answer: tuple[str, Response]) -> None:
+        if self.responses:
+            self.responses.set(key, answer, self._now())
+
+    def turn(self, url: str) -> None:
+        """Waits for a slot, or says that there is none soon enough."""
+        admitted, wait = self._limiter(url).request(self._now())
+        if not admitted:
+            raise FetchError("RATE_LIMITED", "Rate limit exceeded for this host", True)
+        if wait:
+            self.sleep(wait / SECOND)
+
+    def failed(self, url: str, error: FetchError) -> None:
+        if error.code == "HTTP_429" or error.network:
+            self._limiter(url).error(self._now(), error.retry_after)
+
+
+def fetched(
+    urls: DataFrame, url_col: str = "url", transport: Transport = http, resolve: Callable[[str], list[str]] = addresses, agent: str = "inkwell/1", robots: bool = True, allow: tuple[str, ...] = (),
+    per_host: int = 60, ttl_seconds: int = 300, **options,
+) -> DataFrame:
     """Pages of all URLs of a table, as rows of ``SCHEMA``; one that can't be fetched has its error.
 
-    A host's URLs go to one task, as one task keeps its delay; hosts are dealt by
-    hash. A row is passed on once it is read, so a task holds one body at a time.
+    A host's URLs go to one task, as one task keeps its delay and its limit;
+    hosts are dealt by hash. A row is passed on once it is read, so a task holds
+    one body and the last responses (:class:`Memory`).
     """
     headers = {"user-agent": agent}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gate = Gate(transport, resolve, agent, robots, allow)
+        gate, memory = Gate(transport, resolve, agent, robots, allow), Memory(per_host, ttl_seconds)
         names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
         for frame in frames:
             for url in frame["url"]:
-                yield pd.DataFrame([row_of(url, transport=transport, gate=gate, headers=headers, **options)], columns=names)
+                yield pd.DataFrame([row_of(url, memory, transport=transport, gate=gate, headers=headers, **options)], columns=names)
 
     rows = urls.select(urls[url_col].alias("url")).where("url is not null")
     return rows.repartition(U.hostname(rows["url"])).mapInPandas(run, SCHEMA)
 
 
-def row_of(url: str, **options) -> tuple:
-    """A row for a URL, also if it can't be fetched."""
+def row_of(url: str, memory: Memory | None = None, gate: Callable[[str], tuple[str, str] | None] = lambda _: None, **options) -> tuple:
+    """A row for a URL, also if it can't be fetched: gates first, then what is kept, then a turn at its host, then the request."""
     now = datetime.now(UTC)
     try:
-        final, r = get_with_retry(url, **options)
+        if memory is None:
+            final, r = get_with_retry(url, gate=gate, **options)
+        else:
+            final, r = _remembered(url, memory, gate, options)
         return url, final, r.status, r.headers, r.headers.get("content-type", ""), r.body, now, None, None
     except FetchError as e:
         return url, None, None, None, None, None, now, e.code, str(e)
 
 
+def _remembered(url: str, memory: Memory, gate: Callable[[str], tuple[str, str] | None], options: dict) -> tuple[str, Response]:
+    try:
+        scheme = urlsplit(url).scheme
+    except ValueError as e:
+        raise FetchError("INVALID_URL", str(e)) from e
+    if scheme not in ("http", "https"):
+        raise FetchError("INVALID_PROTOCOL", f"Protocol not allowed: {url}")
+    if stop := gate(url):
+        raise FetchError(*stop)
+    key = json.dumps([url, sorted((options.get("headers") or {}).items()), options.get("max_bytes"), options.get("max_redirects")])
+    if kept := memory.found(key):
+        return kept
+    memory.turn(url)
+    try:
+        answer = get_with_retry(url, gate=gate, checked=True, **options)
+    except FetchError as e:
+        memory.failed(url, e)
+        raise
+    memory.keep(key, answer)
+    return answer
+
+
 class _Hosts(InputPartition):
     def __init__(self, urls: list[str]) -> None:
         self.urls = urls
 
 
 class WebPages(DataSource):
-    """Options: ``urls`` (JSON list), ``partitions``, ``max_bytes``, ``timeout_ms``, ``max_redirects``, ``user_agent``, ``respect_robots`` (true), ``allow`` (comma-separated domains).
+    """Options: ``urls`` (JSON list), ``partitions``, ``max_bytes``, ``timeout_ms``, ``max_redirects``, ``user_agent``, ``respect_robots`` (true), ``allow`` (comma-separated domains), ``rate_limit_per_host``, ``cache_ttl_s``.
 
     For a list that fits a setting; URLs of a table go to :func:`fetched`.
     """
@@ -338,5 +419,6 @@ class _Reader(DataSourceReader):
             transport=self.transport, gate=gate, max_bytes=int(o.get("max_bytes", 10_485_760)), timeout=int(o.get("timeout_ms", 30_000)) / 1000,
             max_redirects=int(o.get("max_redirects", 5)), headers={"user-agent": agent},
         )
+        memory = Memory(int(o.get("rate_limit_per_host", 60)), int(o.get("cache_ttl_s", 300)))
         for url in partition.urls:
-            yield row_of(url, **options)
+            yield row_of(url, memory, **options)

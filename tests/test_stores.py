@@ -205,3 +205,48 @@ def test_pages_of_a_book(spark):
     info = spark.createDataFrame([("a", "T", "", None), (None, None, "A", "D:2020")], "doc string, title string, author string, created string")
     told = {r.doc: r for r in documents.pages_markdown(pages, info).collect()}
     assert told["a"].markdown.startswith("# T\n\n- **Pages:** 3\n\n") and told[None].markdown.startswith("- **Author:** A\n- **Created:** 2020-01-01\n- **Pages:** 1\n")
+
+
+def site_with(answers):
+    """A transport that answers from lists, in turn, and notes what was asked."""
+    asked = []
+
+    def served(url, *_):
+        asked.append(url)
+        answer = answers[url].pop(0) if len(answers[url]) > 1 else answers[url][0]
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    return served, asked
+
+
+def test_a_fetch_looks_into_memory_and_waits_its_turn():
+    now, waits = [0.0], []
+    page = web.Response(200, {}, b"x")
+    served, asked = site_with({f"http://h/{i}": [page] for i in range(9)} | {"http://h/busy": [web.Response(429, {"retry-after": "20s"})], "http://k/": [OSError("no route")]})
+    memory = web.Memory(per_host=2, ttl_seconds=100, clock=lambda: now[0], sleep=waits.append)
+    code = lambda url: web.row_of(url, memory, transport=served, attempts=1)[7]
+    assert [code(f"http://h/{i}") for i in (0, 0, 1)] == [None] * 3 and asked == ["http://h/0", "http://h/1"] and waits == []
+    now[0] = 20.0
+    assert code("http://h/2") == "RATE_LIMITED" and code("http://h/0") is None and len(asked) == 2
+    now[0] = 35.0
+    assert code("http://h/2") is None and waits == [25.0]
+    now[0] = 61.0
+    assert code("http://h/3") is None and waits == [25.0]
+    now[0] = 122.0
+    # kept too long, so it is asked for again; then the host wants a pause, which all its pages share
+    assert code("http://h/0") is None and asked[-1] == "http://h/0" and code("http://h/busy") == "HTTP_429"
+    waits.clear()
+    assert code("http://h/4") is None and waits == [20.0]
+    assert code("http://k/") == "FETCH_ERROR" and code("http://k/") == "FETCH_ERROR" and waits[1:] == [2.0]
+    assert code("http://[bad/") == "INVALID_URL" and code("ftp://h/") == "INVALID_PROTOCOL"
+
+
+def test_gates_come_before_memory():
+    served, asked = site_with({"http://h/": [web.Response(302, {"location": "/to"})], "http://h/to": [web.Response(200, {}, b"x")]})
+    seen, memory = [], web.Memory()
+    gate = lambda url: seen.append(url) or (("SSRF_BLOCKED", "no") if len(seen) > 3 else None)
+    row = lambda: web.row_of("http://h/", memory, gate, transport=served)
+    assert row()[1] == "http://h/to" and seen == ["http://h/", "http://h/to"] and row()[5] == b"x" and asked == ["http://h/", "http://h/to"]
+    assert row()[7] == "SSRF_BLOCKED" and len(asked) == 2
