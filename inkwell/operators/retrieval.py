@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sentences import question_terms, term_matches
@@ -108,9 +108,9 @@ def listing(packets: DataFrame) -> DataFrame:
 
 def newest(entries: DataFrame, now: Column, ttl_seconds: int, most: int | None = None, key: str = "key", at: str = "ts") -> DataFrame:
     """A cache's content: the last entry a key that isn't too old, and of these the ``most`` that expire last."""
-    last = Window.partitionBy(key).orderBy(F.col(at).desc())
     live = entries.where((F.col(at) > now - F.make_dt_interval(secs=F.lit(float(ttl_seconds)))) & (F.col(at) <= now))
-    live = live.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    # a maximum combines before the shuffle, however often a key was written
+    live = live.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*entries.columns), F.col(at)).alias("_last")).select("_last.*")
     return live if most is None else live.orderBy(F.col(at).desc(), key).limit(most)
 
 

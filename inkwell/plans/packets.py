@@ -165,7 +165,7 @@ def normalized_view(packets: DataFrame) -> DataFrame:
     return packets.drop("hashes")
 
 
-def fetch(pages: DataFrame, rules: DataFrame | None = None, dns: DataFrame | None = None, max_bytes: int = MAX_BYTES, allow: tuple[str, ...] = (), books: DataFrame | None = None) -> DataFrame:
+def fetch(pages: DataFrame, rules: DataFrame | None = None, dns: DataFrame | None = None, max_bytes: int = MAX_BYTES, allow: tuple[str, ...] = (), books: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Gates, then packets: ``pages`` as for :func:`normalize`; ``error_code`` is set where a gate or the server said no.
 
     All pages stay in the result. Gates are cheap and come first, so only pages
@@ -180,15 +180,71 @@ def fetch(pages: DataFrame, rules: DataFrame | None = None, dns: DataFrame | Non
     rows = rows.withColumn("error_code", code).withColumnRenamed("error", "gate_error")
     stopped = F.col("error_code").isNotNull()
     # parsers see no body of a page that was stopped; all pages take one way, so gates and joins run once
-    done = normalize(rows.withColumn("body", F.when(~stopped, F.col("body"))), books=books, keep=("error_code", "gate_error"))
+    done = normalize(rows.withColumn("body", F.when(~stopped, F.col("body"))), books=books, keep=("error_code", "gate_error", *keep))
     told = {
         "success": F.when(stopped, False).otherwise(F.col("success")), "error": F.when(stopped, F.coalesce("gate_error", "error_code")).otherwise(F.col("error")),
         "error_code": F.coalesce("error_code", F.when(~F.col("success"), "EXTRACTION_FAILED")),
     }
-    same = ("original_url", "status")
+    same = ("original_url", "status", *keep)
     return done.select(*[told[c].alias(c) if c in told else F.col(c) if c in same else F.when(~stopped, F.col(c)).alias(c) for c in done.columns if c != "gate_error"])
 
 
+MODES = ("auto", "http", "render")
+
+
+def fetch_rendered(pages: DataFrame, rendered: DataFrame, mode: str = "auto", **options) -> DataFrame:
+    """As :func:`fetch`, with the pages that a browser made of some URLs: ``rendered`` has the columns of ``pages``, and ``screenshot`` if it took any.
+
+    ``render`` takes only these. ``auto`` takes one first for hosts that need a
+    browser, and then where a page that was served gives no packet or one that is
+    thin for its size; where there is none, or it gives no packet, the served one
+    counts. ``used_render`` tells which it was, ``screenshot_base64`` is that of
+    the page taken. A URL is expected once in each; of several rendered pages one counts.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}, not {mode!r}")
+    shot = F.col("screenshot") if "screenshot" in rendered.columns else F.lit(None).cast("binary")
+    made = rendered.withColumn("screenshot", shot)
+    if mode == "render":
+        only = fetch(made, keep=("screenshot",), **options)
+        return only.withColumn("used_render", F.lit(True)).withColumn("screenshot_base64", F.base64("screenshot")).drop("screenshot")
+    served = fetch(pages.withColumn("_size", F.octet_length("body")), keep=("_size",), **options)
+    if mode == "http":
+        return served.withColumn("used_render", F.lit(False)).withColumn("screenshot_base64", F.lit(None).cast("string")).drop("_size")
+    thin = F.col("success") & gates.render_fallback(F.coalesce("content_type", F.lit("")), F.col("_size"), F.coalesce("content", F.lit("")), F.size("outline"))
+    wanted = gates.needs_browser(F.col("original_url")) | F.coalesce(F.col("error_code") == "EXTRACTION_FAILED", F.lit(False)) | F.coalesce(thin, F.lit(False))
+    columns = [c for c in served.columns if c != "_size"]
+    served = served.select(F.struct(*columns).alias("_old"), wanted.alias("_wanted"), F.col("original_url").alias("_asked"))
+    both = served.join(made.dropDuplicates(["original_url"]), F.col("_asked") == F.col("original_url"), "left")
+    # one way for all rows again: parsers see only the rendered pages that are wanted
+    both = both.withColumn("_wanted", F.col("_wanted") & F.col("original_url").isNotNull()).withColumn("body", F.when(F.col("_wanted"), F.col("body")))
+    again = fetch(both, keep=("_old", "_wanted", "screenshot"), **options)
+    used = F.col("_wanted") & F.col("success")
+    return again.select(*[F.when(used, F.col(c)).otherwise(F.col(f"_old.{c}")).alias(c) for c in columns], used.alias("used_render"), F.when(used, F.base64("screenshot")).alias("screenshot_base64"))
+
+
+def extract(inputs: DataFrame, fetched: DataFrame | None = None, **options) -> DataFrame:
+    """Packets of ``inputs(url, raw_bytes, content_type, canonical_url, retrieved_at)``: of a URL the one that was ``fetched``, else of the bytes.
+
+    Rows with neither are errors (``INVALID_INPUT``), as are URLs that weren't
+    fetched (``NOT_FETCHED``) and bytes that give no packet (``EXTRACTION_FAILED``).
+    """
+    url = F.coalesce("canonical_url", F.lit("unknown://source"))
+    rows = inputs.select(
+        F.col("url").alias("_url"), F.coalesce("url", url).alias("original_url"), url.alias("final_url"), F.lit(200).alias("status"), F.coalesce("content_type", F.lit("application/octet-stream")).alias("content_type"),
+        F.when(F.col("url").isNull(), F.col("raw_bytes")).alias("body"), "retrieved_at", F.when(F.col("url").isNull() & F.col("raw_bytes").isNull(), "INVALID_INPUT").alias("error_code"),
+    )
+    made = normalize(rows, keep=("_url", "error_code"), **options)
+    code = F.coalesce("error_code", F.when(F.col("_url").isNotNull(), "NOT_FETCHED").when(~F.col("success"), "EXTRACTION_FAILED"))
+    own = made.withColumn("error_code", code).withColumn("error", F.when(code == "INVALID_INPUT", "Either url or raw_bytes must be provided").when(code == "NOT_FETCHED", "The URL was not fetched").otherwise(F.col("error")))
+    columns = [c for c in own.columns if c != "_url"]
+    if fetched is None:
+        return own.select(columns)
+    known = fetched.dropDuplicates(["original_url"]).select(F.col("original_url").alias("_at"), F.struct(*columns).alias("_found"))
+    both = own.join(known, F.col("_url") == F.col("_at"), "left")
+    return both.select(*[F.when(F.col("_found").isNotNull(), F.col(f"_found.{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+
+
 def resources(packets: DataFrame, kind: str) -> DataFrame:
     """(source_id, uri, mime_type, text, size) of the packets as one kind of resource."""
     if kind not in U.RESOURCE_KINDS:

@@ -374,11 +374,30 @@ def html_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "e.whole_words", "e.read_words", gates.readability_fits(F.col("e.whole_words"), F.col("e.read_words")).alias("fits"))
 
 
+def fetch_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages served whole, thin, not at all, or from a host that needs a browser; a browser made four fifths of them."""
+    k = F.col("page_id")
+    url = F.when(k % 4 == 2, F.concat(F.lit("https://medium.com/p/"), k)).otherwise(F.concat(F.lit("https://e.com/p/"), k))
+    shell = F.concat(F.lit("<html><body><p>Please enable JavaScript</p><script>"), F.repeat(F.lit("var x = 1; "), 600), F.lit("</script></body></html>"))
+    full = F.concat(F.lit("<html><body><main>"), F.repeat(F.lit("<h2>Part</h2><p>One of many sentences that a page has. </p>"), 50), F.lit("</main></body></html>"))
+    page = [url.alias("original_url"), url.alias("final_url"), F.lit("text/html").alias("content_type"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("retrieved_at")]
+    rows = read(spark, sf_dir, "pages")
+    served = rows.select(*page, F.when(k % 4 == 0, 404).otherwise(200).alias("status"), F.encode(F.when(k % 4 == 1, shell).otherwise(full), "UTF-8").alias("body"))
+    made = rows.where(k % 5 > 0).select(*page, F.lit(200).alias("status"), F.encode(full, "UTF-8").alias("body"), F.when(k % 3 == 0, F.encode(F.lit("png"), "UTF-8")).alias("screenshot"))
+    return packets.fetch_rendered(served, made).select("original_url", "success", "error_code", "used_render", "screenshot_base64", F.length("content").cast("long").alias("chars"))
+
+
+FETCH_FALLBACK = """
+select case when page_id % 4 = 2 then 'https://medium.com/p/' else 'https://e.com/p/' end || page_id as original_url, page_id % 4 <> 0 as success, case when page_id % 4 = 0 then 'HTTP_404' end as error_code,
+       page_id % 4 in (1, 2) and page_id % 5 > 0 as used_render, case when page_id % 4 in (1, 2) and page_id % 5 > 0 and page_id % 3 = 0 then 'cG5n' end as screenshot_base64,
+       case when page_id % 4 = 0 then null when page_id % 4 = 1 and page_id % 5 = 0 then length('Please enable JavaScript') else 50 * (length('## Part') + length('One of many sentences that a page has.') + 2) + 49 * 2 end::bigint as chars from pages
+"""
+
 QUERIES = {
     "rate_wait": rate_wait, "cache_replay": cache_replay, "cache_lookup": cache_lookup, "delay_schedule": delay_schedule, "redirect_chains": redirect_chains, "retrieve_bm25": bm25, "complete_kinds": complete_kinds,
     "robots_parse": robots_parse, "xml_feed_items": feed_items, "pdf_pages": pdf_pages, "url_same_origin": url_same_origin, "fetch_cache_key": fetch_cache_key, "resource_parse": resource_parse,
     "scope_prefixes": scope_prefixes, "html_readability": html_readability,
-    "search_requests": search_requests, "outline_headings": outline_headings, "summary_lines": summary_lines, "resource_read": resource_read,
+    "search_requests": search_requests, "outline_headings": outline_headings, "summary_lines": summary_lines, "resource_read": resource_read, "fetch_fallback": fetch_fallback,
 }
 
 ORACLES = {
@@ -386,5 +405,5 @@ ORACLES = {
     "robots_parse": ROBOTS_PARSE, "xml_feed_items": FEED_ITEMS, "pdf_pages": PDF_PAGES, "url_same_origin": "select page_id, page_id % 3 = 0 as same from pages",
     "fetch_cache_key": "select page_id, 'https://e.com/p/' || page_id || '?a=' || (page_id % 5) || '&b=2::agent/1::accept:a/b|x-page:' || page_id || '::1000::5' as key from pages",
     "resource_parse": RESOURCE_PARSE, "scope_prefixes": SCOPE_PREFIXES,
-    "search_requests": SEARCH_REQUESTS, "outline_headings": OUTLINE_HEADINGS, "summary_lines": SUMMARY_LINES, "resource_read": RESOURCE_READ,
+    "search_requests": SEARCH_REQUESTS, "outline_headings": OUTLINE_HEADINGS, "summary_lines": SUMMARY_LINES, "resource_read": RESOURCE_READ, "fetch_fallback": FETCH_FALLBACK,
 }

@@ -238,3 +238,28 @@ def test_registry_without_a_session():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_extract_takes_bytes_or_what_was_fetched(spark):
+    page = "<html><head><title>T</title></head><body><main><p>Some text.</p></main></body></html>"
+    schema = "url string, raw_bytes binary, content_type string, canonical_url string, retrieved_at timestamp"
+    rows = [("https://e.com/a", None, None, None, None), ("https://e.com/b", b"ignored", "text/html", None, None), (None, bytearray(page.encode()), "text/html", "https://c.com/", None), (None, None, None, None, None), (None, bytearray(b'{"a": 1}'), "application/json", None, None), (None, bytearray(b"%PDF-1.4"), "application/pdf", None, None)]
+    pages = spark.createDataFrame([("https://e.com/a", "https://e.com/a", 200, "text/html", bytearray(page.encode()), None)], "original_url string, final_url string, status int, content_type string, body binary, retrieved_at timestamp")
+    got = {(r.original_url, r.success, r.error_code) for r in packets.extract(spark.createDataFrame(rows, schema), packets.fetch(pages)).collect()}
+    assert got == {
+        ("https://e.com/a", True, None), ("https://e.com/b", False, "NOT_FETCHED"), ("https://c.com/", True, None), ("unknown://source", False, "INVALID_INPUT"),
+        ("unknown://source", True, None), ("unknown://source", False, "EXTRACTION_FAILED"),
+    }
+    books = spark.createDataFrame([("unknown://source", 1, "A page of text.")], "doc string, page_no int, text string")
+    pdf = packets.extract(spark.createDataFrame(rows[5:], schema), books=D.pages_markdown(books)).first()
+    assert pdf.success and pdf.content == "- **Pages:** 1\n\n## Page 1\n\nA page of text." and pdf.warnings[0].message.startswith("Low text extraction")
+
+
+def test_rendered_pages_only(spark):
+    schema = "original_url string, final_url string, status int, content_type string, body binary, retrieved_at timestamp, screenshot binary"
+    made = spark.createDataFrame([("https://e.com/a", "https://e.com/a", 200, "text/html", bytearray(b"<p>x y</p>"), None, bytearray(b"png"))], schema)
+    for mode, used, shot in (("render", True, "cG5n"), ("http", False, None), ("auto", False, None)):
+        r = packets.fetch_rendered(made.drop("screenshot"), made, mode).first()
+        assert (r.success, r.content, r.used_render, r.screenshot_base64) == (True, "x y", used, shot), mode
+    with pytest.raises(ValueError):
+        packets.fetch_rendered(made, made, "maybe")
