@@ -140,6 +140,16 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def settled(value: Column) -> Column:
+    """``value`` as a column that later ones refer to instead of repeating it.
+
+    The optimizer may write a column's expression into each later one that uses
+    it, which grows without bound along a chain. It doesn't for one that could
+    give another value each time, as a row's number might.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kinds as K
 from ..functions import sentences as S
-from ..functions.regex import trim_text, units_of
+from ..functions.regex import let, settled, trim_text, units_of
 from ..functions.tokens import est_tokens, tokens_of, truncate, truncate_text
 from .markdown import sections, sentences, sentences_column, standalone, without_code_column
 
@@ -195,28 +195,28 @@ def compact(packets: DataFrame, max_tokens: int, mode: str = "structural", quest
         return F.struct(summary.alias("summary"), omissions.alias("omissions"), warnings.alias("warnings"))
 
     if mode in ("salience", "question_focused"):
-        rows = rows.withColumn("units", all_sentences(F.col("text")))
-        terms = question_terms(question)
-        n = F.size("units").cast("string")
-        chosen, note = select_salient(F.col("units"), max_tokens, preserve), F.lit(None).cast("string")
-        said = F.array(F.concat(F.lit("Condensed from "), n, F.lit(" sentences to "), F.size("picked.kept").cast("string")))
-        if mode == "question_focused":
-            if not question:
-                note = F.lit("No question provided, falling back to salience compaction")
-            elif not terms:
-                note = F.lit("No meaningful question terms found, falling back to salience compaction")
-            else:
-                hit = F.exists("units", lambda s: S.term_matches(s, terms) > 0)
-                chosen = F.when(hit, select_relevant(F.col("units"), terms, max_tokens, preserve)).otherwise(chosen)
-                note = F.when(~hit, "No sentence matched question terms, falling back to salience compaction")
-                focus = F.array(
-                    F.lit(f'Focused on question: "{question[:50]}..."'),
-                    F.concat(F.lit("Selected "), F.size("picked.kept").cast("string"), F.lit(" of "), n, F.lit(" sentences")),
-                )
-                said = F.when(hit, focus).otherwise(said)
-        rows = rows.withColumn("picked", chosen)
-        summary = S.summary_text(S.dedupe(S.picked(F.col("units"), F.col("picked.kept"))))
-        rows = rows.withColumn("made", parts(summary, said, F.when(note.isNull(), empty).otherwise(F.array(note))))
+        terms = question_terms(question) if mode == "question_focused" else []
+        fallback = None
+        if mode == "question_focused" and not terms:
+            fallback = "No meaningful question terms found, falling back to salience compaction" if question else "No question provided, falling back to salience compaction"
+
+        # every value is bound once: as columns of columns, later ones would repeat earlier ones over and over
+        def made(units: Column) -> Column:
+            return let(F.exists(units, lambda s: S.term_matches(s, terms) > 0) if terms else F.lit(False), lambda hit: let(chosen(units, hit), lambda picked: said(units, hit, picked)))
+
+        def chosen(units: Column, hit: Column) -> Column:
+            best = select_salient(units, max_tokens, preserve)
+            return F.when(hit, select_relevant(units, terms, max_tokens, preserve)).otherwise(best) if terms else best
+
+        def said(units: Column, hit: Column, picked: Column) -> Column:
+            n, k = F.size(units).cast("string"), F.size(picked["kept"]).cast("string")
+            condensed = F.array(F.concat(F.lit("Condensed from "), n, F.lit(" sentences to "), k))
+            focus = F.array(F.lit(f'Focused on question: "{(question or "")[:50]}..."'), F.concat(F.lit("Selected "), k, F.lit(" of "), n, F.lit(" sentences")))
+            missed = F.array(F.lit("No sentence matched question terms, falling back to salience compaction"))
+            notes = F.array(F.lit(fallback)) if fallback else F.when(hit, empty).otherwise(missed) if terms else empty
+            return parts(S.summary_text(S.dedupe(S.picked(units, picked["kept"]))), F.when(hit, focus).otherwise(condensed), notes)
+
+        rows = rows.withColumn("made", settled(let(all_sentences(F.col("text")), made)))
     else:
 
         @F.pandas_udf(_PARTS)
@@ -231,7 +231,7 @@ def compact(packets: DataFrame, max_tokens: int, mode: str = "structural", quest
 
         rows = rows.withColumn("made", run("text", F.coalesce("chunks", empty)))
     over = est_tokens(F.col("made.summary")) > max_tokens
-    rows = rows.withColumn("summary", F.when(over, truncate(F.col("made.summary"), max_tokens)["text"]).otherwise(F.col("made.summary")))
+    rows = rows.withColumn("summary", settled(F.when(over, truncate(F.col("made.summary"), max_tokens)["text"]).otherwise(F.col("made.summary"))))
     cut_note = F.array(F.lit("Summary truncated to fit token budget"))
     warnings = F.when(over, F.concat("made.warnings", cut_note)).otherwise(F.col("made.warnings"))
 
@@ -245,7 +245,7 @@ def compact(packets: DataFrame, max_tokens: int, mode: str = "structural", quest
     rows = rows.withColumn("sources", sources)
     bare = F.when(F.contains("sources", F.lit("```")) | F.contains("sources", F.lit("~~~")), without_code_column("sources")).otherwise(F.col("sources"))
     rows = rows.withColumn("bare", bare)
-    rows = rows.withColumn("key_points", points_).withColumn("quotes", cited(S.quotes(F.col("bare")), '"'))
+    rows = rows.withColumn("key_points", settled(points_)).withColumn("quotes", cited(S.quotes(F.col("bare")), '"'))
     said = F.concat(F.col("summary"), F.array_join(F.transform("key_points", lambda k: k["text"]), " "))
     packed = F.struct(
         F.col("summary"), F.col("key_points"), F.col("quotes").alias("important_quotes"), F.col("made.omissions").alias("omissions"), warnings.alias("warnings"),

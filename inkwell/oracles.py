@@ -12,6 +12,7 @@ from .functions import urls as U
 from .functions.regex import ASTRAL, Rx
 from .operators import gates
 from .queries import ADDITIONS, BUDGET, QUESTION, SEARCH, SEEDS
+from .text_oracles import truncated
 
 _WORD, _ENDS = Rx(r"\S+"), Rx(r"^\s+|\s+$")
 NL = "chr(10)"
@@ -185,6 +186,17 @@ d as (select k.doc_id, k.i, s, row_number() over (partition by k.doc_id, {normal
 m as (select doc_id, array_to_string(list(case when regexp_matches({trim('s')}, {S.HEADING.duck}) or regexp_matches({trim('s')}, {S.LIST.duck}) then chr(1) || {trim('s')} || chr(1) else {trim('s')} end order by i), ' ') as t from d where nth = 1 group by doc_id)
 select f.doc_id, len(p.kept)::bigint as kept, p.used::bigint as used_tokens,
   coalesce(array_to_string(list_filter(list_transform(string_split(t, chr(1)), lambda x: {trim('x')}), lambda x: x <> ''), {NL} || {NL}), '') as summary from f left join m using (doc_id)""",
+    "compact_question_summary": greedy("case when hits > 0 then -rel else -sal end, case when hits > 0 then -own else 0 end, i").replace("as rel from n)", "as rel, sum(own) over (partition by doc_id) as hits from n)") + f""",
+k as (select doc_id, unnest(list_sort(p.kept)) as i from f),
+d as (select k.doc_id, k.i, s, row_number() over (partition by k.doc_id, {normal('s')} order by k.i) as nth from k join s on s.doc_id = k.doc_id and s.i = k.i where {normal('s')} <> ''),
+m as (select doc_id, array_to_string(list(case when regexp_matches({trim('s')}, {S.HEADING.duck}) or regexp_matches({trim('s')}, {S.LIST.duck}) then chr(1) || {trim('s')} || chr(1) else {trim('s')} end order by i), ' ') as t from d where nth = 1 group by doc_id),
+c as (select doc_id, count(*) as n from s group by doc_id),
+o as (select d.doc_id as id, coalesce(array_to_string(list_filter(list_transform(string_split(t, chr(1)), lambda x: {trim('x')}), lambda x: x <> ''), {NL} || {NL}), '') as text from documents d left join m using (doc_id)),
+{truncated('o', BUDGET)}
+select d.doc_id::varchar as source_id, z.text as summary,
+  case when f.matches > 0 then 'Focused on question: "{QUESTION}..."|Selected ' || len(p.kept) || ' of ' || c.n || ' sentences' else 'Condensed from ' || coalesce(c.n, 0) || ' sentences to ' || coalesce(len(p.kept), 0) end as omissions,
+  concat_ws('|', case when coalesce(f.matches, 0) = 0 then 'No sentence matched question terms, falling back to salience compaction' end, case when z.truncated then 'Summary truncated to fit token budget' end) as warnings
+from documents d left join f using (doc_id) left join c using (doc_id) join cut_texts z on z.id = d.doc_id""",
     "compact_key_points": f"""
 with s as (select *, row_number() over (partition by doc_id, {normal('s')} order by i) as nth from {SENTENCES} where {salience('s')} >= 2 and {normal('s')} <> ''),
 k as (select *, row_number() over (partition by doc_id order by i) - 1 as k from s where nth = 1)

@@ -207,6 +207,7 @@ QUERIES: dict[str, Query] = {
     # compaction
     "compact_salience": documents_query(compact_salience),
     "compact_question": documents_query(compact_question),
+    "compact_question_summary": documents_query(lambda d: compaction.compact(d.select(F.col("doc_id").alias("source_id"), F.col("text").alias("content")), BUDGET, "question_focused", QUESTION).select("source_id", "compacted.summary", F.array_join("compacted.omissions", "|").alias("omissions"), F.array_join("compacted.warnings", "|").alias("warnings"))),
     "compact_key_points": documents_query(lambda d: d.select("doc_id", F.posexplode(S.key_points(S.sentences(F.col("text")))).alias("k", "text"))),
     "compact_quotes": documents_query(lambda d: derived(d).select("doc_id", F.posexplode(S.quotes(F.col("md"))).alias("k", "quote"))),
     "compact_section_score": columns(lambda t, m, h, u: dict(score=S.section_score(m)), prepare=derived),

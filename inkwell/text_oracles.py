@@ -73,6 +73,18 @@ r as (select doc_id, generate_subscripts(l, 1) - 1 as k, unnest(l) as x from g),
 chunks as (select doc_id::varchar as source_id, doc_id || ':c' || k as chunk_id, k::int as chunk_index, x.path as headings_path, {_tokens("x.text")} as est_tokens, x.text as text, length(x.text)::int as char_len from r)
 """
 
+def truncated(table: str, most: int) -> str:
+    """Common tables up to ``cut_texts(id, text, truncated)``: the texts of ``table(id, text)`` cut to about ``most`` tokens. For texts that are no code."""
+    now = f"greatest(ceil(length(text) / 3.5), ceil(len(regexp_extract_all(text, '[^{_WS}]+')) / 0.75))"
+    goal = f"floor(length(text) * ({float(most)}::double / greatest(now, 1)) * 0.95)"
+    breaks = ("case when contains(head, chr(10) || chr(10)) then length(head) - instr(reverse(head), chr(10) || chr(10)) - 1 else -1 end as par", "case when contains(head, chr(10)) then length(head) - instr(reverse(head), chr(10)) else -1 end as line")
+    at = "case when par > goal * 0.8 then par when sent < length(head) and sent > goal * 0.8 then sent + 1 when line > goal * 0.9 then line else goal end"
+    return f"""sized as (select id, text, {now} as now from {table}),
+headed as (select *, substr(text, 1, {goal}::bigint) as head, {goal} as goal from sized),
+broken as (select *, {", ".join(breaks)}, length(head) - length(regexp_extract(head, '[.!?][{_WS}]+[A-Z][^.!?]*$')) as sent from headed),
+cut_texts as (select id, case when now <= {most} then text else {_trim(f"substr(head, 1, ({at})::bigint)")} end as text, now > {most} as truncated from broken)"""
+
+
 ORACLES: dict[str, str] = {
     "md_headings": f"with {_HEADS} select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as k, level::int as level, text from h",
     "outline_paths": f"with {_HEADS} select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as k, level::int as level, text, {_PATH} as path from h",
@@ -114,13 +126,7 @@ m as (select doc_id, i, case when bare <> '' and length(bare) < 80 and bare = up
     list_transform(string_split(lower(bare), ''), lambda c: {{'o': c, 'w': false}})),
     lambda a, c: {{'o': a.o || case when not a.w and regexp_matches(c.o, '^[a-z]$') then upper(c.o) else c.o end, 'w': regexp_matches(c.o, '^[A-Za-z0-9_]$')}}).o else line end as line from b)
 select doc_id, string_agg(line, chr(10) order by i) as markdown from m group by doc_id""",
-    "tok_truncate": f"""with t as (
-  select doc_id, text, greatest(ceil(length(text) / 3.5), ceil(len(regexp_extract_all(text, '[^{_WS}]+')) / 0.75)) as now from documents),
-g as (select *, substr(text, 1, floor(length(text) * (100.0::double / now) * 0.95)::bigint) as head, floor(length(text) * (100.0::double / now) * 0.95) as goal from t),
-c as (select *, case when contains(head, chr(10) || chr(10)) then length(head) - instr(reverse(head), chr(10) || chr(10)) - 1 else -1 end as par,
-        case when contains(head, chr(10)) then length(head) - instr(reverse(head), chr(10)) else -1 end as line, length(head) - length(regexp_extract(head, '[.!?][{_WS}]+[A-Z][^.!?]*$')) as sent from g)
-select doc_id, case when now <= 100 then text else {_trim("""substr(head, 1, (case when par > goal * 0.8 then par when sent < length(head) and sent > goal * 0.8 then sent + 1 when line > goal * 0.9 then line else goal end)::bigint)""")} end as text,
-       now > 100 as truncated from c""",
+    "tok_truncate": f"with d as (select doc_id as id, text from documents), {truncated('d', 100)} select id as doc_id, text, truncated from cut_texts",
     "chunk_pack_greedy": _CHUNKS + "select * from chunks",
     "chunk_totals": _CHUNKS + "select source_id, count(*) as total_chunks, sum(est_tokens)::bigint as total_est_tokens from chunks group by source_id",
     "chunk_by_index": _CHUNKS + "select chunk_id, text from chunks where chunk_index = 1",
