@@ -13,6 +13,7 @@ from ..functions import kinds as K
 from ..functions import markup as M
 from ..functions import urls as U
 from ..functions.injection import detections
+from ..functions.regex import settled
 from ..functions.tokens import reading_minutes
 from ..operators import documents as D
 from ..operators import gates, html
@@ -50,13 +51,13 @@ def extracted(pages: DataFrame, remove: Sequence[str] = (), tables: bool = True,
     as :func:`..operators.documents.pages_markdown` makes them of the pages that
     a reader of PDF gives, hold the texts of PDF files by their final URL.
     """
-    rows = pages.withColumn("ctype", M.content_type(F.coalesce("content_type", F.lit("")), F.col("body")))
-    rows = rows.withColumn("text", M.decode_body(F.col("body"), F.col("ctype.charset")))
+    rows = pages.withColumn("ctype", settled(M.content_type(F.coalesce("content_type", F.lit("")), F.col("body"))))
+    rows = rows.withColumn("text", settled(M.decode_body(F.col("body"), F.col("ctype.charset"))))
     kind = F.col("ctype.type")
     rows = rows.withColumn("_html", html.extract_column(F.when(kind == "html", F.col("text")), tuple(remove), tables, code))
     rows = rows.withColumn("_data", D.structured_column(F.when(kind.isin("json", "xml"), F.col("text")), kind, F.col("final_url")))
     rows = rows.withColumn("_front", D.front_matter_column(F.when(kind == "markdown", F.col("text"))))
-    rows = rows.withColumn("_safe", M.safe_markdown(F.col("_front.body")))
+    rows = rows.withColumn("_safe", settled(M.safe_markdown(F.col("_front.body"))))
     rows = rows.withColumn("_heads", headings_column(F.when(kind == "markdown", F.col("_safe.markdown"))))
     if books is not None:
         read = books.where("doc is not null").dropDuplicates(["doc"]).select(F.col("doc").cast("string").alias("_doc"), F.struct("title", "author", "created_at", "markdown", "warning").alias("_pdf"))
@@ -84,7 +85,7 @@ def extracted(pages: DataFrame, remove: Sequence[str] = (), tables: bool = True,
             warnings=F.array_compact(F.array("_pdf.warning")), error=F.when(F.col("_pdf").isNull(), "No pages of this PDF were given")))
         .otherwise(doc(D.text_markdown(plain), M.text_title(plain)))
     )
-    return rows.withColumn("doc", made).drop("_html", "_data", "_front", "_safe", "_heads", "_pdf")
+    return rows.withColumn("doc", settled(made)).drop("_html", "_data", "_front", "_safe", "_heads", "_pdf")
 
 
 def normalize(
@@ -104,7 +105,7 @@ def normalize(
         ok.alias("ok"), F.when(~ok, failed).alias("failed"), F.sha2("body", 256).alias("raw_hash"), F.substring("text", 1, RAW_EXCERPT).alias("excerpt"),
         F.when(ok, F.col("doc.markdown")).alias("markdown"), *keep,
     ))
-    rows = rows.withColumn("unsafe", detections(F.col("markdown")))
+    rows = rows.withColumn("unsafe", settled(detections(F.col("markdown"))))
 
     def warning(kind: str, message: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), message.alias("message"))
