@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from . import kinds as K
 from .regex import Rx, let
 
-_TARGETS = r"(instructions?|prompts?|rules?|guidelines?)"
 #: Patterns and what they are a sign of, in the order they are applied. Case never counts.
 PATTERNS: tuple[tuple[Rx, str], ...] = tuple((Rx(p, f), reason) for p, f, reason in (
-    (rf"\bignore\s+(all\s+)?(previous|prior|above|earlier)\s+{_TARGETS}\b", "i", "Attempts to override previous instructions"),
-    (rf"\bdisregard\s+(all\s+)?(previous|prior|above|earlier)\s+{_TARGETS}\b", "i", "Attempts to override previous instructions"),
+    (r"\bignore\s+(all\s+)?(previous|prior|above|earlier)\s+(instructions?|prompts?|rules?|guidelines?)\b", "i", "Attempts to override previous instructions"),
+    (r"\bdisregard\s+(all\s+)?(previous|prior|above|earlier)\s+(instructions?|prompts?|rules?|guidelines?)\b", "i", "Attempts to override previous instructions"),
     (r"\boverride\s+(the\s+)?(system|previous|prior)?\s*(prompt|instructions?|rules?)\b", "i", "Attempts to override system instructions"),
     (r"\bforget\s+(everything|all|what)\s+(you\s+)?(?:know|learned|were\s+told)\b", "i", "Attempts to clear LLM context"),
     (r"\byou\s+are\s+now\s+(a|an|in)\s+", "i", "Role reassignment attempt"),

@@ -15,6 +15,7 @@ ENTITIES = (
 )
 #: What is dropped from HTML before its text is read.
 INVISIBLE = (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>")
+#: Classes, attributes and phrases of pages behind a paywall.
 PAYWALL_CLASSES = ("paywall", "subscription-wall", "metered-paywall", "subscriber-only", "premium-content", "piano-paywall")
 PAYWALL_ATTRIBUTES = ("data-paywall", "data-subscriber-content")
 PAYWALL_PHRASES = (
