@@ -24,6 +24,8 @@ CODE_SIGNS = (
     Rx(r"^\s*#include", "m"), Rx(r"^\s*package\s+", "m"), Rx(r"^\s*use\s+", "m"),
 )
 INDENTED = Rx(r"^\s{2,}")
+#: The shares of indented and of short lines that must be passed, in tenths: as a double, 0.7 of 90 lines is less than 63.
+INDENTED_TENTHS, SHORT_TENTHS = 3, 7
 #: What any of the signs needs: a text with none of these is no code, whatever its lines look like.
 _BRACKET = CODE_SIGNS[1]
 _KEYWORD = Rx(r"^\s*(?:(?:function|const|let|var|class|import|export|def|async|await)\s|#include|package\s|use\s)", "m")
@@ -35,7 +37,7 @@ def is_code(text: Column) -> Column:
     n = F.size(parts)
     indented = F.size(F.filter(parts, INDENTED.test))
     short = F.size(F.filter(parts, lambda x: units(x) < 80))
-    points = [s.test(text) for s in CODE_SIGNS] + [indented > n * 0.3, short > n * 0.7]
+    points = [s.test(text) for s in CODE_SIGNS] + [indented * 10 > n * INDENTED_TENTHS, short * 10 > n * SHORT_TENTHS]
     # lines give two points at most, so a sign is needed before they are looked at
     return F.when(F.contains(text, F.lit("=>")) | _BRACKET.test(text) | _KEYWORD.test(text), sum((p.cast("int") for p in points), F.lit(0)) >= 3).when(text.isNotNull(), False)
 
@@ -98,8 +100,8 @@ def code_text(text: str) -> bool:
         return False
     parts = text.split("\n")
     points = sum(bool(s.py.search(text)) for s in CODE_SIGNS)
-    points += sum(bool(INDENTED.py.match(x)) for x in parts) > len(parts) * 0.3
-    points += sum(units_of(x) < 80 for x in parts) > len(parts) * 0.7
+    points += sum(bool(INDENTED.py.match(x)) for x in parts) * 10 > len(parts) * INDENTED_TENTHS
+    points += sum(units_of(x) < 80 for x in parts) * 10 > len(parts) * SHORT_TENTHS
     return points >= 3
 
 

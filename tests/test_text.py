@@ -28,6 +28,14 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
+def test_a_share_of_short_lines_is_exact(spark):
+    # seven tenths of 90 lines are 63; the double 0.7 * 90 is a little less
+    texts = ["\n".join(["import x", "f(y)", *["a"] * (short - 2), *["b" * 90] * (90 - short)]) for short in (63, 64)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.is_code(F.col("t")), T.est_tokens(F.col("t"))).collect()
+    assert [r[0] for r in got] == [T.code_text(t) for t in texts] == [False, True]
+    assert [r[1] for r in got] == [T.tokens_of(t) for t in texts]
+
+
 def test_expressions_agree_with_the_walk(samples):
     t = F.col("text")
     got = samples.select("id", T.est_tokens(t), T.is_code(t), compaction.all_sentences(t), T.truncate(t, 20)["text"], units(t)).orderBy("id").collect()
