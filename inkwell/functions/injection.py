@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import kinds as K
 from .regex import Rx, let
+from .rowwise import by_row
 
 #: Patterns and what they are a sign of, in the order they are applied. Case never counts.
 PATTERNS: tuple[tuple[Rx, str], ...] = tuple((Rx(p, f), reason) for p, f, reason in (
@@ -129,9 +129,9 @@ def detections_of(text: str) -> list[dict]:
     return list(found.values())
 
 
-@F.pandas_udf(K.NOTES)
-def _contexts(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: detections_of(t) if t else [])
+@by_row(K.NOTES)
+def _contexts(text: str | None) -> list[dict]:
+    return detections_of(text) if text else []
 
 
 def detections(text: Column) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kinds as K
 from ..functions import sentences as S
 from ..functions.regex import let, settled, trim_text, units_of
+from ..functions.rowwise import by_row
 from ..functions.tokens import est_tokens, tokens_of, truncate, truncate_text
 from .markdown import sections, sentences, sentences_column, standalone, without_code_column
 
@@ -219,15 +219,11 @@ def compact(packets: DataFrame, max_tokens: int, mode: str = "structural", quest
         rows = rows.withColumn("made", settled(let(all_sentences(F.col("text")), made)))
     else:
 
-        @F.pandas_udf(_PARTS)
-        def run(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-            out = []
-            for t, c in zip(texts, lists, strict=True):
-                if mode == "map_reduce":
-                    out.append(map_reduce([x for x in c if x is not None], t, max_tokens, preserve))
-                else:
-                    out.append((*structural(t, max_tokens, preserve), []))
-            return pd.DataFrame(out, columns=["summary", "omissions", "warnings"])
+        @by_row(_PARTS)
+        def run(text: str, list_: list[str | None]) -> tuple:
+            if mode == "map_reduce":
+                return map_reduce([x for x in list_ if x is not None], text, max_tokens, preserve)
+            return (*structural(text, max_tokens, preserve), [])
 
         rows = rows.withColumn("made", run("text", F.coalesce("chunks", empty)))
     over = est_tokens(F.col("made.summary")) > max_tokens

@@ -7,13 +7,13 @@ import math
 import re
 import xml.etree.ElementTree as ET
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kinds as K
 from ..functions import markup as M
 from ..functions.regex import Rx, let, trim_text
+from ..functions.rowwise import by_row
 from .scans import after_delays
 
 #: How much of a JSON document is shown.
@@ -78,13 +78,10 @@ def front_matter(text: str) -> tuple[dict, str, str | None]:
     return (fields if isinstance(fields, dict) else {}), text[m.end() :], None
 
 
-@F.pandas_udf(K.struct(title=K.STRING, author=K.STRING, date=K.STRING, body=K.STRING, error=K.STRING))
-def front_matter_column(text: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in text:
-        fields, body, error = front_matter(t or "")
-        rows.append((*(None if fields.get(k) is None else str(fields[k]) for k in ("title", "author", "date")), body, error))
-    return pd.DataFrame(rows, columns=["title", "author", "date", "body", "error"])
+@by_row(K.struct(title=K.STRING, author=K.STRING, date=K.STRING, body=K.STRING, error=K.STRING))
+def front_matter_column(text: str | None) -> tuple:
+    fields, body, error = front_matter(text or "")
+    return (*(None if fields.get(k) is None else str(fields[k]) for k in ("title", "author", "date")), body, error)
 
 
 # --- JSON ---------------------------------------------------------------------------
@@ -278,17 +275,13 @@ def xml_markdown(xml: str, url: str | None = None) -> tuple[str, str]:
 FEED = K.structs(title=K.STRING, link=K.STRING, description=K.STRING, published=K.STRING, author=K.STRING, guid=K.STRING)
 
 
-@F.pandas_udf(FEED)
-def feed_items(xml: pd.Series) -> pd.Series:
+@by_row(FEED)
+def feed_items(xml: str | None) -> list[dict]:
     """Entries of a feed; none for what is no feed."""
-
-    def read(x: str) -> list[dict]:
-        try:
-            return (read_feed(x) or {"items": []})["items"] if x else []
-        except ET.ParseError:
-            return []
-
-    return xml.map(read)
+    try:
+        return (read_feed(xml) or {"items": []})["items"] if xml else []
+    except ET.ParseError:
+        return []
 
 
 # --- structured documents, one column ---------------------------------------------------
@@ -313,10 +306,9 @@ def structured(text: str, kind: str, url: str | None) -> tuple:
         return None, None, None, None, str(e) or "Failed to parse", []
 
 
-@F.pandas_udf(STRUCTURED)
-def structured_column(text: pd.Series, kind: pd.Series, url: pd.Series) -> pd.DataFrame:
-    rows = [structured(t, k, u) if isinstance(t, str) else (None,) * 5 + ([],) for t, k, u in zip(text, kind, url, strict=True)]
-    return pd.DataFrame(rows, columns=STRUCTURED.names)
+@by_row(STRUCTURED)
+def structured_column(text: str | None, kind: str | None, url: str | None) -> tuple:
+    return structured(text, kind, url) if isinstance(text, str) else (None,) * 5 + ([],)
 
 
 # --- page texts (of a reader for PDF, say) -------------------------------------------------
@@ -415,9 +407,9 @@ def split_bytes(text: str, most: int) -> list[str]:
 
 
 def split_bytes_column(text: Column, most: int) -> Column:
-    @F.pandas_udf(K.STRINGS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_bytes(t, most) if isinstance(t, str) else None)
+    @by_row(K.STRINGS)
+    def run(whole: str | None) -> list[str] | None:
+        return split_bytes(whole, most) if isinstance(whole, str) else None
 
     return run(text)
 

@@ -14,6 +14,7 @@ from ..functions import markup as M
 from ..functions import urls as U
 from ..functions.injection import detections
 from ..functions.regex import settled
+from ..functions.rowwise import AT_ONCE
 from ..functions.tokens import reading_minutes
 from ..operators import documents as D
 from ..operators import gates, html
@@ -151,7 +152,7 @@ def _with_structure(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("markdown")).to_pylist()]
             heads = pa.array([[dict(level=a, text=b, path=c) for a, b, c, _ in outline(t)] for t in texts], _OUTLINE)
             parts = pa.array([[dict(zip(("block_id", "kind", "text", "char_len"), b, strict=True)) for b in blocks(t)] for t in texts], _BLOCKS)

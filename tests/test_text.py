@@ -197,3 +197,19 @@ def test_even_and_parted(spark):
     text = "One\u00a0is  here. Two is.\tThree \u2003 stays! four? Five.\n\n# Head\n12) item. Next\n- other\n  1x. Rest\t"
     got = spark.createDataFrame([(text,)], "t string").select(S.sentences(F.col("t")).alias("s")).first().s
     assert got == ["One is here.", "Two is.", "Three stays! four?", "Five.", "# Head", "12) item. Next", "- other", "1x.", "Rest"]
+
+
+def test_python_columns_make_few_rows_into_objects_at_once(spark):
+    import gc
+
+    from pyspark.sql.types import LongType
+
+    from inkwell.functions.rowwise import AT_ONCE, by_row
+
+    @by_row(LongType())
+    def dicts(items):
+        return sum(isinstance(x, dict) and "of_this_test" in x for x in gc.get_objects())
+
+    rows = spark.range(1000, numPartitions=1).select(F.array(F.struct(F.col("id").alias("of_this_test"))).alias("items"))
+    got = [r[0] for r in rows.select(dicts("items")).collect()]
+    assert len(got) == 1000 and 0 < max(got) <= 2 * AT_ONCE
