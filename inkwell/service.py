@@ -309,8 +309,8 @@ select conv_id, turn, '{"query":"' || role || '"' || case turn % 3 when 1 then '
 
 def outline_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of given headings: each source's documents in order, levels by number."""
-    heads = read(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", (F.col("doc_id") * 7 % 5 + 1).cast("int").alias("level"), F.concat(F.lit("h"), F.col("doc_id").cast("string")).alias("text")))).alias("heads"))
-    return heads.select("source", F.posexplode(MD.outline_of("heads")).alias("k", "e")).select("source", "k", "e.level", "e.text", "e.path")
+    heads = read(spark, sf_dir, "documents").select("source", "doc_id", (F.col("doc_id") * 7 % 5 + 1).cast("int").alias("level"), F.concat(F.lit("h"), F.col("doc_id").cast("string")).alias("text"))
+    return MD.outline_rows(heads, "source", "doc_id")
 
 
 OUTLINE_HEADINGS = """
