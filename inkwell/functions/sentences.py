@@ -241,6 +241,22 @@ def citation(text: Column, blocks: Column) -> Column:
     return let(F.struct(trim(text).alias("bare"), normal(trim(text)).alias("form")), find)
 
 
+def citations(texts: Column, blocks: Column) -> Column:
+    """As :func:`citation` for each of an array of texts: the blocks' normal forms are made once for all of them."""
+    known = F.transform(blocks, lambda b: F.struct(b["block_id"].alias("block_id"), b["text"].alias("text"), normal(b["text"]).alias("form")))
+
+    def find(t: Column, b: Column) -> Column:
+        def first(q: Column) -> Column:
+            # the fold takes the first hit, and looks at no block after it
+            hit = F.aggregate(b, F.lit(None).cast("struct<id:string>"), lambda a, x: F.when(a.isNotNull(), a).when(
+                F.contains(x["text"], q["bare"]) | ((q["form"] != "") & F.contains(x["form"], q["form"])), F.struct(x["block_id"].alias("id"))))
+            return F.when(q["bare"] == "", "").otherwise(F.coalesce(hit["id"], F.lit("")))
+
+        return let(F.struct(trim(t).alias("bare"), normal(trim(t)).alias("form")), first)
+
+    return let(known, lambda b: F.transform(texts, lambda t: find(t, b)))
+
+
 def omission(text: Column) -> Column:
     """A label for what was left out: its heading, or its first line up to 57 characters."""
     line = trim(F.get(F.split(text, "\n"), F.lit(0)))

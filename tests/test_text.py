@@ -210,6 +210,26 @@ def test_python_columns_make_few_rows_into_objects_at_once(spark):
     def dicts(items):
         return sum(isinstance(x, dict) and "of_this_test" in x for x in gc.get_objects())
 
-    rows = spark.range(1000, numPartitions=1).select(F.array(F.struct(F.col("id").alias("of_this_test"))).alias("items"))
+    rows = spark.range(1000, numPartitions=1).select(F.array(F.struct(F.array("id").alias("of_this_test"))).alias("items"))
     got = [r[0] for r in rows.select(dicts("items")).collect()]
     assert len(got) == 1000 and 0 < max(got) <= 2 * AT_ONCE
+
+
+def test_outlines_of_many_headings_are_those_of_one_row(spark):
+    heads = [("a" if i % 3 else None, i * 7, i * i % 6 + 1, f"h{i}") for i in range(300)]
+    df = spark.createDataFrame(heads, "source string, at long, level int, text string")
+    one = df.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("at", "level", "text"))).alias("h")).select("source", F.posexplode(MD.outline_of("h")).alias("k", "e"))
+    want = sorted(rows(one.select(F.coalesce("source", F.lit("")), "k", "e.level", "e.text", "e.path")))
+    for width in (100, 10_000):
+        got = MD.outline_rows(df, "source", "at", width).withColumn("source", F.coalesce("source", F.lit("")))
+        assert sorted(rows(got)) == want
+
+
+def test_citations_make_block_forms_once(spark):
+    blocks = [("b0", ""), ("b1", "One, two."), ("b2", "one two three"), ("b3", None)]
+    texts = ["One, two.", "ONE two!", "three", "", "...", "absent", None]
+    df = spark.createDataFrame([(texts, blocks)], "texts array<string>, blocks array<struct<block_id:string,text:string>>")
+    each = df.select(F.transform("texts", lambda t: S.citation(t, F.col("blocks")))).first()[0]
+    made = df.select(S.citations(F.col("texts"), F.col("blocks")).alias("c"))
+    assert made.first()[0] == each == ["b1", "b1", "b2", "", "", "", ""]
+    assert made._jdf.queryExecution().analyzed().toString().count("[^a-z0-9]+") == 2
