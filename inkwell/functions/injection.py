@@ -57,6 +57,8 @@ SURE = (
 )
 #: Characters shown around a match; risk of sure signs, more a sign, and a sign alone.
 CONTEXT, SURE_RISK, SURE_STEP, STEP = 50, 0.7, 0.1, 0.15
+#: Letters that Python takes for an ASCII one if case doesn't count, though their lower case is none.
+_FOLDED = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
 
 
 def _with_low(text: Column, body) -> Column:
@@ -93,11 +95,25 @@ def suspicious(text: Column) -> Column:
 
 
 def sanitize(text: Column) -> Column:
-    """Every match wrapped in a warning, pattern by pattern, so that later ones can wrap again."""
-    out = text
-    for rx, _ in PATTERNS:
-        out = rx.replace(out, "[POTENTIAL_INJECTION: $0]")
-    return F.when(suspicious(text), out).otherwise(text)
+    """Every match wrapped in a warning, pattern by pattern, so that later ones can wrap again.
+
+    A pattern is tried only where its signs stand in what the earlier ones left,
+    whose lower case is made anew only after a replacement.
+    """
+
+    def wrapped(t: Column, k: int) -> Column:
+        made = let(PATTERNS[k][0].replace(t["text"], "[POTENTIAL_INJECTION: $0]"), lambda x: F.struct(x.alias("text"), F.lower(x).alias("low")))
+        return F.when(_signed(t, SIGNS[k]), made).otherwise(t)
+
+    def chosen(t: Column, k: Column, a: int, b: int) -> Column:
+        """Pattern ``k`` of those from a to b applied: by halves, as conditions are tried one after the other."""
+        if b - a == 1:
+            return wrapped(t, a)
+        return F.when(k < (a + b) // 2, chosen(t, k, a, (a + b) // 2)).otherwise(chosen(t, k, (a + b) // 2, b))
+
+    # a fold, as a lambda within a lambda for each pattern would take Spark for ever to analyse
+    start = F.struct(text.alias("text"), F.lower(text).alias("low"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(PATTERNS) - 1)), start, lambda t, k: chosen(t, k, 0, len(PATTERNS)), lambda t: t["text"])
 
 
 def high_confidence(text: Column) -> Column:
@@ -121,7 +137,10 @@ def risk(text: Column) -> Column:
 def detections_of(text: str) -> list[dict]:
     """(text in its context, reason) of distinct matches."""
     found = {}
-    for rx, reason in PATTERNS:
+    low = (text if text.isascii() else text.translate(_FOLDED)).lower()
+    for (rx, reason), signs in zip(PATTERNS, SIGNS, strict=True):
+        if not any(s in low for s in signs):
+            continue
         for m in rx.py.finditer(text):
             a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
             shown = ("..." if a else "") + text[a:b] + ("..." if b < len(text) else "")
