@@ -131,9 +131,17 @@ def word_count(text: Column) -> Column:
     """Runs of anything but white space.
 
     A split needs a twentieth of the time of ``regexp_count``, which copies the
-    whole text for every match.
+    whole text for every match. Where single blanks are the only white space, as
+    in sentences, they are counted by what is left without them, which needs
+    a twentieth of a split's.
     """
-    return F.array_size(F.array_remove(BLANKS.split(text), "")).cast("long")
+    many = F.array_size(F.array_remove(BLANKS.split(text), ""))
+
+    def count(bare: Column) -> Column:
+        return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "))) + 1)
+
+    single = ascii_only(text) & ~F.contains(text, F.lit("  ")) & ~text.rlike(r"[\t-\r]")
+    return F.when(single, let(F.trim(text), count)).otherwise(many).cast("long")
 
 
 def lines(text: Column) -> Column:

@@ -75,15 +75,23 @@ def truncate(text: Column, most: int) -> Column:
     Positions count code points; texts with characters beyond U+FFFF can
     therefore be cut a little later than by UTF-16 units.
     """
-    now = est_tokens(text)
-    goal = F.floor(units(text) * (F.lit(float(most)) / now) * 0.95).cast("int")
-    head = F.substring(text, F.lit(1), F.greatest(goal, F.lit(0)))
-    paragraph, line = last_index(head, "\n\n"), last_index(head, "\n")
-    sentence = F.regexp_instr(head, F.lit(SENTENCE_END.java)) - 1
-    cut = F.when(paragraph > goal * 0.8, paragraph).when(sentence > goal * 0.8, sentence + 1).when(line > goal * 0.9, line).otherwise(goal)
-    shorter = trim(F.substring(head, F.lit(1), cut.cast("int")))
-    whole = now <= most
-    return F.struct(F.when(whole, text).otherwise(shorter).alias("text"), (~whole).alias("truncated"))
+
+    # every value is bound once: the place of the cut would repeat the token count some twenty times
+    def aimed(t: Column) -> Column:
+        goal = F.floor(units(t["text"]) * (F.lit(float(most)) / t["now"]) * 0.95).cast("int")
+        cut = let(goal, lambda g: let(F.struct(g.alias("goal"), F.substring(t["text"], F.lit(1), F.greatest(g, F.lit(0))).alias("head")), ended))
+        whole = t["now"] <= most
+        return F.struct(F.when(whole, t["text"]).otherwise(cut).alias("text"), (~whole).alias("truncated"))
+
+    def ended(h: Column) -> Column:
+        goal, head = h["goal"], h["head"]
+        places = F.struct(
+            last_index(head, "\n\n").alias("paragraph"), (F.regexp_instr(head, F.lit(SENTENCE_END.java)) - 1).alias("sentence"), last_index(head, "\n").alias("line"),
+        )
+        return let(places, lambda p: trim(F.substring(head, F.lit(1), F.when(p["paragraph"] > goal * 0.8, p["paragraph"]).when(
+            p["sentence"] > goal * 0.8, p["sentence"] + 1).when(p["line"] > goal * 0.9, p["line"]).otherwise(goal).cast("int"))))
+
+    return let(F.struct(text.alias("text"), est_tokens(text).alias("now")), aimed)
 
 
 # --- the same for one Python string, for the machines that walk over lines ---
@@ -96,7 +104,7 @@ _OTHER_SPACE = re.compile("[" + "".join(c for c in SPACES if c > "\x7f") + "]")
 
 def code_text(text: str) -> bool:
     # lines give two points at most, so a sign is needed before they are looked at
-    if not ("=>" in text or _BRACKET.py.search(text) or _KEYWORD.py.search(text)):
+    if not ("=>" in text or _BRACKET.py.search(text) or (_KEYWORD.py.search if "\n" in text else _KEYWORD.py.match)(text)):
         return False
     parts = text.split("\n")
     points = sum(bool(s.py.search(text)) for s in CODE_SIGNS)

@@ -20,6 +20,7 @@ MODES = ("structural", "salience", "map_reduce", "question_focused")
 LEAST_LEFT, LEAST_BODY = 40, 20
 #: Omissions that are listed; the share of sentences that a round keeps, and where rounds end.
 MOST_OMISSIONS, ROUND_KEEPS, ROUND_ENDS = 5, 0.8, 5
+_OTHER = S.Rx("[^a-z0-9]+").py
 
 
 # --- native: sentences chosen in their own row --------------------------------
@@ -44,7 +45,7 @@ def select_relevant(list_: Column, terms: Sequence[str], most: int, preserve: Se
 
 
 def points(text: str, rules, preserve: Sequence[str]) -> int:
-    return sum(n for kind, rx, n in rules if (not kind or kind in preserve) and rx.py.search(text))
+    return S.points_of(text, rules, preserve)
 
 
 def salience_of(sentence: str, preserve: Sequence[str]) -> int:
@@ -58,7 +59,7 @@ def section_score_of(section: str, preserve: Sequence[str]) -> int:
 
 
 def normal_of(text: str) -> str:
-    return S.Rx("[^a-z0-9]+").py.sub(" ", text.lower()).strip(" ")
+    return _OTHER.sub(" ", text.lower()).strip(" ")
 
 
 def summary_of(chosen: list[str]) -> str:
@@ -157,10 +158,17 @@ def map_reduce(chunks: list[str], content: str, most: int, preserve: Sequence[st
     if not text and trim_text(content):
         warnings.append("Map-reduce produced empty chunk summaries; falling back to truncated content")
         text = truncate_text(content, max(1, most))[0]
+    known: dict[str, int] = {}  # a round has most sentences of the one before
+
+    def salience(s: str) -> int:
+        if s not in known:
+            known[s] = salience_of(s, preserve)
+        return known[s]
+
     while tokens_of(text) > most:
         units = sentences(text)
         keep = math.floor(len(units) * ROUND_KEEPS)
-        text = " ".join(units[i] for i in sorted(best_first(units, lambda s: salience_of(s, preserve))[:keep]))
+        text = " ".join(units[i] for i in sorted(best_first(units, salience)[:keep]))
         if keep <= ROUND_ENDS:
             break
     return text, [f"Combined {len(chunks)} chunks via map-reduce"], warnings
@@ -225,7 +233,8 @@ def compact(packets: DataFrame, max_tokens: int, mode: str = "structural", quest
                 return map_reduce([x for x in list_ if x is not None], text, max_tokens, preserve)
             return (*structural(text, max_tokens, preserve), [])
 
-        rows = rows.withColumn("made", run("text", F.coalesce("chunks", empty)))
+        # settled, so that it is made once and not again, with all that it is made from, for each column that uses it
+        rows = rows.withColumn("made", settled(run("text", F.coalesce("chunks", empty))))
     over = est_tokens(F.col("made.summary")) > max_tokens
     rows = rows.withColumn("summary", settled(F.when(over, truncate(F.col("made.summary"), max_tokens)["text"]).otherwise(F.col("made.summary"))))
     cut_note = F.array(F.lit("Summary truncated to fit token budget"))
