@@ -115,3 +115,28 @@ def test_bit_map_holds_every_key(spark):
     bits = bit_map(spark.createDataFrame([(k,) for k in keys], "key long"))
     slots = {k % MAP_BITS for k in keys}
     assert int(np.bitwise_count(bits).sum()) == len(slots) and all(bits[s >> 3] >> (s & 7) & 1 for s in slots)
+
+
+def test_pairs_of_a_long_shared_run_come_once_and_none_that_parities_part(spark, monkeypatch):
+    """Every shared shingle of a prefix gave its pairs again, and sets of more than some 600 shingles passed the folded parity unlooked at."""
+    from inkwell.llm import prefixes
+
+    made = []
+    rng = np.random.default_rng(1)
+    shared = np.sort(rng.integers(0, 1 << 60, 150))
+    sets = [np.unique(np.concatenate((shared, rng.integers(1 << 60, 1 << 61, 850)))) for _ in range(12)]
+    twin = [np.unique(np.concatenate((s[:960], rng.integers(1 << 61, 1 << 62, 40)))) for s in sets[:2]]
+    rows = [(n, n, len(s), prefixes.prefix(s, np.empty(0, np.int64), 0.8).tolist(), bytearray(parity(s))) for n, s in enumerate([*sets, *twin])]
+    table = spark.createDataFrame(rows, "node long, part long, size int, keys array<bigint>, parity binary")
+    distinct = type(table).distinct
+
+    def counted(rows):
+        if rows.columns == ["a", "b"]:
+            made.append(rows.count())
+        return distinct(rows)
+
+    monkeypatch.setattr(type(table), "distinct", counted)
+    got = {tuple(r) for r in prefixes.crossing_pairs(table, 0.8).collect()}
+    assert {(0, 12), (1, 13)} <= got and len(got) < 10
+    # the twins alone share 150 shingles and more of their prefixes
+    assert len(made) == 1 and made[0] < 20
