@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, own_names
+from .common import need, own_names, small_batches
 from .pieces import FLOOR, SHORT, Lattice, load_pieces, words_of
 
 #: Where the vocabulary lies; a parameter everywhere it is used.
@@ -88,10 +88,11 @@ def fit(
     for _ in range(rounds if languages else 0):
         shipped = rows.sparkSession.sparkContext.broadcast((pieces, languages, probs))
         counts = np.zeros_like(probs)
-        totals = (
-            chosen.mapInArrow(_expectation(shipped), "lang int, piece int, uses double")
-            .groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toPandas()
-        )
+        with small_batches(rows.sparkSession):
+            totals = (
+                chosen.mapInArrow(_expectation(shipped), "lang int, piece int, uses double")
+                .groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toPandas()
+            )
         np.add.at(counts, (totals["piece"].to_numpy(), totals["lang"].to_numpy()), totals["uses"].to_numpy())
         shipped.unpersist()
         share = counts / np.maximum(counts.sum(axis=0), 1e-12)
@@ -153,19 +154,21 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     need(docs, text_col)
     shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probs))
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    kept = docs.select(*names, F.col(text_col).alias("__text"))
-    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    # a text that is handed on goes to Python once
+    at = names.index(text_col) if text_col in names else len(names)
+    kept = docs.select(*names) if at < len(names) else docs.select(*names, text_col)
+    schema = T.StructType([*kept.schema.fields[: len(names)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, pieces, probs = shipped.value
         scorer = _Scorer(languages, list(pieces), probs)
         for batch in batches:
             found: list[tuple[str, float]] = []
-            texts = batch.column(len(names))
+            texts = batch.column(at)
             for k in range(0, len(texts), TOGETHER):
                 found += scorer([t.as_py() for t in texts[k : k + TOGETHER]])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
+                [*batch.columns[: len(names)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 [*names, "lang_pred", "score"],
             )
 

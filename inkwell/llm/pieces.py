@@ -15,7 +15,7 @@ import numpy as np
 #: Words up to this length are handled together without rescaling; longer ones with words of like length.
 SHORT = 30
 #: Columns after which probabilities of longer words are rescaled, and cells (column, word, language) of words handled together.
-RESCALE, CELLS = 8, 1 << 21
+RESCALE, CELLS = 8, 1 << 19
 #: No piece is less likely than this, so that short words cannot underflow.
 FLOOR = 1e-9
 MARK = "▁"
