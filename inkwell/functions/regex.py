@@ -60,7 +60,8 @@ class Rx:
 
     @cached_property
     def java(self) -> str:
-        return self._spelled(_EDGE, r"\z")
+        # Java's lines end at U+0085 and others, too, unless told not to
+        return Rx(self.pattern, self.flags.replace("m", "md"))._spelled(_EDGE, r"\z")
 
     @cached_property
     def re2(self) -> str:

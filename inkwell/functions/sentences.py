@@ -71,6 +71,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.flatten(cut), lambda x: x != "")
 
 
+def has_sentences(text: Column) -> Column:
+    """Whether :func:`sentences` finds any: a character that is neither white space nor a break."""
+    return Rx(rf"[^\s{_BREAK}]").test(text)
+
+
 def _any(low: Column, words: Sequence[str]) -> Column:
     hit = F.lit(False)
     for w in words:
@@ -138,9 +143,14 @@ def section_score(section: Column, preserve: Sequence[str] = PRESERVE) -> Column
     return (_points(section, SECTION, preserve) + F.when((size > 100) & (size < 2000), 1).otherwise(0)).cast("int")
 
 
+def lower(text: Column) -> Column:
+    """Lower case of each letter by itself, as SQL has it: a dotted capital I is an i, not an i and a dot."""
+    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+
+
 def normal(text: Column) -> Column:
     """Lower-case ASCII letters and digits; everything else is one space."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(lower(text), "[^a-z0-9]+", " "))
 
 
 def first_fit(units_: Column, most: int) -> Column:
@@ -242,7 +252,7 @@ def term_matches(sentence: Column, terms: Sequence[str]) -> Column:
         return sum((_any(padded, forms).cast("int") for forms in hits), F.lit(0))
 
     # a sentence without any of the words, as they are, has no normal form with one
-    some = let(F.lower(sentence), lambda low: _any(low, forms_of))
+    some = let(lower(sentence), lambda low: _any(low, forms_of))
     return F.when(some, let(F.concat(F.lit(" "), normal(sentence), F.lit(" ")), count)).when(sentence.isNotNull(), 0)
 
 

@@ -59,7 +59,7 @@ def section_score_of(section: str, preserve: Sequence[str]) -> int:
 
 
 def normal_of(text: str) -> str:
-    return _OTHER.sub(" ", text.lower()).strip(" ")
+    return _OTHER.sub(" ", text.replace("\u0130", "i").lower()).strip(" ")
 
 
 def summary_of(chosen: list[str]) -> str:
