@@ -298,3 +298,28 @@ def test_best_sentences_are_those_of_the_sql_on_odd_texts(spark, tmp_path):
         for name in ("compact_question", "compact_salience", "sent_neighbors"):
             assert sorted(rows(queries()[name](spark, str(tmp_path)))) == sorted(sql.execute(oracle_sql()[name]).fetchall()), name
     assert compaction.normal_of("İtoken") == "itoken"
+
+
+def test_chunks_are_made_and_handed_back_few_rows_at_once(spark, tmp_path):
+    """Blocks and chunks took two Python workers a task, and each held what it made of a whole Arrow batch."""
+    import pyarrow as pa
+
+    from __spark_entry__ import queries
+    from inkwell.functions import kinds as K
+    from inkwell.functions.rowwise import AT_ONCE, with_made
+
+    def long_text(i):
+        return "x" * 100_000, pa.total_allocated_bytes()
+
+    made = with_made(spark.range(1000, numPartitions=1), "made", K.struct(text=K.STRING, held=K.LONG), long_text, [F.col("id")], ["id"])
+    got = made.select("id", F.length("made.text"), "made.held").collect()
+    assert [r[:2] for r in got] == [(i, 100_000) for i in range(1000)] and max(r[2] for r in got) < 4 * AT_ONCE * 100_000
+
+    docs = [(i, t, "en", "web") for i, t in enumerate([*SAMPLES, None])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("chunk_totals", "chunk_pack_greedy", "chunk_search", "chunk_by_index"):
+        plan = queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1, name
+    packets = spark.createDataFrame([(str(i), t) for i, t in enumerate(SAMPLES)] + [("x", None)], "source_id string, content string")
+    given = packets.withColumn("key_blocks", MD.blocks_column("content"))
+    assert sorted(rows(C.chunk(given, 40).drop("key_blocks"))) == sorted(rows(C.chunk(packets, 40, own_blocks=True)))
