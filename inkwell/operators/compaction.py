@@ -227,14 +227,16 @@ def compact(packets: DataFrame, max_tokens: int, mode: str = "structural", quest
         rows = rows.withColumn("made", settled(let(all_sentences(F.col("text")), made)))
     else:
 
+        # one argument, and no text twice: a content of chunks is what they join to
         @by_row(_PARTS)
-        def run(text: str, list_: list[str | None]) -> tuple:
+        def run(given: str | list[str | None]) -> tuple:
             if mode == "map_reduce":
-                return map_reduce([x for x in list_ if x is not None], text, max_tokens, preserve)
-            return (*structural(text, max_tokens, preserve), [])
+                some = [x for x in given if x is not None]
+                return map_reduce(some, "\n\n".join(some), max_tokens, preserve)
+            return (*structural(given, max_tokens, preserve), [])
 
         # settled, so that it is made once and not again, with all that it is made from, for each column that uses it
-        rows = rows.withColumn("made", settled(run("text", F.coalesce("chunks", empty))))
+        rows = rows.withColumn("made", settled(run(F.coalesce("chunks", empty) if mode == "map_reduce" else F.col("text"))))
     over = est_tokens(F.col("made.summary")) > max_tokens
     rows = rows.withColumn("summary", settled(F.when(over, truncate(F.col("made.summary"), max_tokens)["text"]).otherwise(F.col("made.summary"))))
     cut_note = F.array(F.lit("Summary truncated to fit token budget"))

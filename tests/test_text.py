@@ -323,3 +323,18 @@ def test_chunks_are_made_and_handed_back_few_rows_at_once(spark, tmp_path):
     packets = spark.createDataFrame([(str(i), t) for i, t in enumerate(SAMPLES)] + [("x", None)], "source_id string, content string")
     given = packets.withColumn("key_blocks", MD.blocks_column("content"))
     assert sorted(rows(C.chunk(given, 40).drop("key_blocks"))) == sorted(rows(C.chunk(packets, 40, own_blocks=True)))
+
+
+def test_summaries_of_chunks_take_the_texts_once(spark):
+    """Python got the chunks and what they join to, so it held every text twice."""
+    texts = [t for t in SAMPLES if t] + [" \n", "One is first. Two is then. " * 90]
+    packets = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("x", None)], "source_id string, content string")
+    sets = C.chunk(packets, 40, own_blocks=True)
+    for rows_, list_ in ((sets, {r.source_id: [c.text for c in r.chunks] for r in sets.collect()}), (packets, {str(i): [t] for i, t in enumerate(texts)})):
+        out = compaction.compact(rows_, 30, "map_reduce").select("source_id", "compacted.summary", "compacted.warnings")
+        assert "run(coalesce(array_join" not in out._jdf.queryExecution().executedPlan().toString()
+        for r in out.where("summary is not null").collect():
+            want, _, warnings = compaction.map_reduce(list_[r.source_id], "\n\n".join(list_[r.source_id]), 30, S.PRESERVE)
+            assert r.summary == (want if T.tokens_of(want) <= 30 else T.truncate_text(want, 30)[0]) and r.warnings[: len(warnings)] == warnings
+    out = compaction.compact(packets, 30, "structural").select("source_id", "compacted.summary")
+    assert {r.source_id for r in out.collect()} == {*map(str, range(len(texts))), "x"}
